@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import bpe, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by byte_bpe_50k.json, and whether they pass 512."""
+    import public_tokenizers as tokenizers
+
+    counts = token_count.token_counts(_documents(spark, sf_dir), "doc_id", "text", tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded bytes."""
     import public_tokenizers as tokenizers
@@ -27,5 +35,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_bpe": op6_bpe}
+QUERIES = {"op1_token_count": op1_token_count, "op6_bpe": op6_bpe}
 ORACLES: dict[str, str] = {}
