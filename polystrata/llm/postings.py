@@ -3,8 +3,9 @@
 A block is a slice of an input partition (at most 65,536 documents and about
 16 MB of text).  Its row for a term holds every document of the block that has
 the term, so a term has at most one row per block however common it is: a word
-of every document is no hot key.  Postings are packed as pairs of 16-bit numbers
-(document in block, frequency); a larger frequency is several pairs.
+of every document is no hot key.  ``posts`` holds a variable-length number per
+document, twice the step from the document before it, plus one if the frequency
+is over 1; ``freqs`` holds those frequencies.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ _TERMS = T.StructType(
         T.StructField("block", T.LongType(), False),
         T.StructField("term", T.BinaryType(), True),
         T.StructField("posts", T.BinaryType(), True),
+        T.StructField("freqs", T.BinaryType(), True),
         T.StructField("weight", T.LongType(), True),
         T.StructField("doc", T.IntegerType(), True),
         T.StructField("n_terms", T.LongType(), True),
@@ -39,32 +41,52 @@ _TERMS = T.StructType(
 )
 
 
+def _varints(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets per row) of numbers below 2**35, seven bits to a byte, the low ones first."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        has = np.flatnonzero(size > k)
+        out[(ends - size)[has] + k] = ((values[has] >> 7 * k) & 127) | ((size[has] > k + 1) << 7)
+    return out, np.concatenate([[0], np.cumsum(np.bincount(rows, size, n_rows).astype(np.int64))])
+
+
+def _numbers(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many in each row) that :func:`_varints` packed."""
+    last = raw < 128
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
+    done = np.concatenate([[0], np.cumsum(last)])
+    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    shift = np.arange(len(raw)) - np.repeat(start, np.diff(np.concatenate([start, [len(raw)]])))
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, start), np.diff(done[ends])
+
+
 def _pack(codes: np.ndarray, docs: np.ndarray, vocabulary: int, weights: np.ndarray):
-    """(posts values, posts offsets, weight per term) from a (term, document) pair per occurrence."""
+    """((posts, offsets), (freqs, offsets), weight per term) from a (term, document) pair per occurrence."""
     keys = np.sort(codes.astype(np.int64) << 16 | docs)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     freq = np.diff(np.concatenate([first, [len(keys)]]))
     term, doc = keys[first] >> 16, keys[first] & 0xFFFF
     weight = np.bincount(term, freq * weights[doc], vocabulary).astype(np.int64)
-    if len(freq) and freq.max() > 0xFFFF:
-        times = -(-freq // 0xFFFF)
-        last = np.cumsum(times) - 1
-        rest = freq - (times - 1) * 0xFFFF
-        term, doc, freq = np.repeat(term, times), np.repeat(doc, times), np.full(int(times.sum()), 0xFFFF)
-        freq[last] = rest
-    posts = np.stack([doc, freq], 1).astype(np.uint16)
-    return posts, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=vocabulary))]), weight
+    step = np.diff(doc, prepend=0)
+    heads = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.zeros(0, bool)
+    step[heads] = doc[heads]
+    more = freq > 1
+    return _varints(step * 2 + more, term, vocabulary), _varints(freq[more], term[more], vocabulary), weight
 
 
-def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[bytes], list]], weight: Column | None = None) -> DataFrame:
+def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[bytes], list]], weight: Column | None = None, measure: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
     """Term rows (``term`` set) and document rows (``doc`` set) of ``df``, staged in the shared folder.
 
     ``split()`` runs once per task and gives a function from a text's bytes to
     its terms (bytes or str).  ``weight``: 0 or 1 by document; a term row's
-    ``weight`` is its frequency over documents of weight 1.
+    ``weight`` is its frequency over documents of weight 1.  ``measure`` gives a
+    number for each of a list of texts, kept in the document rows.
     """
     id_type = df.schema[id_col].dataType
-    schema = T.StructType([*_TERMS.fields, T.StructField("id", id_type, True), T.StructField("doc_weight", T.IntegerType(), True)])
+    schema = T.StructType([*_TERMS.fields, T.StructField("id", id_type, True), T.StructField("doc_weight", T.IntegerType(), True), T.StructField("measure", T.DoubleType(), True)])
     weight = F.lit(1) if weight is None else weight
     rows = df.select(F.col(f"`{id_col}`").alias("id"), common.utf8(text_col).alias("text"), weight.cast("int").alias("doc_weight"))
 
@@ -86,30 +108,32 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                     block = task << 32 | next(serial)
                     memo: dict = defaultdict(itertools.count().__next__)
                     code, parts, sizes = memo.__getitem__, [], np.zeros(n, np.int64)
-                    for k, text in enumerate(texts.slice(at, n)):
-                        found = np.fromiter(map(code, terms_of(text.as_py())), np.int32)
+                    own_texts = texts.slice(at, n).to_pylist()
+                    for k, text in enumerate(own_texts):
+                        found = np.fromiter(map(code, terms_of(text)), np.int32)
                         parts.append(found)
                         sizes[k] = len(found)
-                    posts, offsets, total = _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), len(memo), weights[at : at + n])
+                    (posts, at_posts), (freqs, at_freqs), total = _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), len(memo), weights[at : at + n])
                     words = [t.encode() if isinstance(t, str) else t for t in memo]
                     for low in range(0, len(words), 20_000):
                         high = min(len(words), low + 20_000)
                         m = high - low
-                        packed = common.binary_array(posts[offsets[low] : offsets[high]].view(np.uint32).ravel(), offsets[low : high + 1] - offsets[low])
-                        yield fill(m, block=pa.array(np.full(m, block)), term=pa.array(words[low:high], pa.binary()), posts=packed, weight=pa.array(total[low:high]))
-                    yield fill(n, block=pa.array(np.full(n, block)), doc=pa.array(np.arange(n, dtype=np.int32)), n_terms=pa.array(sizes), n_bytes=pa.array(np.diff(ends[at : at + n + 1])), id=ids.slice(at, n), doc_weight=pa.array(weights[at : at + n].astype(np.int32)))
+                        packed, often = (common.binary_array(x[o[low] : o[high]], o[low : high + 1] - o[low]) for x, o in ((posts, at_posts), (freqs, at_freqs)))
+                        yield fill(m, block=pa.array(np.full(m, block)), term=pa.array(words[low:high], pa.binary()), posts=packed, freqs=often, weight=pa.array(total[low:high]))
+                    own = {} if measure is None else {"measure": pa.array(measure(own_texts))}
+                    yield fill(n, **own, block=pa.array(np.full(n, block)), doc=pa.array(np.arange(n, dtype=np.int32)), n_terms=pa.array(sizes), n_bytes=pa.array(np.diff(ends[at : at + n + 1])), id=ids.slice(at, n), doc_weight=pa.array(weights[at : at + n].astype(np.int32)))
 
     return common.stage_table(rows.mapInArrow(run, schema), "postings")
 
 
 def terms(staged: DataFrame) -> DataFrame:
-    """(block, term, posts, weight)."""
-    return staged.where("term IS NOT NULL").select("block", "term", "posts", "weight")
+    """(block, term, posts, freqs, weight)."""
+    return staged.where("term IS NOT NULL").select("block", "term", "posts", "freqs", "weight")
 
 
 def documents(staged: DataFrame) -> DataFrame:
-    """(block, doc, id, n_terms, n_bytes, doc_weight)."""
-    return staged.where("doc IS NOT NULL").select("block", "doc", "id", "n_terms", "n_bytes", "doc_weight")
+    """(block, doc, id, n_terms, n_bytes, doc_weight, measure)."""
+    return staged.where("doc IS NOT NULL").select("block", "doc", "id", "n_terms", "n_bytes", "doc_weight", "measure")
 
 
 def sum_to_documents(joined: DataFrame, values: Iterable[str]) -> DataFrame:
@@ -135,16 +159,20 @@ def sum_to_documents(joined: DataFrame, values: Iterable[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(d[cut].astype(np.int32)), *[pa.array(np.ascontiguousarray(s[cut, k])) for k in range(len(values))]], names=schema.names)
 
         for batch in batches:
-            raw, ends = common.byte_rows(batch.column(1))
-            pairs, n = np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, 2), np.diff(ends) // 4
-            worth = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1)
-            held.append((np.repeat(batch.column(0).to_numpy(), n), pairs[:, 0].astype(np.int64), np.repeat(worth, n, 0) * pairs[:, 1:]))
-            size += len(pairs)
+            steps, n = _numbers(*common.byte_rows(batch.column(1)))
+            docs, more = np.cumsum(steps >> 1), (steps & 1).astype(bool)
+            heads = np.cumsum(n) - n
+            docs -= np.repeat(docs[heads] - (steps[heads] >> 1), n)
+            freq = np.ones(len(docs))
+            freq[more] = _numbers(*common.byte_rows(batch.column(2)))[0]
+            worth = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1)
+            held.append((np.repeat(batch.column(0).to_numpy(), n), docs, np.repeat(worth, n, 0) * freq[:, None]))
+            size += len(docs)
             if size >= _GATHER:
                 yield from out()
                 held, size = [], 0
         if size:
             yield from out()
 
-    rows = joined.select("block", "posts", *[F.col(v).cast("double").alias(v) for v in values])
+    rows = joined.select("block", "posts", "freqs", *[F.col(v).cast("double").alias(v) for v in values])
     return rows.mapInArrow(run, schema).groupBy("block", "doc").agg(*[F.sum(v).alias(v) for v in values])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_count
+from . import bpe, lm, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text by context mixing, beside the unigram base."""
+    return lm.scores(spark, _documents(spark, sf_dir), "doc_id", "text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded bytes."""
     import public_tokenizers as tokenizers
@@ -35,5 +40,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op6_bpe": op6_bpe}
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe}
 ORACLES: dict[str, str] = {}
