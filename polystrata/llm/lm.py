@@ -294,21 +294,23 @@ def scores(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> Da
     """
     learn = (F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("int")
     model = spark.sparkContext.broadcast(train(df.where(learn == 1).select(common.utf8(text_col).alias("text"))))
-    staged = postings.build(df, id_col, text_col, lambda: _words, weight=learn, measure=lambda texts: model.value.score(texts))
-    terms, docs = postings.terms(staged), postings.documents(staged)
-    counts = common.stage_table(terms.groupBy("term").agg(F.sum("weight").alias("c")), "counts")
-    n, ends = docs.agg(F.sum(F.when(F.col("doc_weight") == 1, F.col("n_terms") + 1)), F.sum("doc_weight")).first()
-    n, ends = n or 0, ends or 0
-    distinct = counts.where("c > 0").count() + (ends > 0)
-    worth = counts.select("term", F.log10(F.col("c") + 0.1).alias("logs"), (F.col("c") > 0).cast("double").alias("known"))
-    sums = postings.sum_to_documents(terms.join(worth, "term"), ["logs", "known"])
+    packed = postings.build(df, id_col, text_col, lambda: _words, weight=learn, measure=lambda texts: model.value.score(texts))
+
+    def logs(_, counts: np.ndarray) -> np.ndarray:
+        return np.stack([np.log10(counts + 0.1), counts > 0], 1)
+
+    sums = common.stage_table(postings.value_terms(packed, lambda: logs, 2, tally=True), "lm")
+    tally = F.when(F.col("block") == -1, F.col("tokens"))
+    distinct, tokens, ends = sums.agg(F.sum(tally), F.sum(F.when(F.col("block") >= 0, F.col("tokens"))), F.sum("docs")).first()
+    ends = ends or 0
+    n, distinct = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
     below = F.log10(F.lit(n + 0.1 * (distinct + 1)))
-    return docs.join(sums, ["block", "doc"], "left").select(
+    return postings.sum_blocks(sums, df.schema[id_col].dataType, ["logs", "known"]).select(
         F.col("id").alias(id_col),
         (F.col("doc_weight") == 0).alias("held_out"),
         (F.col("n_terms") + 1).alias("n_tokens"),
-        (F.coalesce(F.col("known"), F.lit(0)).cast("long") + int(ends > 0)).alias("n_known"),
+        (F.col("known").cast("long") + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce(F.col("logs"), F.lit(0.0)) + F.log10(F.lit(ends + 0.1)) - (F.col("n_terms") + 1) * below).alias("base_score"),
+        (F.col("logs") + F.log10(F.lit(ends + 0.1)) - (F.col("n_terms") + 1) * below).alias("base_score"),
         F.col("measure").alias("score"),
     )

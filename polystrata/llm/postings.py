@@ -1,18 +1,24 @@
-"""Inverted postings: terms of documents, a row per (block, term), and sums back per document.
+"""Inverted postings: terms of documents, packed by (block, bucket of terms), and sums back per document.
 
 A block is a slice of an input partition (at most 65,536 documents and about
-16 MB of text).  Its row for a term holds every document of the block that has
-the term, so a term has at most one row per block however common it is: a word
-of every document is no hot key.  ``posts`` holds a variable-length number per
-document, twice the step from the document before it, plus one if the frequency
-is over 1; ``freqs`` holds those frequencies.
+16 MB of text); a bucket is a share of all terms by hash.  One packed row holds
+the block's terms of one bucket with the documents that have them, so each
+distinct term of the corpus is met in exactly one bucket, and a term has at most
+one entry per block however common it is: a word of every document is no hot
+key.  A task that gets a bucket finds its distinct terms, values each once, and
+sends every block one number per document; blocks add these up.
+
+Only packed rows are shuffled (about a third of the text's size).  Block numbers
+follow from the input's partitions and order, so the input should be a table or
+another source that is read again in the same order.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,80 +30,87 @@ from pyspark.sql import types as T
 from . import common
 
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
-#: Pairs gathered in a task before they are summed and handed on.
-_GATHER = 3_000_000
-
-_TERMS = T.StructType(
-    [
-        T.StructField("block", T.LongType(), False),
-        T.StructField("term", T.BinaryType(), True),
-        T.StructField("posts", T.BinaryType(), True),
-        T.StructField("freqs", T.BinaryType(), True),
-        T.StructField("weight", T.LongType(), True),
-        T.StructField("doc", T.IntegerType(), True),
-        T.StructField("n_terms", T.LongType(), True),
-        T.StructField("n_bytes", T.LongType(), True),
-    ]
-)
-
-
-def _varints(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets per row) of numbers below 2**35, seven bits to a byte, the low ones first."""
+
+_PACKED = "bucket int, block long, n_terms int, sizes binary, terms binary, counts binary, posts binary, freqs binary, weights binary, info binary, tokens long, docs long"
+_SUMS = "block long, sums binary, info binary, tokens long, docs long"
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, end of each number) of numbers below 2**35, seven bits to a byte, the low ones first."""
     size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(5):
         has = np.flatnonzero(size > k)
         out[(ends - size)[has] + k] = ((values[has] >> 7 * k) & 127) | ((size[has] > k + 1) << 7)
-    return out, np.concatenate([[0], np.cumsum(np.bincount(rows, size, n_rows).astype(np.int64))])
-
-
-def _numbers(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, how many in each row) that :func:`_varints` packed."""
-    last = raw < 128
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
-    done = np.concatenate([[0], np.cumsum(last)])
-    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    shift = np.arange(len(raw)) - np.repeat(start, np.diff(np.concatenate([start, [len(raw)]])))
-    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, start), np.diff(done[ends])
-
-
-def _pack(codes: np.ndarray, docs: np.ndarray, vocabulary: int, weights: np.ndarray):
-    """((posts, offsets), (freqs, offsets), weight per term) from a (term, document) pair per occurrence."""
-    keys = np.sort(codes.astype(np.int64) << 16 | docs)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return out, ends
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    """The numbers that :func:`_varints` packed."""
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64)
+    start = np.concatenate([[0], np.flatnonzero(data < 128)[:-1] + 1])
+    shift = np.arange(len(data)) - np.repeat(start, np.diff(np.concatenate([start, [len(data)]])))
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * shift, start)
+
+
+def _pack(codes: np.ndarray, docs: np.ndarray, words: list[bytes], weights: np.ndarray, buckets: int):
+    """(bucket, columns of a packed row) for each bucket that has terms, from a (term, document) pair per occurrence."""
+    if not words:
+        return
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    keys = np.sort(rank[codes] << 16 | docs)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     freq = np.diff(np.concatenate([first, [len(keys)]]))
     term, doc = keys[first] >> 16, keys[first] & 0xFFFF
-    weight = np.bincount(term, freq * weights[doc], vocabulary).astype(np.int64)
-    step = np.diff(doc, prepend=0)
-    heads = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.zeros(0, bool)
+    weight = np.bincount(term, freq * weights[doc], len(words)).astype(np.int64)
+    step, heads, more = np.diff(doc, prepend=0), np.concatenate([[True], term[1:] != term[:-1]]), freq > 1
     step[heads] = doc[heads]
-    more = freq > 1
-    return _varints(step * 2 + more, term, vocabulary), _varints(freq[more], term[more], vocabulary), weight
+    posts, post_ends = _varints(step * 2 + more)
+    freqs, freq_ends = _varints(freq[more])
+    bounds = np.concatenate([np.flatnonzero(np.diff(bucket[order], prepend=-1)), [len(words)]])
+    at = np.concatenate([[0], post_ends])[np.searchsorted(term, bounds)]
+    fat = np.concatenate([[0], freq_ends])[np.searchsorted(term[more], bounds)]
+    count = np.bincount(term, minlength=len(words))
+    for k in range(len(bounds) - 1):
+        low, high = bounds[k], bounds[k + 1]
+        mine = [words[j] for j in order[low:high]]
+        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+        yield int(bucket[order[low]]), (len(mine), _varints(sizes)[0].tobytes(), b"".join(mine), _varints(count[low:high])[0].tobytes(), posts[at[k] : at[k + 1]].tobytes(), freqs[fat[k] : fat[k + 1]].tobytes(), _varints(weight[low:high])[0].tobytes())
+
+
+def _info_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", id_type), T.StructField("n_terms", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("doc_weight", T.IntegerType()), T.StructField("measure", T.DoubleType())])
 
 
 def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[bytes], list]], weight: Column | None = None, measure: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
-    """Term rows (``term`` set) and document rows (``doc`` set) of ``df``, staged in the shared folder.
+    """Packed rows of ``df``.
 
     ``split()`` runs once per task and gives a function from a text's bytes to
-    its terms (bytes or str).  ``weight``: 0 or 1 by document; a term row's
-    ``weight`` is its frequency over documents of weight 1.  ``measure`` gives a
-    number for each of a list of texts, kept in the document rows.
+    its terms (bytes or str).  ``weight``: 0 or 1 by document; a term's weight is
+    its frequency over documents of weight 1.  ``measure`` gives a number for
+    each of a list of texts, kept with the documents.
     """
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([*_TERMS.fields, T.StructField("id", id_type, True), T.StructField("doc_weight", T.IntegerType(), True), T.StructField("measure", T.DoubleType(), True)])
+    info = _info_schema(df.schema[id_col].dataType)
     weight = F.lit(1) if weight is None else weight
     rows = df.select(F.col(f"`{id_col}`").alias("id"), common.utf8(text_col).alias("text"), weight.cast("int").alias("doc_weight"))
+    buckets = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [x.split()[0] for x in _PACKED.split(", ")]
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, terms_of = to_arrow_schema(schema), split()
+        arrow, terms_of = to_arrow_schema(info), split()
+        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
         task, serial = TaskContext.get().partitionId(), itertools.count()
 
-        def fill(n, **columns):
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for batch in batches:
             texts, ids, weights = batch.column(1), batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -108,71 +121,104 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                     block = task << 32 | next(serial)
                     memo: dict = defaultdict(itertools.count().__next__)
                     code, parts, sizes = memo.__getitem__, [], np.zeros(n, np.int64)
-                    own_texts = texts.slice(at, n).to_pylist()
-                    for k, text in enumerate(own_texts):
+                    own = texts.slice(at, n).to_pylist()
+                    for k, text in enumerate(own):
                         found = np.fromiter(map(code, terms_of(text)), np.int32)
                         parts.append(found)
                         sizes[k] = len(found)
-                    (posts, at_posts), (freqs, at_freqs), total = _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), len(memo), weights[at : at + n])
                     words = [t.encode() if isinstance(t, str) else t for t in memo]
-                    for low in range(0, len(words), 20_000):
-                        high = min(len(words), low + 20_000)
-                        m = high - low
-                        packed, often = (common.binary_array(x[o[low] : o[high]], o[low : high + 1] - o[low]) for x, o in ((posts, at_posts), (freqs, at_freqs)))
-                        yield fill(m, block=pa.array(np.full(m, block)), term=pa.array(words[low:high], pa.binary()), posts=packed, freqs=often, weight=pa.array(total[low:high]))
-                    own = {} if measure is None else {"measure": pa.array(measure(own_texts))}
-                    yield fill(n, **own, block=pa.array(np.full(n, block)), doc=pa.array(np.arange(n, dtype=np.int32)), n_terms=pa.array(sizes), n_bytes=pa.array(np.diff(ends[at : at + n + 1])), id=ids.slice(at, n), doc_weight=pa.array(weights[at : at + n].astype(np.int32)))
-
-    return common.stage_table(rows.mapInArrow(run, schema), "postings")
-
+                    for bucket, columns in _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), words, weights[at : at + n], buckets):
+                        yield row(bucket, block, *columns, None, None, None)
+                    measures = pa.nulls(n, pa.float64()) if measure is None else pa.array(measure(own))
+                    held = pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(sizes), pa.array(np.diff(ends[at : at + n + 1])), pa.array(weights[at : at + n].astype(np.int32)), measures], schema=arrow)
+                    kept = weights[at : at + n] == 1
+                    yield row(block % buckets, block, 0, *[None] * 6, held.serialize().to_pybytes(), int(sizes[kept].sum()), int(kept.sum()))
 
-def terms(staged: DataFrame) -> DataFrame:
-    """(block, term, posts, freqs, weight)."""
-    return staged.where("term IS NOT NULL").select("block", "term", "posts", "freqs", "weight")
+    return rows.mapInArrow(run, _PACKED)
 
 
-def documents(staged: DataFrame) -> DataFrame:
-    """(block, doc, id, n_terms, n_bytes, doc_weight, measure)."""
-    return staged.where("doc IS NOT NULL").select("block", "doc", "id", "n_terms", "n_bytes", "doc_weight", "measure")
+def value_terms(packed: DataFrame, value: Callable[[], Callable[[list[bytes], np.ndarray], np.ndarray]], n_values: int, tally: bool = False) -> DataFrame:
+    """(block, sums, info, ...): for each block and bucket a number per document and value, sums of frequency times value.
 
+    ``value()`` runs once per task and gives a function from (distinct terms,
+    their weights) to an array (terms, ``n_values``).  ``tally`` adds a row with
+    block -1 per bucket, whose ``tokens`` is its number of terms of positive weight.
+    """
+    names = [x.split()[0] for x in _SUMS.split(", ")]
+
+    def row(block, sums, info, tokens, docs):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums], pa.binary()), pa.array([info], pa.binary()), pa.array([tokens], pa.int64()), pa.array([docs], pa.int64())], names=names)
+
+    def one_bucket(held, worth):
+        sizes = [_numbers(r["sizes"]) for r in held]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        coded = common.binary_array(np.frombuffer(b"".join(r["terms"] for r in held), np.uint8), ends).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        weights = np.bincount(codes, np.concatenate([_numbers(r["weights"]) for r in held]), len(coded.dictionary)).astype(np.int64)
+        values = worth(coded.dictionary.to_pylist(), weights)
+        low = 0
+        for r, size in zip(held, sizes, strict=True):
+            count, steps = _numbers(r["counts"]), _numbers(r["posts"])
+            docs, more = np.cumsum(steps >> 1), (steps & 1).astype(bool)
+            heads = np.cumsum(count) - count
+            docs -= np.repeat(docs[heads] - (steps[heads] >> 1), count)
+            freq = np.ones(len(docs))
+            freq[more] = _numbers(r["freqs"])
+            mine = np.repeat(values[codes[low : low + len(size)]], count, 0)
+            sums = np.stack([np.bincount(docs, freq * mine[:, k]) for k in range(n_values)], 1)
+            yield row(r["block"], sums.tobytes(), None, None, None)
+            low += len(size)
+        if tally:
+            yield row(-1, None, None, int((weights > 0).sum()), None)
 
-def sum_to_documents(joined: DataFrame, values: Iterable[str]) -> DataFrame:
-    """(block, doc, *values): for each document the sum over its terms of frequency times value."""
-    values = list(values)
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in values]])
-
-    def total(held):
-        blocks, docs, sums = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, code = np.unique(blocks, return_inverse=True)
-        keys = code.astype(np.int64) << 16 | docs
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        return blocks[order[first]], docs[order[first]], np.add.reduceat(sums[order], first, axis=0)
+    def run(batches):
+        worth, at, held = value(), None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if r["info"] is not None:
+                    yield row(r["block"], None, r["info"], r["tokens"], r["docs"])
+                    continue
+                if r["bucket"] != at and held:
+                    yield from one_bucket(held, worth)
+                    held = []
+                at = r["bucket"]
+                held.append(r)
+        if held:
+            yield from one_bucket(held, worth)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SUMS)
+
+
+def sum_blocks(sums: DataFrame, id_type: T.DataType, values: list[str]) -> DataFrame:
+    """(id, n_terms, n_bytes, doc_weight, measure, *values): a row per document, its sums over all buckets."""
+    info = _info_schema(id_type)
+    schema = T.StructType([*info.fields, *[T.StructField(v, T.DoubleType()) for v in values]])
 
     def run(batches):
-        held, size = [], 0
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, out, at, held, total = to_arrow_schema(info), to_arrow_schema(schema), None, None, np.zeros((0, len(values)))
 
-        def out():
-            b, d, s = total(held)
-            for low in range(0, len(b), 50_000):
-                cut = slice(low, low + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(d[cut].astype(np.int32)), *[pa.array(np.ascontiguousarray(s[cut, k])) for k in range(len(values))]], names=schema.names)
+        def done():
+            whole = np.zeros((held.num_rows, len(values)))
+            whole[: len(total)] = total
+            return pa.RecordBatch.from_arrays([*held.columns, *[pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(values))]], schema=out)
 
         for batch in batches:
-            steps, n = _numbers(*common.byte_rows(batch.column(1)))
-            docs, more = np.cumsum(steps >> 1), (steps & 1).astype(bool)
-            heads = np.cumsum(n) - n
-            docs -= np.repeat(docs[heads] - (steps[heads] >> 1), n)
-            freq = np.ones(len(docs))
-            freq[more] = _numbers(*common.byte_rows(batch.column(2)))[0]
-            worth = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1)
-            held.append((np.repeat(batch.column(0).to_numpy(), n), docs, np.repeat(worth, n, 0) * freq[:, None]))
-            size += len(docs)
-            if size >= _GATHER:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
-
-    rows = joined.select("block", "posts", "freqs", *[F.col(v).cast("double").alias(v) for v in values])
-    return rows.mapInArrow(run, schema).groupBy("block", "doc").agg(*[F.sum(v).alias(v) for v in values])
+            for block, sums, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if block != at and held is not None:
+                    yield done()
+                    held, total = None, np.zeros((0, len(values)))
+                at = block
+                if own.is_valid:
+                    held = pa.ipc.read_record_batch(own.as_buffer(), arrow)
+                else:
+                    more = np.frombuffer(sums.as_buffer()).reshape(-1, len(values))
+                    if len(more) > len(total):
+                        total, more = more.copy(), total
+                    total[: len(more)] += more
+        if held is not None:
+            yield done()
+
+    return sums.where("block >= 0").select("block", "sums", "info").repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, token_count
+from . import bpe, flac, lm, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +40,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe}
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every whole text as a FLAC stream, read it back, and describe both."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    back = flac.load(flac.store(docs, "text").drop("text"), "media")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe, "op9_flac": op9_flac}
 ORACLES: dict[str, str] = {}

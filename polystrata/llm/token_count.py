@@ -2,7 +2,8 @@
 
 No ids are made for documents: every distinct pre-token of the corpus is handed
 to the tokenizer once, its number of pieces is joined to the postings of that
-pre-token, and frequency times pieces is summed per document.
+pre-token (a hash join within the bucket of pre-tokens that a task gets), and
+frequency times pieces is summed per document.
 
 Defined results: NULL and empty texts count 0; repeated rows are counted each;
 an empty table gives an empty table; strings of added tokens inside a text count
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +51,16 @@ def _splitter(path: str, pattern: str):
     return split
 
 
-def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
-    """(term, pieces) for a table of distinct pre-tokens."""
+def _piece_counter(path: str):
+    """Distinct pre-tokens -> pieces of each."""
+    tokenizer = _tokenizer(path)
 
-    def run(batches):
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            words = [w.decode() for w in batch.column(0).to_pylist()]
-            sizes = [len(e.ids) for low in range(0, len(words), 2000) for e in tokenizer.encode_batch_fast(words[low : low + 2000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["term", "pieces"])
+    def count(terms: list[bytes], _: np.ndarray) -> np.ndarray:
+        words = [t.decode() for t in terms]
+        sizes = [len(e.ids) for low in range(0, len(words), 2000) for e in tokenizer.encode_batch_fast(words[low : low + 2000], add_special_tokens=False)]
+        return np.array(sizes, float)[:, None]
 
-    return distinct.mapInArrow(run, "term binary, pieces long")
+    return count
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
@@ -68,11 +68,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str, pattern:
 
     ``pattern`` is the file's pre-tokenization; ``path`` must be readable on the executors.
     """
-    staged = postings.build(df, id_col, text_col, lambda: _splitter(path, pattern))
-    terms = postings.terms(staged)
-    pieces = piece_counts(terms.select("term").distinct(), path)
-    sums = postings.sum_to_documents(terms.join(pieces, "term"), ["pieces"])
-    docs = postings.documents(staged)
-    return docs.join(sums, ["block", "doc"], "left").select(
-        F.col("id").alias(id_col), "n_bytes", F.coalesce(F.col("pieces"), F.lit(0)).cast("long").alias("n_tokens")
-    )
+    packed = postings.build(df, id_col, text_col, lambda: _splitter(path, pattern))
+    sums = postings.value_terms(packed, lambda: _piece_counter(path), 1)
+    docs = postings.sum_blocks(sums, df.schema[id_col].dataType, ["pieces"])
+    return docs.select(F.col("id").alias(id_col), "n_bytes", F.col("pieces").cast("long").alias("n_tokens"))
