@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, lm, token_count
+from . import bpe, flac, licenses, lm, mixing, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,27 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe, "op9_flac": op9_flac}
-ORACLES: dict[str, str] = {}
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every whole text and of its lines, looked up among known licenses."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan(docs, "text").select("doc_id", "text_digest", "license_id", "n_license_lines", "line_licenses")
+
+
+#: Equal sources, fixed languages, more long texts.
+MIX_TARGETS: dict[str, mixing.Target] = {
+    "source": {"other": 1.0},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2, "other": 0.05},
+    "topic": {"short": 0.2, "medium": 0.5, "long": 0.3},
+}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rake tokens to source, language and length marginals; a keep decision for every document."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "lang", mixing.word_count("text").alias("n"))
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.length_topic(F.col("n"))}
+    out = mixing.mix(docs, "doc_id", F.col("n"), dims, MIX_TARGETS)
+    return out.select("doc_id", "cell_source", "cell_lang", "cell_topic", "tokens", F.round("keep_prob", 6).alias("keep_prob"), "kept")
+
+
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op7_licenses": licenses.sql(), "op10_mixing": mixing.sql(MIX_TARGETS)}
