@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from . import common
 BLOCK, RATE = 4096, 8000
 _SHIFT, _PRECISION = 10, 14
 #: Bytes encoded, and stream bytes decoded, at once: lockstep gains from many frames.
-_ENCODE, _DECODE = 2 << 20, 12 << 20
+_ENCODE, _DECODE = 1 << 20, 4 << 20
 
 
 def _crc_table(poly: int, width: int) -> np.ndarray:
@@ -409,7 +410,7 @@ def _per_slice(df: DataFrame, column, schema: T.StructType, work, limit: int) ->
         arrow = to_arrow_schema(schema)
         for batch in batches:
             values = batch.column(batch.num_columns - 1)
-            ends = np.concatenate([[0], np.cumsum(np.array([0 if v is None else len(v) for v in values.to_pylist()], np.int64))])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64))])
             for start, stop in common.slices(ends, limit):
                 part = batch.slice(start, stop - start)
                 more = work(part.column(batch.num_columns - 1).to_pylist())
@@ -448,7 +449,7 @@ def pcm_blocks(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             ids, streams = batch.column(0), batch.column(1)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in streams.to_pylist()])])
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(streams).to_numpy().astype(np.int64))])
             for start, stop in common.slices(ends, _DECODE):
                 held = decode(streams.slice(start, stop - start).to_pylist())
                 counts = [len(x) for x in held]

@@ -1,10 +1,10 @@
 """Language-model scores by logistic context mixing, beside a smoothed unigram base.
 
 Every bit of a text is predicted by several predictors, each a hash table from
-(context, bits of the byte so far) to counts of zeros and ones: the last two to
+(context, bits of the byte so far) to counts of zeros and ones: the last two and
 four bytes, and the word so far.  A context's hash picks a line of 16 slots for
 each half of the byte.  A mixer adds their log-odds with weights that
-a gate picks (which contexts are known, and the place of the bit); an adaptive
+a gate picks (how sure the longer contexts are, and the place of the bit); an adaptive
 map from the mixed log-odds to what was seen refines the result.
 
 Training passes over all training texts once.  Each task predicts a slice from
@@ -12,7 +12,7 @@ what it has seen before the slice, corrects the weights and the adaptive map
 online from its errors, and only then counts the slice.  Counts of all tasks are
 summed per table slot; weights are averaged by training bits.  The tables have a
 fixed number of slots (:data:`BITS`), so the model that is broadcast has a fixed
-size (23 MB) while the counts gathered grow with the corpus.
+size (19 MB) while the counts gathered grow with the corpus.
 
 Within a slice equal (contexts, byte) are predicted once and weighted by their
 number.  Texts are lower-cased (A-Z) and end in one zero byte, which is scored.
@@ -31,36 +31,20 @@ from pyspark.sql import functions as F
 
 from . import common, postings
 
-#: Slots (as a power of two) of the predictors: two to four bytes, and the word so far.
-BITS = (20, 21, 22, 22)
-_K, _GATES, _BUCKETS = len(BITS), 64, 33
+#: Slots (as a power of two) of the predictors: two and four bytes, and the word so far.
+BITS = (20, 22, 22)
+_K, _GATES, _BUCKETS = len(BITS), 128, 33
 _PAD = 4
 #: Most bytes of a slice; a task's slices double from an eighth of a megabyte up to this.
 SLICE, _FIRST = 4 << 20, 128 << 10
 _CHUNK = 1 << 13
 _MIXER = -1
-_MINI = 1 << 16
+_MINI = 1 << 14
 _SCALE = 1024.0
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64 and their inverses, as far as they were needed."""
-
-    base = 0x9E3779B97F4A7C15
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-            held = getattr(self, name)
-            while len(held) < n:
-                held = np.concatenate([held, held * np.uint64(pow(base, len(held), 1 << 64))])
-            setattr(self, name, held)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+#: A random number for each (place in a word modulo 64, byte): a word's hash is the sum over its bytes.
+_LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Items:
@@ -74,38 +58,47 @@ class Items:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_starts = np.cumsum(sizes) - sizes
         n = len(buf)
-        last = np.ndarray((n - _PAD,), "<u4", joined, 0, (1,)).astype(np.uint64)  # the four bytes before each place
-        b = buf[_PAD:]
-        space = (buf == 0) | (buf == 32) | ((buf >= 9) & (buf <= 13))
-        start = np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))[_PAD - 1 : -1]
-        up, down = _POWERS.upto(n + 1)
+        b, last = buf[_PAD:], np.ndarray((n - _PAD,), "<u4", joined, 0, (1,))  # the four bytes before each place
+        start = np.arange(1, n + 1, dtype=np.int32)
+        start[~((buf == 0) | (buf == 32) | ((buf >= 9) & (buf <= 13)))] = 0
+        start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]]).astype(np.int32)
+        letter = np.arange(n, dtype=np.int32)
+        letter -= start
+        letter &= 63
+        letter <<= 8
+        letter |= buf
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf + np.uint64(1)) * up[:-1], out=total[1:])
-        word = (total[_PAD:-1] - total[start]) * down[start]
-        del total, start, space
-        keys = word * np.uint64(0xD1B54A32D192ED03) + last * np.uint64(0x8CB92BA72F3D8DD7) + b * np.uint64(0xEB44ACCAB455D165)
+        np.cumsum(_LETTERS[letter], out=total[1:])
+        del letter
+        word = total[_PAD:-1] - total[start[_PAD:]]
+        del total, start
+        keys = last * np.uint64(0x8CB92BA72F3D8DD7)
+        keys += word * np.uint64(0xD1B54A32D192ED03)
+        keys += b * np.uint64(0xEB44ACCAB455D165)
         keys ^= keys >> np.uint64(32)
         keys *= np.uint64(0xBF58476D1CE4E5B9)
-        if len(texts) > 1:
-            scored = np.ones(n - _PAD, bool)
-            scored[((self.text_starts + np.arange(len(texts)) * _PAD)[1:, None] - np.arange(1, _PAD + 1)).ravel()] = False
-            at = np.flatnonzero(scored)
-            keys = keys[at]
-        else:
-            at = np.arange(n - _PAD)
+        scored = np.ones(n - _PAD, bool)
+        scored[((self.text_starts + np.arange(len(texts)) * _PAD)[1:, None] - np.arange(1, _PAD + 1)).ravel()] = False
+        at = np.flatnonzero(scored).astype(np.int32)
+        keys = keys[at]
         # Sorting keys whose low bits hold the place is several times faster than an argsort; equal keys still meet.
         low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
-        order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+        order = keys & ~low
+        order |= np.arange(len(keys), dtype=np.uint64)
+        order.sort()
+        order &= low
+        order = order.astype(np.int32)
         keys = keys[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        del keys
         first = np.flatnonzero(new)
-        self.counts = np.diff(np.concatenate([first, [len(keys)]]))
+        self.counts = np.diff(np.concatenate([first, [len(order)]]))
         if want_places:
-            self.places = np.empty(len(keys), np.int32)
+            self.places = np.empty(len(order), np.int32)
             self.places[order] = np.cumsum(new, dtype=np.int32) - 1
         at = at[order[first]]
-        self.byte, last, word = b[at].astype(np.int64), last[at], word[at]
-        self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((last >> np.uint64(16), last >> np.uint64(8), last, word))]
+        self.byte, last, word = b[at].astype(np.int64), last[at].astype(np.uint64), word[at]
+        self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((last >> np.uint64(16), last, word))]
 
     def bits(self, part: slice):
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""
@@ -137,25 +130,32 @@ class Mixer:
         self.seen = np.zeros((2, 256 * _BUCKETS)) if seen is None else seen
 
     def predict(self, odds: np.ndarray, j: int, node: np.ndarray):
-        """(probability of a one, mixed probability, gate of this bit, cell of the adaptive map)."""
-        gate = ((odds[_K - 1] != 0) * 4 + (odds[_K - 2] != 0) * 2 + (odds[_K - 3] != 0)).astype(np.int8)
-        own = self.weights[:, j * 8 : j * 8 + 8]
+        """(mixed probability of a one, gate of this bit, cell of the adaptive map)."""
+        gate = np.zeros(len(odds[0]), np.int8)
+        for k in (_K - 1, _K - 2):  # how sure the word and the longest context are
+            sure = np.abs(odds[k])
+            gate = gate * 4 + (sure > 0) + (sure > 2.5) + (sure > 4.5)
+        own = self.weights[:, j * 16 : j * 16 + 16]
         z = own[_K][gate]
         for k in range(_K):
             z += own[k][gate] * odds[k]
         np.clip(z, -14, 14, out=z)
         p = _sigmoid(z)
         cell = node * _BUCKETS + np.clip(np.rint(z * 2) + _BUCKETS // 2, 0, _BUCKETS - 1).astype(np.int64)
+        return p, gate, cell
+
+    def refine(self, p: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The mean of the mixed probability and of what the adaptive map saw at its cell."""
         ones, n = self.seen[0][cell], self.seen[1][cell]
-        return np.clip(0.5 * p + 0.5 * (ones + 20 * p) / (n + 20), 1e-6, 1 - 1e-6), p, gate, cell
+        return np.clip(0.5 * p + 0.5 * (ones + 20 * p) / (n + 20), 1e-6, 1 - 1e-6)
 
     def learn(self, odds, j, bit, p, gate, cell, count) -> None:
         """One damped diagonal-Newton step per gate, and the adaptive map's counts."""
-        mine = (gate[:, None] == np.arange(8, dtype=np.int8)).astype(np.float32)
+        mine = (gate[:, None] == np.arange(16, dtype=np.int8)).astype(np.float32)
         count32 = count.astype(np.float32)
         error, slope = count32 * (bit - p).astype(np.float32), count32 * (p * (1 - p))
         step = (odds * error) @ mine / ((odds * odds * slope) @ mine + 50)
-        self.weights[:, j * 8 : j * 8 + 8] += 0.15 * step
+        self.weights[:, j * 16 : j * 16 + 16] += 0.05 * step
         self.seen[0] += np.bincount(cell, count * bit, 256 * _BUCKETS)
         self.seen[1] += np.bincount(cell, count, 256 * _BUCKETS)
 
@@ -206,7 +206,7 @@ def _train(batches):
                 part = slice(low, low + _MINI)
                 for j, node, bit, slots in items.bits(part):
                     odds = counts.odds(slots)
-                    _, p, gate, cell = mixer.predict(odds, j, node)
+                    p, gate, cell = mixer.predict(odds, j, node)
                     mixer.learn(odds, j, bit, p, gate, cell, items.counts[part])
             counts.add(items)
             bits += int(items.counts.sum()) * 8
@@ -271,7 +271,8 @@ class Model:
                 part = slice(low, low + _MINI)
                 for j, node, bit, slots in items.bits(part):
                     odds = [self.tables[k][slots[k]] * np.float32(1 / _SCALE) for k in range(_K)]
-                    p = self.mixer.predict(odds, j, node)[0]
+                    p, _, cell = self.mixer.predict(odds, j, node)
+                    p = self.mixer.refine(p, cell)
                     logs[part] += np.log10(np.where(bit == 1, p, 1 - p))
             out.append(np.add.reduceat(logs[items.places], items.text_starts))
         return np.concatenate(out) if out else np.zeros(0)

@@ -1,7 +1,7 @@
 """Inverted postings: terms of documents, packed by (block, bucket of terms), and sums back per document.
 
 A block is a slice of an input partition (at most 65,536 documents and about
-16 MB of text); a bucket is a share of all terms by hash.  One packed row holds
+12 MB of text); a bucket is a share of all terms by hash.  One packed row holds
 the block's terms of one bucket with the documents that have them, so each
 distinct term of the corpus is met in exactly one bucket, and a term has at most
 one entry per block however common it is: a word of every document is no hot
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 1 << 16
 
 _PACKED = "bucket int, block long, n_terms int, sizes binary, terms binary, counts binary, posts binary, freqs binary, weights binary, info binary, tokens long, docs long"
 _SUMS = "block long, sums binary, info binary, tokens long, docs long"

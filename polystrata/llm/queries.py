@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, licenses, lm, mixing, token_count
+from . import bpe, flac, licenses, lm, mixing, quality, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,27 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(spark, _documents(spark, sf_dir), "doc_id", "text")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text, and the learned decision list's verdict."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rules = quality.fit(docs, _labels(spark, sf_dir), "doc_id", "text", "quality")
+    out = quality.judge(docs, "text", rules)
+    stats = [F.col(f"_ps_stats.{s}").alias(s) for s in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *stats, "base_failed", "kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every whole text, and whether each is reached."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.fit(docs, _labels(spark, sf_dir), "doc_id", "text", "toxic")
+    out = toxicity.score(docs, "text", chain).drop("text")
+    return out.withColumns({"toxic": toxicity.flag("toxic"), "severe": toxicity.flag("severe")})
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded bytes."""
     import public_tokenizers as tokenizers
@@ -78,5 +99,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cell_source", "cell_lang", "cell_topic", "tokens", F.round("keep_prob", 6).alias("keep_prob"), "kept")
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op7_licenses": licenses.sql(), "op10_mixing": mixing.sql(MIX_TARGETS)}
