@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, licenses, lm, mixing, quality, token_count, toxicity
+from . import bpe, flac, licenses, lm, mixing, neardup, quality, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every whole text."""
+    return neardup.near_duplicates(_documents(spark, sf_dir), "doc_id", "text")
+
+
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every whole text as a FLAC stream, read it back, and describe both."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -99,5 +104,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cell_source", "cell_lang", "cell_topic", "tokens", F.round("keep_prob", 6).alias("keep_prob"), "kept")
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_near_duplicates": op8_near_duplicates, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op7_licenses": licenses.sql(), "op10_mixing": mixing.sql(MIX_TARGETS)}
