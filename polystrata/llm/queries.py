@@ -39,11 +39,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of the chain's categories for every whole text, and whether each is reached."""
+    """Probabilities and decisions of the chain's categories for every whole text."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     chain = toxicity.fit(docs, _labels(spark, sf_dir), "doc_id", "text", "toxic")
-    out = toxicity.score(docs, "text", chain).drop("text")
-    return out.withColumns({"toxic": toxicity.flag("toxic"), "severe": toxicity.flag("severe")})
+    return toxicity.score(docs, "text", chain).drop("text").withColumnsRenamed({"is_toxic": "toxic", "is_severe": "severe"})
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

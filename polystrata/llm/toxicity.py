@@ -1,9 +1,12 @@
 """Toxicity by a chain of linear classifiers over words.
 
 Categories are predicted one after the other.  Each is a logistic model with an
-L1 penalty over the presence of words; later models also get the log-odds that
-the earlier ones give.  In training those come from models that did not see the
-row (out of fold), so a later model learns how far to trust them.
+L1 penalty; later models also get the log-odds that the earlier ones give.  In
+training those come from models that did not see the row (out of fold), so a later
+model learns how far to trust them; the same out-of-fold probabilities set each
+category's threshold (best F1).  Features are words and beginnings of longer words
+(3 to 8 letters); a feature's value is log2(1 + number of the text's distinct words
+that have it), so an inflected stem counts as often as it is inflected.
 
 The chain is fitted on at most :data:`SAMPLE` labelled rows (those of smallest id
 hash); every row is scored over its whole text.
@@ -22,22 +25,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Most labelled rows the chain is fitted on, and most words a model may use.
-SAMPLE, WORDS, FOLDS = 10_000, 300, 5
+#: Most labelled rows the chain is fitted on, most features it may use, and folds.
+SAMPLE, FEATURES, FOLDS = 10_000, 400, 5
 
-# A word: letters of any script; UTF-8 bytes above 127 count as letters.
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Words whose features a task remembers at most.
+_MEMO = 400_000
 
 
-def words(text: bytes) -> set[bytes]:
-    """Distinct words, A-Z lower-cased."""
-    return set(_WORD.findall(text.lower()))
+def words(text: bytes) -> set[str]:
+    """Distinct words (runs of letters), lower-cased."""
+    return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
+
+
+def features(word: str) -> list[str]:
+    """The word, and its proper beginnings of 3 to 8 letters, marked by a star."""
+    return [word[:64], *[word[:n] + "*" for n in range(3, min(9, len(word)))]]
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -49,7 +58,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarray:
+def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> np.ndarray:
     """Weights (the last is the bias) of an L1-penalised logistic model, by accelerated proximal gradient."""
     n = len(y)
     x, y = np.concatenate([x, np.ones((n, 1))], 1).astype(np.float32), y.astype(np.float32)
@@ -71,53 +80,64 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300)
 
 @dataclass
 class Chain:
-    """Fitted chain: for each category weights by word, weights of the earlier categories, and the bias."""
+    """Fitted chain: for each category weights by feature, weights of the earlier categories, bias and threshold."""
 
     categories: list[str]
-    vocabulary: list[bytes]
-    by_word: np.ndarray
+    vocabulary: list[str]
+    by_feature: np.ndarray
     by_earlier: list[np.ndarray]
     bias: np.ndarray
+    thresholds: np.ndarray
 
-    def probabilities(self, present: np.ndarray) -> np.ndarray:
-        """Probabilities (rows, categories) from word presence (rows, vocabulary)."""
-        out = np.zeros((len(present), len(self.categories)))
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (rows, categories) from feature values (rows, vocabulary)."""
+        out = np.zeros((len(x), len(self.categories)))
         for k in range(len(self.categories)):
-            z = present @ self.by_word[k] + self.bias[k]
+            z = x @ self.by_feature[k] + self.bias[k]
             if k:
                 z = z + _logit(out[:, :k]) @ self.by_earlier[k]
             out[:, k] = _sigmoid(z)
         return out
 
 
-def _telling_words(codes: list[np.ndarray], size: int, y: np.ndarray, most: int) -> np.ndarray:
-    """Words whose presence goes most with ``y``, by signed root of the likelihood ratio."""
-    inside, n1, n0 = np.zeros(size), y.sum(), len(y) - y.sum()
-    total = np.zeros(size)
-    for row, hit in zip(codes, y, strict=True):
-        total[row] += 1
-        if hit:
-            inside[row] += 1
-    rate1, rate0 = (inside + 0.5) / (n1 + 1), (total - inside + 0.5) / (n0 + 1)
-    score = np.sqrt(total) * np.abs(np.log(rate1 / rate0)) * (total >= 3)
-    return np.sort(np.argsort(-score, kind="stable")[:most])
-
-
-def fit_chain(texts: list[list[bytes]], labels: dict[str, np.ndarray], folds: np.ndarray, penalty: float = 0.002) -> Chain:
-    """Fit the chain on word lists; ``labels`` in order of the chain; ``folds`` 0 to FOLDS - 1."""
-    names = list(labels)
-    known: dict[bytes, int] = {}
-    codes = [np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in texts]
-    every = list(known)
-    chosen = np.unique(np.concatenate([np.zeros(0, np.int64), *[_telling_words(codes, len(every), y, WORDS) for y in labels.values() if 0 < y.sum() < len(y)]]))
-    place = np.full(len(every), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(texts), len(chosen)), np.float32)
-    for k, row in enumerate(codes):
-        at = place[row]
-        x[k, at[at >= 0]] = 1
-    by_word, by_earlier, bias = np.zeros((len(names), len(chosen))), [], np.zeros(len(names))
-    earlier = np.zeros((len(texts), 0), np.float32)
+class Counter:
+    """Counts, for each text, its distinct words that have each feature of a vocabulary."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.place = {f: k for k, f in enumerate(vocabulary)}
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def values(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.place)), np.float32)
+        if len(self.memo) > _MEMO:
+            self.memo = {}
+        memo, place = self.memo, self.place
+        for row, text in zip(out, texts, strict=True):
+            for w in words(text):
+                hits = memo.get(w)
+                if hits is None:
+                    hits = memo[w] = tuple(place[f] for f in features(w) if f in place)
+                for k in hits:
+                    row[k] += 1
+        return np.log2(1 + out)
+
+
+def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Cut of the best F1, half way to the next lower probability."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    k = int(f1.argmax())
+    after = p[order[k + 1]] if k + 1 < len(p) else 0.0
+    return float((p[order[k]] + after) / 2)
+
+
+def fit_chain(x: np.ndarray, vocabulary: list[str], labels: dict[str, np.ndarray], folds: np.ndarray, penalty: float = 0.0003) -> Chain:
+    """Fit the chain on feature values; ``labels`` in order of the chain; ``folds`` 0 to FOLDS - 1."""
+    names, width = list(labels), x.shape[1]
+    by_feature, by_earlier = np.zeros((len(names), width)), []
+    bias, thresholds = np.zeros(len(names)), np.full(len(names), 0.5)
+    earlier = np.zeros((len(x), 0), np.float32)
     for k, y in enumerate(labels.values()):
         y = y.astype(float)
         if not 0 < y.sum() < len(y):
@@ -133,24 +153,34 @@ def fit_chain(texts: list[list[bytes]], labels: dict[str, np.ndarray], folds: np
                     w = _fit_linear(data[rest], y[rest], penalty)
                     out_of_fold[own] = _sigmoid(data[own] @ w[:-1] + w[-1])
             w = _fit_linear(data, y, penalty)
-            by_word[k], bias[k] = w[: len(chosen)], w[-1]
-            by_earlier.append(w[len(chosen) : -1])
+            by_feature[k], bias[k] = w[:width], w[-1]
+            by_earlier.append(w[width:-1])
+            thresholds[k] = _best_threshold(out_of_fold, y)
         earlier = np.concatenate([earlier, _logit(out_of_fold)[:, None].astype(np.float32)], 1)
-    used = np.flatnonzero(np.abs(by_word).sum(0) > 0)
-    return Chain(names, [every[c] for c in chosen[used]], by_word[:, used], by_earlier, bias)
-
-
-def _severe(texts: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
-    """A graded category: toxic rows with at least the median number of words that mark toxic rows."""
-    total: dict[bytes, int] = {}
-    inside: dict[bytes, int] = {}
-    for t, y in zip(texts, toxic, strict=True):
-        for w in t:
-            total[w] = total.get(w, 0) + 1
-            if y:
-                inside[w] = inside.get(w, 0) + 1
-    marks = {w for w, n in inside.items() if n >= 10 and n >= 0.9 * total[w]}
-    counts = np.array([sum(w in marks for w in t) if y else 0 for t, y in zip(texts, toxic, strict=True)])
+    used = np.flatnonzero(np.abs(by_feature).sum(0) > 0)
+    return Chain(names, [vocabulary[c] for c in used], by_feature[:, used], by_earlier, bias, thresholds)
+
+
+def telling_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], list[str]]:
+    """(features that go most with the label, those of them that mark label 1) of rows (label, text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sorted({f for w in words(t) for f in features(w)}) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["label", "f"])
+
+    totals = rows.groupBy("label").count().collect()
+    n1, n0 = (sum(r["count"] for r in totals if (r["label"] == 1) == hit) for hit in (True, False))
+    counts = rows.select("label", "text").mapInArrow(run, "label int, f array<string>").select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count(F.lit(1)).alias("c")).where("c >= 4")
+    ratio = F.log((F.col("c1") + 0.5) / (n1 + 1) / ((F.col("c") - F.col("c1") + 0.5) / (n0 + 1)))
+    best = counts.withColumn("ratio", ratio).orderBy((F.sqrt("c") * F.abs("ratio")).desc(), "f").limit(most).collect()
+    return [r.f for r in best], [r.f for r in best if r.c1 >= 10 and r.c1 >= 0.9 * r.c]
+
+
+def _severe(x: np.ndarray, vocabulary: list[str], marks: list[str], toxic: np.ndarray) -> np.ndarray:
+    """A graded category: toxic rows with at least the median number of marking words."""
+    own = [k for k, f in enumerate(vocabulary) if f in set(marks)]
+    counts = np.round(2 ** x[:, own] - 1).sum(1)
     return toxic & (counts >= max(1.0, float(np.median(counts[toxic])) if toxic.any() else 1.0))
 
 
@@ -159,47 +189,40 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_ps_id")).agg(F.max(label_col).alias("_ps_label"))
     known = known.orderBy(F.xxhash64("_ps_id"), "_ps_id").limit(SAMPLE)
     rows = df.select(F.col(f"`{id_col}`").alias("_ps_id"), F.col(f"`{text_col}`").alias("_ps_body")).where("_ps_body IS NOT NULL")
-    rows = rows.join(F.broadcast(known), "_ps_id").select("_ps_label", (F.crc32(F.col("_ps_id").cast("string").cast("binary")) % FOLDS).cast("int").alias("fold"), common.utf8("_ps_body").alias("text"))
+    rows = rows.join(F.broadcast(known), "_ps_id").select(F.col("_ps_label").cast("int").alias("label"), common.utf8("_ps_body").alias("text"), "_ps_id")
+    rows = common.stage_table(rows.limit(2 * SAMPLE), "labelled")
+    vocabulary, marks = telling_features(rows)
 
     def run(batches):
+        counter = Counter(vocabulary)
         for batch in batches:
-            found = [sorted(words(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["label", "fold", "words"])
+            values = counter.values(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(values), pa.list_(pa.float32()))], names=["label", "fold", "x"])
 
-    got = rows.mapInArrow(run, "label int, fold int, words array<binary>").limit(2 * SAMPLE).toArrow().sort_by([("label", "ascending"), ("fold", "ascending")])
-    texts = got["words"].to_pylist()
-    order = sorted(range(len(texts)), key=lambda k: (len(texts[k]), texts[k][:20]))
-    texts = [texts[k] for k in order]
-    toxic, folds = got["label"].to_numpy()[order] == 1, got["fold"].to_numpy()[order]
-    return fit_chain(texts, {"toxic": toxic, "severe": _severe(texts, toxic)}, folds)
+    fold = (F.crc32(F.col("_ps_id").cast("string").cast("binary")) % FOLDS).cast("int").alias("fold")
+    got = rows.orderBy("_ps_id", "text").select("label", fold, "text").mapInArrow(run, "label int, fold int, x array<float>").toArrow()
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(vocabulary)) if len(got) else np.zeros((0, len(vocabulary)), np.float32)
+    toxic, folds = got["label"].to_numpy() == 1, got["fold"].to_numpy()
+    return fit_chain(x, vocabulary, {"toxic": toxic, "severe": _severe(x, vocabulary, marks, toxic)}, folds)
 
 
 def score(df: DataFrame, text_col: str, chain: Chain) -> DataFrame:
-    """Add ``p_<category>`` (double) for each category of the chain."""
+    """Add ``p_<category>`` (double) and ``is_<category>`` (boolean) for each category of the chain."""
     fields = [T.StructField(f"p_{c}", T.DoubleType(), False) for c in chain.categories]
     schema = T.StructType([*df.schema.fields, *fields])
-    held = df.sparkSession.sparkContext.broadcast(chain)  # at most WORDS words a category
+    held = df.sparkSession.sparkContext.broadcast(chain)  # at most FEATURES features
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, model = to_arrow_schema(schema), held.value
-        place = {w: k for k, w in enumerate(model.vocabulary)}
-        marks = frozenset(place)
+        counter = Counter(model.vocabulary)
         for batch in batches:
             _, ends = common.byte_rows(batch.column(batch.num_columns - 1))
             for start, stop in common.slices(ends):
                 part = batch.slice(start, stop - start)
-                present = np.zeros((stop - start, len(place)), np.float32)
-                for k, text in enumerate(part.column(batch.num_columns - 1).to_pylist()):
-                    for w in marks.intersection(_WORD.findall(text.lower())):
-                        present[k, place[w]] = 1
-                p = model.probabilities(present)
+                p = model.probabilities(counter.values(part.column(batch.num_columns - 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1])]], schema=arrow)
 
-    return df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(run, schema)
-
-
-def flag(category: str, threshold: float = 0.5) -> Column:
-    """Whether a category's probability reaches the threshold."""
-    return F.col(f"p_{category}") >= threshold
+    out = df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(run, schema)
+    return out.withColumns({f"is_{c}": F.col(f"p_{c}") >= float(t) for c, t in zip(chain.categories, chain.thresholds, strict=True)})
