@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, licenses, lm, mixing, neardup, quality, token_count, toxicity
+from . import bpe, flac, licenses, lm, mixing, neardup, quality, repeats, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, "text", chain).drop("text").withColumnsRenamed({"is_toxic": "toxic", "is_severe": "severe"})
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that lie in repeated 200-byte strings, and what is left."""
+    return repeats.report(_documents(spark, sf_dir), "doc_id", "text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded bytes."""
     import public_tokenizers as tokenizers
@@ -103,5 +108,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cell_source", "cell_lang", "cell_topic", "tokens", F.round("keep_prob", 6).alias("keep_prob"), "kept")
 
 
-QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_near_duplicates": op8_near_duplicates, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
+QUERIES = {"op1_token_count": op1_token_count, "op2_lm_score": op2_lm_score, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_suffix_array": op5_suffix_array, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_near_duplicates": op8_near_duplicates, "op9_flac": op9_flac, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op7_licenses": licenses.sql(), "op10_mixing": mixing.sql(MIX_TARGETS)}
