@@ -1,16 +1,83 @@
-"""The corpus pipeline: five stages from raw documents to token ids, each a DataFrame to a DataFrame."""
+"""The corpus pipeline: from raw documents to token ids in five stages.
+
+Each stage takes (spark, docs, sf_dir) with the columns of ``documents`` and
+returns them again for the rows it keeps (the last adds token ids); between stages
+the rows are written as Parquet and read again.  Rows whose ``doc_id`` is NULL or
+repeated go through all stages like others.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polystrata.llm import bpe, common, mixing, neardup, quality, repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Sources and languages are tempered (share to the power 0.9); length classes keep their shares.
+TARGETS: dict[str, mixing.Target] = {"source": 0.9, "lang": 0.9, "topic": 1.0}
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the learned decision list."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality.fit(docs, labels, "doc_id", "text", "quality")
+    return quality.judge(docs.select(*COLUMNS), "text", rules).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest id.
+
+    Rows that share that id and group are exact repeats or near ones; the one of
+    the smallest text is kept.
+    """
+    decided = neardup.near_duplicates(docs, "doc_id", "text")
+    keep = decided.where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct(F.xxhash64("text"), F.col("text"))).alias("r"))
+    return first.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]])
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 200 bytes that also start elsewhere; documents that lose everything go."""
+    out = repeats.strip(docs.select(*COLUMNS), "text").where(F.length(F.trim("text")) > 0)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with tempered sources and languages."""
+    rows = docs.select(*COLUMNS).withColumn("_tokens", mixing.word_count("text"))
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.length_topic(F.col("_tokens"))}
+    return mixing.mix(rows, "doc_id", F.col("_tokens"), dims, TARGETS).where("kept").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and whether these decode to the text."""
+    at = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.decode(bpe.encode(docs.select(*COLUMNS), "text", "token_ids", *at), "token_ids", "decoded", *at)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return done.select("doc_id", "lang", "source", "n_chars", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", suffix_array),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
-STAGES: list = []
+#: No SQL: the decision list is learned and the stages iterate.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.stage_table(docs, f"stage{k}")
     return docs
