@@ -12,7 +12,8 @@ named), or a number a: observed share to the power a (1 keeps shares, 0 makes
 them equal).
 
 Defined results: NULL in a dimension is a value of its own, ``(none)``; a NULL or
-empty text has no tokens and is kept, as targets say nothing of it; repeated ids
+empty text has no tokens and is drawn like the others of its cell, and kept if the
+whole cell has none, as targets say nothing of it; repeated ids
 share their draw; a NULL id draws as the empty string; an empty table gives an
 empty table; other columns pass through (the new names must be free).
 """
