@@ -36,7 +36,7 @@ BITS = (20, 22, 22)
 _K, _GATES, _BUCKETS = len(BITS), 128, 33
 _PAD = 4
 #: Most bytes of a slice; a task's slices double from an eighth of a megabyte up to this.
-SLICE, _FIRST = 6 << 20, 128 << 10
+SLICE, _FIRST = 8 << 20, 128 << 10
 _CHUNK = 1 << 13
 _MIXER = -1
 _MINI = 1 << 14

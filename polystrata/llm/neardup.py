@@ -7,10 +7,11 @@
    that their rarest shared one lies among the first 40 of both (for a set of
    fewer than 64 shingles this is certain, else the chance of a miss is about 2e-9),
    so only these are listed, and boilerplate makes no lists.
-3. Lists of up to 16 nodes give their pairs.  In a longer list one node after the
-   other is the pivot and is paired with the members of other components only:
-   a group of near copies falls into one component after a round or two.  Lists
-   still open after :data:`PIVOT_ROUNDS` are paired across components exactly.
+3. Lists of up to 16 nodes give their pairs.  In a longer list a few nodes are
+   pivots and are paired with the members of other components only: a group of
+   near copies falls into one component after a round or two.  In lists that are
+   still open after :data:`PIVOT_ROUNDS` members of different components are
+   compared by their sketches where they meet, and only pairs that pass come out.
 4. The union of two sketches estimates Jaccard; pairs under 0.45 (5.5 standard
    deviations below 0.75) go.
 5. What is left is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import common, graph
 
-SHINGLE, KEEP, PREFIX, SMALL_LIST, PIVOT_ROUNDS = 5, 64, 40, 16, 6
+SHINGLE, KEEP, PREFIX, SMALL_LIST, PIVOT_ROUNDS, PIVOTS = 5, 64, 40, 16, 2, 3
 PERCENT, ESTIMATE = 75, 0.45
 _BUCKETS = 1 << 20
 
@@ -136,14 +137,19 @@ def small_pairs(lists: DataFrame) -> DataFrame:
     return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
+def passes(a: str, b: str) -> Column:
+    """Whether the union sketch of two sketches lets Jaccard reach the threshold."""
+    # values are stored as signed longs; their order as unsigned ones is that of the hash
+    flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
+    union = F.slice(F.array_sort(flip(F.array_union(a, b))), 1, KEEP)
+    return F.size(F.array_intersect(union, flip(F.array_intersect(a, b)))) >= F.lit(ESTIMATE) * F.size(union)
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose union sketch lets Jaccard reach the threshold."""
     s = nodes.select("sig", "sketch")
     both = pairs.join(s.select(F.col("sig").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("sig").alias("b"), F.col("sketch").alias("sb")), "b")
-    # values are stored as signed longs; their order as unsigned ones is that of the hash
-    order = lambda x: F.transform(F.array_sort(F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))), lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
-    union = F.slice(order(F.array_union("sa", "sb")), 1, KEEP)
-    return both.withColumn("u", union).where(F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) >= F.lit(ESTIMATE) * F.size("u")).select("a", "b")
+    return both.where(passes("sa", "sb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -163,32 +169,43 @@ def _with_components(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     return lists.join(known, "sig", "left").withColumn("comp", F.coalesce("known", "sig")).drop("known")
 
 
+def _pivots(rest: DataFrame) -> DataFrame:
+    """(value, pivot, pn, pcomp): of each list with several components up to PIVOTS nodes, of its smallest components."""
+    groups = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("sig", "n")).alias("s"))
+    picks = [F.min(F.struct("c", F.xxhash64(F.lit(k), "s.sig").alias("o"), F.col("s.sig").alias("sig"), F.col("s.n").alias("n"), "comp")).alias(f"p{k}") for k in range(PIVOTS)]
+    several = groups.groupBy("value").agg(F.count(F.lit(1)).alias("left"), *picks).where("left > 1")
+    each = several.select("value", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.sig", f"p{k}.n", f"p{k}.comp") for k in range(PIVOTS)]))).alias("p"))
+    return common.stage_table(each.select("value", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")), "pivots")
+
+
+def _apart(rest: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's members with others of a like size and another component."""
+    pairs = rest.join(others, "value").where((F.col("comp") != F.col("pcomp")) & _alike_sizes("n", "pn"))
+    return pairs.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+
+
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another."""
     lists = inverted_lists(nodes)
-    found = verified(estimated(small_pairs(lists), nodes), df, id_col, text_col, nodes)
     long = lists.where(F.col("m") > SMALL_LIST)
-    comps = graph.components(found)
-    done = None
+    pairs, found, comps, done = small_pairs(lists), None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        rest = long if done is None else long.join(done, ["value", "sig"], "left_anti")
-        rest = _with_components(rest, comps)
-        # of each list with several components left, a node of the smallest component
-        groups = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("sig", "n")).alias("s"))
-        pivots = groups.groupBy("value").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct("c", "s", "comp")).alias("p")).where("left > 1")
-        pivots = common.stage_table(pivots.select("value", F.col("p.s.sig").alias("pivot"), F.col("p.s.n").alias("pn"), F.col("p.comp").alias("pcomp")), "pivots")
-        if not pivots.take(1):
+        rest = _with_components(long if done is None else long.join(done, ["value", "sig"], "left_anti"), comps)
+        pivots = _pivots(rest)
+        is_open = bool(pivots.take(1))
+        if turn and not is_open:
             break
-        if turn == PIVOT_ROUNDS:  # exactly, whatever is left: pairs across components
-            open_lists = rest.join(pivots.select("value"), "value", "left_semi")
-            other = open_lists.select("value", F.col("sig").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-            pairs = open_lists.join(other, "value").where(F.col("sig") < F.col("pivot"))
-        else:
-            pairs = rest.join(pivots, "value")
-        pairs = pairs.where((F.col("comp") != F.col("pcomp")) & _alike_sizes("n", "pn")).select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-        new = verified(estimated(pairs, nodes), df, id_col, text_col, nodes)
-        found = found.unionByName(new)
-        comps = graph.components(found)
+        if turn < PIVOT_ROUNDS:
+            new = _apart(rest, pivots)
+            new = estimated(new if turn else new.unionByName(pairs).distinct(), nodes)
+        else:  # whatever is left, exactly: sketches are compared in the join, whose output is what passes
+            members = rest.join(pivots.select("value").distinct(), "value", "left_semi").join(nodes.select("sig", "sketch"), "sig")
+            a, b = (members.select(F.col("value").alias(f"{k}v"), F.col("sig").alias(k), F.col("n").alias(f"{k}n"), F.col("comp").alias(f"{k}c"), F.col("sketch").alias(f"{k}s")) for k in "ab")
+            on = (F.col("av") == F.col("bv")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _alike_sizes("an", "bn") & passes("as", "bs")
+            new = a.join(b, on).select("a", "b").distinct()
+        new = verified(new, df, id_col, text_col, nodes)
+        found = new if found is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new)
+        comps = common.stage_table(graph.components(found), "components")
         mine = pivots.select("value", F.col("pivot").alias("sig"))
         done = mine if done is None else done.unionByName(mine)
     return comps
