@@ -92,4 +92,5 @@ def origin() -> Column:
 def hyperbolic(p: Column, q: Column, curvature: float = 1.0) -> Column:
     """Geodesic distance; x is the time-like coordinate."""
     inner = -p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]
-    return F.sqrt(F.lit(curvature)) * F.acosh(F.greatest(-inner / F.lit(curvature), F.lit(CLAMP)))
+    # greatest() skips NULL, and a missing position has no distance
+    return F.when(inner.isNotNull(), F.sqrt(F.lit(curvature)) * F.acosh(F.greatest(-inner / F.lit(curvature), F.lit(CLAMP))))

@@ -84,7 +84,7 @@ SCALARS: dict[str, tuple[Arity, Callable[..., Column]]] = {
     "CONTAINS": ((2, 2), lambda p, q: K.hyperbolic(p, q) < K.CONTAINED),
     "INTERSECTS": ((2, 2), lambda p, q: K.hyperbolic(p, q) < K.INTERSECTING),
     "PARSE_JSON": ((1, 1), F.parse_json),
-    "JSON_VALUE": ((2, 2), lambda j, path: F.get_json_object(j, path)),
+    "JSON_VALUE": ((2, 2), lambda j, path: F.call_function("get_json_object", j, path)),
 }
 
 

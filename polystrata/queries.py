@@ -291,6 +291,31 @@ _cascade("cascade_decay_power", Cascade("AVG", "price", _THROUGH, "INCOMING", "P
 _cascade("cascade_decay_linear", Cascade("SUM", "price", _THROUGH, "INCOMING", "LINEAR", 0.0002), f"sum(v * greatest(0, 1 - 0.0002 * {_AGE}))", timestamp="ts")
 _frame("cascade_latest")(lambda e: cascade.gather(e.catalog.scan("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("from_id"), F.concat(F.lit("c"), "o_custkey").alias("to_id"), F.lit("placed_by").alias("type"), F.col("o_orderdate").alias("ts")), e.catalog.scan("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), Cascade("LATEST", "price", _THROUGH, "INCOMING"), "value", timestamp="ts"))
 
+_cascade("cascade_min", Cascade("MIN", "price", _THROUGH, "INCOMING"), "min(v)")
+_cascade("cascade_count", Cascade("COUNT", "price", _THROUGH, "INCOMING"), "count(v)")
+_cascade("cascade_both", Cascade("SUM", "price", _THROUGH, "BOTH"), "sum(v)")
+_cascade("cascade_moving_mean", Cascade("MOVINGMEAN", "price", _THROUGH, "INCOMING", argument=100000.0), "avg(v)", timestamp="ts")
+_cascade("cascade_moving_median", Cascade("MOVINGMEDIAN", "price", _THROUGH, "INCOMING", argument=100000.0), "median(v)", timestamp="ts")
+
+
+def _order_graph(e: Engine) -> Engine:
+    o = e.catalog.scan("orders")
+    e.register("relationships", o.select(F.concat(F.lit("o"), "o_orderkey").alias("from_id"), F.concat(F.lit("c"), "o_custkey").alias("to_id"), F.lit("placed_by").alias("type"), F.col("o_orderdate").alias("ts")))
+    e.register("sales", o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))
+    return e.register("buyers", e.catalog.scan("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")))
+
+
+_frame("cascade_propagate", f"SELECT from_id AS id, round(v, 3) AS value FROM {_BUYS} UNION ALL SELECT to_id, round(sum(v), 3) FROM {_BUYS} GROUP BY to_id")(
+    lambda e: cascade.propagate(_order_graph(e).catalog.scan("relationships"), e.catalog.scan("sales"), "price", 1).select("id", F.round("value", 3).alias("value"))
+)
+_frame("cascade_distribute", f"SELECT to_id AS id, round(sum(v), 3) AS value FROM {_BUYS} GROUP BY to_id")(lambda e: cascade.distribute(_order_graph(e).catalog.scan("relationships"), e.catalog.scan("sales"), "price").select("id", F.round("value", 3).alias("value")))
+_frame("cascade_schema", f"SELECT 'c' || c_custkey AS id, n, round(m, 3) AS m FROM customer LEFT JOIN (SELECT to_id, count(v) AS n, avg(v) AS m FROM {_BUYS} GROUP BY to_id) ON to_id = 'c' || c_custkey")(
+    lambda e: (_order_graph(e), e.sql("CREATE SCHEMA buyers (id STRING REQUIRED, n INTEGER CASCADED AS AGGREGATE COUNT FROM price THROUGH placed_by INCOMING, m FLOAT CASCADED AS AGGREGATE AVG FROM price INCOMING)"), e.with_cascades("buyers", source="sales").select("id", "n", F.round("m", 3).alias("m")))[-1]
+)
+_frame("geo_rectangle", f"SELECT vec_id FROM {_POINTS} WHERE y BETWEEN -0.1 AND 0.1 AND z BETWEEN 0 AND 0.2 AND x BETWEEN 1 AND 2")(lambda e: geometry.in_rectangle(_points(e).catalog.scan("points"), (1, -0.1, 0), (2, 0.1, 0.2)).select("vec_id"))
+_frame("geo_polygon", f"SELECT vec_id FROM {_POINTS} WHERE y > 0 AND z > 0 AND y + z < 0.2")(lambda e: geometry.in_polygon(_points(e).catalog.scan("points"), [(0.0, 0.0), (0.2, 0.0), (0.0, 0.2)]).select("vec_id"))
+_text("json_value", "SELECT event_id, JSON_VALUE(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+
 # -- schemas, DML, builder, templates, streams ------------------------------------
 
 _frame("ddl_describe")(lambda e: (e.sql("CREATE SCHEMA topics (id STRING REQUIRED, score FLOAT, tags ARRAY(STRING), avg_price FLOAT CASCADED AS AGGREGATE AVERAGE FROM price THROUGH tagged_with INCOMING WITH DECAY EXPONENTIAL(0.5)) WITH EXTENSIBILITY CLOSED"), e.sql("ALTER SCHEMA topics ADD FIELD born TIMESTAMP OPTIONAL"), e.sql("DESCRIBE SCHEMA topics DETAILED"))[-1])
