@@ -35,11 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged so far by this driver; results that read them must be written before. Their number is returned."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STAGED:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    n = len(_STAGED)
+    _STAGED.clear()
+    return n
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polystrata.llm import flac, graph, licenses, mixing, neardup, queries, repeats, suffixes
+from polystrata.llm import common, flac, graph, licenses, mixing, neardup, queries, repeats, suffixes
 
 from .conftest import SF
 
@@ -81,6 +81,13 @@ def test_near_duplicates_through_long_lists_only(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_staged_tables_can_be_released(spark):
+    staged = common.stage_table(spark.range(3), "x")
+    assert staged.count() == 3 and common.release(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(staged.inputFiles()[0]).count()
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)]
