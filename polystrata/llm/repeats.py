@@ -188,34 +188,12 @@ def _settled(cand: DataFrame) -> DataFrame:
                 n = len(place)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(np.full(n, h)), pa.array(np.full(n, len(raw), np.int32)), pa.array(place.astype(np.int32))], names=["a", "b", "h", "len", "pos"])
 
-    def mark(batches):
-        """Rows of equal (a, b) come together; the first stands for all."""
-        held = None
-
-        def out(table, last):
-            nonlocal held
-            a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            if not last:  # the last run may go on
-                cut = int(np.flatnonzero(new)[-1])
-                held = table.slice(cut)
-                table, new = table.slice(0, cut), new[:cut]
-            if len(table):
-                run = np.cumsum(new) - 1
-                many = np.bincount(run)[run] > 1
-                yield from table.select(["h", "len", "pos"]).append_column("many", pa.array(many)).append_column("rep", pa.array(new)).combine_chunks().to_batches()
-
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                table = pa.concat_tables([held, table]) if held is not None else table
-                held = None
-                yield from out(table, False)
-        if held is not None:
-            yield from out(held, True)
-
-    hashed = cand.mapInArrow(run, schema).repartition("a").sortWithinPartitions("a", "b")
-    return hashed.mapInArrow(mark, "h long, len int, pos int, many boolean, rep boolean")
+    # Counts combine before they are shuffled, and a join's hot keys are split, so one context may be in any share of the texts.
+    hashed = common.stage_table(cand.mapInArrow(run, schema), "hashed")
+    place = F.struct("h", "len", "pos")
+    twice = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
+    rows = hashed.join(twice, ["a", "b"], "left")
+    return rows.select("h", "len", "pos", F.col("first").isNotNull().alias("many"), (F.col("first").isNull() | (F.col("first") == place)).alias("rep"))
 
 
 def _adjacent(rows: np.ndarray, have: np.ndarray, order: np.ndarray) -> np.ndarray:
