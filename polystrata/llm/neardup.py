@@ -7,11 +7,14 @@
    that their rarest shared one lies among the first 40 of both (for a set of
    fewer than 64 shingles this is certain, else the chance of a miss is about 2e-9),
    so only these are listed, and boilerplate makes no lists.
-3. Lists of up to 16 nodes give their pairs.  In a longer list a few nodes are
-   pivots and are paired with the members of other components only: a group of
-   near copies falls into one component after a round or two.  In lists that are
-   still open after :data:`PIVOT_ROUNDS` members of different components are
-   compared by their sketches where they meet, and only pairs that pass come out.
+3. Lists of up to 16 nodes give their pairs.  For the nodes of longer lists the
+   shingles that others of them have as well are counted on the full sets; with g
+   of n shingles shared at all, two sets have a Jaccard of at most m / (n + n' - m),
+   m the smaller g, which ends most pairs at once (texts that share a passage, and
+   copies with many edits).  A few nodes with the largest part shared are pivots
+   and are paired with members of other components only: a group of near copies
+   falls into one component after a round or two.  In lists that are still open
+   after :data:`PIVOT_ROUNDS` what is left is paired across components.
 4. The union of two sketches estimates Jaccard; pairs under 0.45 (5.5 standard
    deviations below 0.75) go.
 5. What is left is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
@@ -137,7 +140,7 @@ def small_pairs(lists: DataFrame) -> DataFrame:
     return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
-def passes(a: str, b: str) -> Column:
+def _passes(a: str, b: str) -> Column:
     """Whether the union sketch of two sketches lets Jaccard reach the threshold."""
     # values are stored as signed longs; their order as unsigned ones is that of the hash
     flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
@@ -149,7 +152,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose union sketch lets Jaccard reach the threshold."""
     s = nodes.select("sig", "sketch")
     both = pairs.join(s.select(F.col("sig").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("sig").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.where(passes("sa", "sb")).select("a", "b")
+    return both.where(_passes("sa", "sb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -169,41 +172,54 @@ def _with_components(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     return lists.join(known, "sig", "left").withColumn("comp", F.coalesce("known", "sig")).drop("known")
 
 
+def _long_lists(lists: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(value, sig, n, g) of lists of over :data:`SMALL_LIST` nodes; g: shingles that other such nodes have.
+
+    Nodes that cannot reach the threshold with anyone are left out.
+    """
+    long = lists.where(F.col("m") > SMALL_LIST)
+    wanted = common.stage_table(long.select("sig").distinct().join(nodes.select("sig", "min_id"), "sig"), "wanted")
+    flat = common.stage_table(full_sets(df, id_col, text_col, wanted), "sets").select("sig", F.explode("hashes").alias("x"))
+    shared = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
+    counts = flat.join(shared, "x").groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
+    return common.stage_table(long.join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("value", "sig", "n", "g"), "long")
+
+
 def _pivots(rest: DataFrame) -> DataFrame:
-    """(value, pivot, pn, pcomp): of each list with several components up to PIVOTS nodes, of its smallest components."""
-    groups = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("sig", "n")).alias("s"))
-    picks = [F.min(F.struct("c", F.xxhash64(F.lit(k), "s.sig").alias("o"), F.col("s.sig").alias("sig"), F.col("s.n").alias("n"), "comp")).alias(f"p{k}") for k in range(PIVOTS)]
+    """(value, pivot, pn, pg, pcomp): of each list with several components up to PIVOTS nodes of large shared parts, of its smallest components."""
+    part = F.floor((F.col("n") - F.col("g")) * 20 / F.col("n"))
+    each = [F.min(F.struct(part.alias("part"), F.xxhash64(F.lit(k), "sig").alias("o"), "sig", "n", "g")).alias(f"s{k}") for k in range(PIVOTS)]
+    groups = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), *each)
+    picks = [F.min(F.struct("c", f"s{k}", "comp")).alias(f"p{k}") for k in range(PIVOTS)]
     several = groups.groupBy("value").agg(F.count(F.lit(1)).alias("left"), *picks).where("left > 1")
-    each = several.select("value", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.sig", f"p{k}.n", f"p{k}.comp") for k in range(PIVOTS)]))).alias("p"))
-    return common.stage_table(each.select("value", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")), "pivots")
+    nodes = F.array_distinct(F.array(*[F.struct(f"p{k}.s{k}.sig", f"p{k}.s{k}.n", f"p{k}.s{k}.g", f"p{k}.comp") for k in range(PIVOTS)]))
+    out = several.select("value", F.explode(nodes).alias("p"))
+    return common.stage_table(out.select("value", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.g").alias("pg"), F.col("p.comp").alias("pcomp")), "pivots")
 
 
 def _apart(rest: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list's members with others of a like size and another component."""
-    pairs = rest.join(others, "value").where((F.col("comp") != F.col("pcomp")) & _alike_sizes("n", "pn"))
+    """Pairs (a, b) of a list's members with others of another component that may reach the threshold."""
+    most = F.least("g", "pg")
+    near = most * 100 >= (F.col("n") + F.col("pn") - most) * PERCENT
+    # in the join's condition, so that only such pairs come out of it
+    pairs = rest.withColumnRenamed("value", "v").join(others, (F.col("v") == F.col("value")) & (F.col("comp") != F.col("pcomp")) & near & _alike_sizes("n", "pn"))
     return pairs.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
 
 
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another."""
     lists = inverted_lists(nodes)
-    long = lists.where(F.col("m") > SMALL_LIST)
+    long = _long_lists(lists, df, id_col, text_col, nodes)
     pairs, found, comps, done = small_pairs(lists), None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         rest = _with_components(long if done is None else long.join(done, ["value", "sig"], "left_anti"), comps)
         pivots = _pivots(rest)
-        is_open = bool(pivots.take(1))
-        if turn and not is_open:
+        if turn and not pivots.take(1):
             break
-        if turn < PIVOT_ROUNDS:
-            new = _apart(rest, pivots)
-            new = estimated(new if turn else new.unionByName(pairs).distinct(), nodes)
-        else:  # whatever is left, exactly: sketches are compared in the join, whose output is what passes
-            members = rest.join(pivots.select("value").distinct(), "value", "left_semi").join(nodes.select("sig", "sketch"), "sig")
-            a, b = (members.select(F.col("value").alias(f"{k}v"), F.col("sig").alias(k), F.col("n").alias(f"{k}n"), F.col("comp").alias(f"{k}c"), F.col("sketch").alias(f"{k}s")) for k in "ab")
-            on = (F.col("av") == F.col("bv")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _alike_sizes("an", "bn") & passes("as", "bs")
-            new = a.join(b, on).select("a", "b").distinct()
-        new = verified(new, df, id_col, text_col, nodes)
+        if turn == PIVOT_ROUNDS:  # whatever is left
+            pivots = rest.join(pivots.select("value").distinct(), "value", "left_semi").select("value", F.col("sig").alias("pivot"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("comp").alias("pcomp"))
+        new = _apart(rest, pivots)
+        new = verified(estimated(new if turn else new.unionByName(pairs).distinct(), nodes), df, id_col, text_col, nodes)
         found = new if found is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new)
         comps = common.stage_table(graph.components(found), "components")
         mine = pivots.select("value", F.col("pivot").alias("sig"))
