@@ -121,13 +121,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Gated weights and the adaptive map."""
+    """Gated weights and the adaptive map (counts of zeros and ones by cell)."""
 
     def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
         self.weights = np.full((_K + 1, _GATES), 0.3, np.float32) if weights is None else weights.astype(np.float32)
         if weights is None:
             self.weights[_K] = 0
-        self.seen = np.zeros((2, 256 * _BUCKETS)) if seen is None else seen
+        self.seen = np.zeros((256 * _BUCKETS, 2)) if seen is None else seen
+        # the refined probability is linear in the mixed one: half of it, and half of (ones + 20 p) / (n + 20)
+        n = self.seen.sum(1) + 20
+        self._slope, self._base = (0.5 + 10 / n).astype(np.float32), (self.seen[:, 1] / n / 2).astype(np.float32)
 
     def predict(self, odds: np.ndarray, j: int, node: np.ndarray):
         """(mixed probability of a one, gate of this bit, cell of the adaptive map)."""
@@ -135,19 +138,18 @@ class Mixer:
         for k in (_K - 1, _K - 2):  # how sure the word and the longest context are
             sure = np.abs(odds[k])
             gate = gate * 4 + (sure > 0) + (sure > 2.5) + (sure > 4.5)
+        at = gate.astype(np.intp)
         own = self.weights[:, j * 16 : j * 16 + 16]
-        z = own[_K][gate]
+        z = own[_K][at]
         for k in range(_K):
-            z += own[k][gate] * odds[k]
+            z += own[k][at] * odds[k]
         np.clip(z, -14, 14, out=z)
-        p = _sigmoid(z)
         cell = node * _BUCKETS + np.clip(np.rint(z * 2) + _BUCKETS // 2, 0, _BUCKETS - 1).astype(np.int64)
-        return p, gate, cell
+        return _sigmoid(z), gate, cell
 
     def refine(self, p: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """The mean of the mixed probability and of what the adaptive map saw at its cell."""
-        ones, n = self.seen[0][cell], self.seen[1][cell]
-        return np.clip(0.5 * p + 0.5 * (ones + 20 * p) / (n + 20), 1e-6, 1 - 1e-6)
+        """The mean of the mixed probability and of what the adaptive map saw at its cell (as of when the mixer was made)."""
+        return np.clip(p * self._slope[cell] + self._base[cell], 1e-6, 1 - 1e-6)
 
     def learn(self, odds, j, bit, p, gate, cell, count) -> None:
         """One damped diagonal-Newton step per gate, and the adaptive map's counts."""
@@ -156,8 +158,7 @@ class Mixer:
         error, slope = count32 * (bit - p).astype(np.float32), count32 * (p * (1 - p))
         step = (odds * error) @ mine / ((odds * odds * slope) @ mine + 50)
         self.weights[:, j * 16 : j * 16 + 16] += 0.05 * step
-        self.seen[0] += np.bincount(cell, count * bit, 256 * _BUCKETS)
-        self.seen[1] += np.bincount(cell, count, 256 * _BUCKETS)
+        self.seen += np.bincount(cell * 2 + bit, count, 512 * _BUCKETS).reshape(-1, 2)
 
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -256,7 +257,7 @@ class Model:
             if chunk == _MIXER:
                 state = np.frombuffer(data)
                 n = (_K + 1) * _GATES
-                self.mixer = Mixer((state[1 : n + 1] / state[0]).reshape(_K + 1, _GATES), state[n + 1 :].reshape(2, -1).copy())
+                self.mixer = Mixer((state[1 : n + 1] / state[0]).reshape(_K + 1, _GATES), state[n + 1 :].reshape(-1, 2).copy())
             else:
                 flat[chunk * _CHUNK : chunk * _CHUNK + len(data) // 2] = np.frombuffer(data, np.int16)
         self.tables = np.split(flat, np.cumsum([1 << bits for bits in BITS])[:-1])
