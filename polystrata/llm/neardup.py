@@ -7,17 +7,16 @@
    that their rarest shared one lies among the first 40 of both (for a set of
    fewer than 64 shingles this is certain, else the chance of a miss is about 2e-9),
    so only these are listed, and boilerplate makes no lists.
-3. Lists of up to 16 nodes give their pairs.  For the nodes of longer lists the
-   shingles that others of them have as well are counted on the full sets; with g
-   of n shingles shared at all, two sets have a Jaccard of at most m / (n + n' - m),
-   m the smaller g, which ends most pairs at once (texts that share a passage, and
-   copies with many edits).  A few nodes with the largest part shared are pivots
-   and are paired with members of other components only: a group of near copies
-   falls into one component after a round or two.  In lists that are still open
-   after :data:`PIVOT_ROUNDS` what is left is paired across components.
-4. The union of two sketches estimates Jaccard; pairs under 0.45 (5.5 standard
-   deviations below 0.75) go.
-5. What is left is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
+3. Lists of up to 16 nodes give their pairs.  Nodes of longer lists are first cut
+   down on their full sets: with g of n shingles that others of them have as well,
+   a node with g / n under 0.75 has no partner (texts that merely share a passage).
+   The rest form families by common lists; a family is cut by size into bands (sets
+   of Jaccard 0.75 are in the same or in adjacent ones) and by hash into blocks of
+   about 512 nodes, and pairs of blocks are solved exactly as matrix products.
+   A pair of blocks hands on a spanning forest of its links, not the links.
+4. The union of two sketches estimates Jaccard; pairs of short lists under 0.45
+   (5.5 standard deviations below 0.75) go.
+5. What is left of them is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked
 with nothing; a text of fewer than five words is one shingle; repeated rows share
@@ -39,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common, graph
 
-SHINGLE, KEEP, PREFIX, SMALL_LIST, PIVOT_ROUNDS, PIVOTS = 5, 64, 40, 16, 2, 3
+SHINGLE, KEEP, PREFIX, SMALL_LIST, BLOCK = 5, 64, 40, 16, 512
 PERCENT, ESTIMATE = 75, 0.45
 _BUCKETS = 1 << 20
 
@@ -165,66 +164,92 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes:
     return common.stage_table(both.where(shared * 100 >= (F.size("ha") + F.size("hb") - shared) * PERCENT).select("a", "b"), "links")
 
 
-def _with_components(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return lists.withColumn("comp", F.col("sig"))
-    known = comps.select(F.col("node").alias("sig"), F.col("comp").alias("known"))
-    return lists.join(known, "sig", "left").withColumn("comp", F.coalesce("known", "sig")).drop("known")
-
-
-def _long_lists(lists: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(value, sig, n, g) of lists of over :data:`SMALL_LIST` nodes; g: shingles that other such nodes have.
-
-    Nodes that cannot reach the threshold with anyone are left out.
-    """
+def _families(lists: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(fam, sig, n, hashes) of nodes of lists of over :data:`SMALL_LIST` nodes that may have partners there."""
     long = lists.where(F.col("m") > SMALL_LIST)
     wanted = common.stage_table(long.select("sig").distinct().join(nodes.select("sig", "min_id"), "sig"), "wanted")
-    flat = common.stage_table(full_sets(df, id_col, text_col, wanted), "sets").select("sig", F.explode("hashes").alias("x"))
+    sets = common.stage_table(full_sets(df, id_col, text_col, wanted), "sets")
+    flat = sets.select("sig", F.explode("hashes").alias("x"))
     shared = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
     counts = flat.join(shared, "x").groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
-    return common.stage_table(long.join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("value", "sig", "n", "g"), "long")
-
+    able = common.stage_table(sets.select("sig", F.size("hashes").alias("n")).join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("sig"), "able")
+    listed = long.select("value", "sig").join(able, "sig")
+    heads = listed.groupBy("value").agg(F.min("sig").alias("head"))
+    fams = graph.components(listed.join(heads, "value").select(F.col("sig").alias("a"), F.col("head").alias("b")))
+    return common.stage_table(fams.select(F.col("node").alias("sig"), F.col("comp").alias("fam")).join(sets, "sig").withColumn("n", F.size("hashes")), "families")
+
+
+def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of hashes."""
+    n = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    names = np.cumsum(count > 1) - 1
+    use = count[code] > 1
+    rows, cols = np.repeat(np.arange(len(sets)), n)[use], names[code[use]]
+    common_n = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for low in range(0, int(names[-1]) + 1, 2048):
+        cut = slice(*np.searchsorted(cols, (low, low + 2048)))
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[rows[cut], cols[cut] - low] = 1
+        common_n += m @ m.T
+    linked = common_n * 100 >= (n[:, None] + n[None, :] - common_n) * PERCENT
+    seen, out = np.zeros(len(sets), bool), []
+    for root in range(len(sets)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(linked[at] & ~seen)
+            seen[new] = True
+            out += [(at, int(x)) for x in new]
+            front += new.tolist()
+    return out
 
-def _pivots(rest: DataFrame) -> DataFrame:
-    """(value, pivot, pn, pg, pcomp): of each list with several components up to PIVOTS nodes of large shared parts, of its smallest components."""
-    part = F.floor((F.col("n") - F.col("g")) * 20 / F.col("n"))
-    each = [F.min(F.struct(part.alias("part"), F.xxhash64(F.lit(k), "sig").alias("o"), "sig", "n", "g")).alias(f"s{k}") for k in range(PIVOTS)]
-    groups = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), *each)
-    picks = [F.min(F.struct("c", f"s{k}", "comp")).alias(f"p{k}") for k in range(PIVOTS)]
-    several = groups.groupBy("value").agg(F.count(F.lit(1)).alias("left"), *picks).where("left > 1")
-    nodes = F.array_distinct(F.array(*[F.struct(f"p{k}.s{k}.sig", f"p{k}.s{k}.n", f"p{k}.s{k}.g", f"p{k}.comp") for k in range(PIVOTS)]))
-    out = several.select("value", F.explode(nodes).alias("p"))
-    return common.stage_table(out.select("value", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.g").alias("pg"), F.col("p.comp").alias("pcomp")), "pivots")
 
+def block_links(families: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked within families."""
+    rows = families.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    sizes = rows.groupBy("fam", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    near = lambda step, name: sizes.select("fam", (F.col("band") + step).alias("band"), F.col("nb").alias(name))
+    rows = rows.join(sizes, ["fam", "band"]).join(near(-1, "above"), ["fam", "band"], "left").join(near(1, "below"), ["fam", "band"], "left")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    upto = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    key = lambda band, other, a, b: F.xxhash64("fam", band, other, a, b)
+    own = F.transform(upto(F.col("nb")), lambda j: key(F.col("band"), F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j)))
+    # with the next band: this row's block first; with the band before: the other's block first
+    up = F.transform(upto(F.col("above")), lambda j: key(F.col("band"), F.col("band") + 1, F.col("i"), j))
+    down = F.transform(upto(F.col("below")), lambda j: key(F.col("band") - 1, F.col("band"), j, F.col("i")))
+    dealt = rows.select(F.explode(F.concat(own, up, down)).alias("key"), "fam", "sig", "hashes")
+
+    def solve(batches):
+        def done(table):
+            sigs, sets = table.column("sig").to_pylist(), [np.array(h, np.int64) for h in table.column("hashes").to_pylist()]
+            edges = _forest(sets)
+            return pa.RecordBatch.from_arrays([pa.array([sigs[x] for x, _ in edges], pa.binary()), pa.array([sigs[y] for _, y in edges], pa.binary())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table.column("key").to_numpy()
+            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+            for low, high in itertools.pairwise(bounds):
+                yield done(table.slice(low, high - low))
+            held = table.slice(bounds[-1])
+        if held is not None:
+            yield done(held)
 
-def _apart(rest: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list's members with others of another component that may reach the threshold."""
-    most = F.least("g", "pg")
-    near = most * 100 >= (F.col("n") + F.col("pn") - most) * PERCENT
-    # in the join's condition, so that only such pairs come out of it
-    pairs = rest.withColumnRenamed("value", "v").join(others, (F.col("v") == F.col("value")) & (F.col("comp") != F.col("pcomp")) & near & _alike_sizes("n", "pn"))
-    return pairs.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a binary, b binary")
 
 
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another."""
     lists = inverted_lists(nodes)
-    long = _long_lists(lists, df, id_col, text_col, nodes)
-    pairs, found, comps, done = small_pairs(lists), None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        rest = _with_components(long if done is None else long.join(done, ["value", "sig"], "left_anti"), comps)
-        pivots = _pivots(rest)
-        if turn and not pivots.take(1):
-            break
-        if turn == PIVOT_ROUNDS:  # whatever is left
-            pivots = rest.join(pivots.select("value").distinct(), "value", "left_semi").select("value", F.col("sig").alias("pivot"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("comp").alias("pcomp"))
-        new = _apart(rest, pivots)
-        new = verified(estimated(new if turn else new.unionByName(pairs).distinct(), nodes), df, id_col, text_col, nodes)
-        found = new if found is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new)
-        comps = common.stage_table(graph.components(found), "components")
-        mine = pivots.select("value", F.col("pivot").alias("sig"))
-        done = mine if done is None else done.unionByName(mine)
-    return comps
+    short = verified(estimated(small_pairs(lists), nodes), df, id_col, text_col, nodes)
+    return common.stage_table(graph.components(short.unionByName(block_links(_families(lists, df, id_col, text_col, nodes)))), "components")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_near_duplicates_match_brute_force(spark, table, empty):
 
 def test_near_duplicates_through_long_lists_only(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_LIST", 1)
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     rows = list(enumerate(near_copies(7, 60, 12, 5) + near_copies(8, 60, 9, 5)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
