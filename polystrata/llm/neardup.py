@@ -4,9 +4,11 @@
    sets become one node.  A node's sketch is its 64 smallest shingle hashes.
 2. Inverted lists of retained values give overlaps.  Values are ordered by how
    many nodes retain them; two sets of Jaccard 0.75 share so many retained values
-   that their rarest shared one lies among the first 40 of both (for a set of
-   fewer than 64 shingles this is certain, else the chance of a miss is about 2e-9),
-   so only these are listed, and boilerplate makes no lists.
+   that their rarest shared one lies among the first 40 of both, so only these are
+   listed, and boilerplate makes no lists.  This is certain if one of the two has
+   fewer than 64 shingles: its partner has 84 at most, so 43 of the shared values
+   are retained.  Else the chance of a miss is about 2e-9.  Sets of fewer than 48 have
+   partners that retain all their values, and list n - ceil(0.75 n) + 1.
 3. Lists of up to 16 nodes give their pairs.  Nodes of longer lists are first cut
    down on their full sets: with g of n shingles that others of them have as well,
    a node with g / n under 0.75 has no partner (texts that merely share a passage).
@@ -120,7 +122,8 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     shared = flat.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # values that one node alone retains come first in its order; the rest are ranked by df
     held = flat.join(shared, "value").groupBy("sig", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    prefix = F.when(F.col("n") >= KEEP, PREFIX).otherwise(F.col("n") - F.ceil(F.col("n") * (PERCENT / 100)) + 1)
+    # from 48 shingles on a partner may have cut off values, which then look as if this node alone had them
+    prefix = F.when(F.col("n") * 100 >= KEEP * PERCENT, PREFIX).otherwise(F.col("n") - F.ceil(F.col("n") * (PERCENT / 100)) + 1)
     take = prefix - (F.col("k") - F.size("held"))
     listed = held.where(take > 0).select("sig", "n", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select("h.value", "sig", "n")
     listed = common.stage_table(listed, "lists")

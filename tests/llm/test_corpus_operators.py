@@ -72,6 +72,16 @@ def test_near_duplicates_match_brute_force(spark, table, empty):
     assert neardup.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
+def test_near_duplicates_of_sets_that_one_sketch_cuts_off(spark):
+    rnd, rows = random.Random(11), []
+    for a, b in [(63, 84), (63, 82), (62, 82), (61, 81), (60, 80), (60, 79), (48, 64), (47, 62)] * 8:
+        words = [f"w{rnd.getrandbits(48):x}" for _ in range(b + 4)]
+        rows += [(2 * len(rows), " ".join(words[: a + 4])), (2 * len(rows) + 1, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
+    assert got == plain_components(rows)
+
+
 def test_near_duplicates_through_long_lists_only(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_LIST", 1)
     monkeypatch.setattr(neardup, "BLOCK", 5)
