@@ -31,13 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group: that of the smallest id.
 
     Rows that share that id and group are exact repeats or near ones; the one of
-    the smallest text is kept.
+    the smallest text hash is kept.  Rows that share an id but no group are groups of their own.
     """
-    decided = neardup.near_duplicates(docs, "doc_id", "text")
-    keep = decided.where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct(F.xxhash64("text"), F.col("text"))).alias("r"))
-    return first.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]])
+    return neardup.one_each(docs.select(*COLUMNS), "doc_id", "text")
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,20 +74,25 @@ def _signature(found: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
 
+def text_key(col: str) -> Column:
+    """A 64-bit hash of the text, which tells rows of one id apart."""
+    return F.xxhash64(common.utf8(col))
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig, sketch): size and 128-bit signature of the set, and its smallest hashes, ascending."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
+    """(id, key, n, sig, sketch): hash of the text, size and 128-bit signature of the set, and its smallest hashes, ascending."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
 
     def run(batches):
         for batch in batches:
-            _, ends = common.byte_rows(batch.column(1))
+            _, ends = common.byte_rows(batch.column(2))
             for start, stop in common.slices(ends):
-                sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist())
+                sets = shingle_sets(batch.column(2).slice(start, stop - start).to_pylist())
                 kept = [s[:KEEP].view(np.int64) for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), lists], names=schema.names)
 
-    return df.select(F.col(f"`{id_col}`").alias("id"), common.utf8(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"), common.utf8(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _id_bucket(col: str) -> Column:
@@ -255,14 +260,34 @@ def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFr
     return common.stage_table(graph.components(short.unionByName(block_links(_families(lists, df, id_col, text_col, nodes)))), "components")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row; a component keeps its smallest id."""
+def _nodes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (sig, min_id, first, comp) of all nodes; first is the node's row of the smallest id and text hash, NULL ids last."""
     rows = common.stage_table(sketches(df, id_col, text_col), "sketches")
-    full = rows.where("sig IS NOT NULL")
-    nodes = common.stage_table(full.groupBy("sig").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    nodes = common.stage_table(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("min_id"), first, F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     comps = links(df, id_col, text_col, nodes)
-    ids = nodes.select("sig", "min_id").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    return rows, nodes.select("sig", "min_id", "first").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of every row; a component keeps its smallest id."""
+    rows, ids = _nodes(df, id_col, text_col)
     least = ids.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     named = ids.join(least, "comp").select("sig", "component_id")
     out = rows.select("id", "n", "sig").join(named, "sig", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component: that of the smallest id (NULL last) and, within it, of the smallest text hash.
+
+    Rows without words are linked with nothing, so all of them stay.
+    """
+    first = _nodes(df, id_col, text_col)[1].groupBy("comp").agg(F.min("first").alias("r")).select(F.col("r.id").alias("_ps_id"), F.col("r.key").alias("_ps_first"))
+    text, names = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), [F.col(f"`{c}`") for c in df.columns]
+    some = text.rlike(r"[^\t\n\x0B\f\r ]")
+    rows = df.where(some).withColumn("_ps_key", text_key(text_col))
+    rows = rows.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("_ps_id")) & (F.col("_ps_key") == F.col("_ps_first")), "left_semi")
+    # rows of one id and text are in one component
+    rows = rows.groupBy(F.col(f"`{id_col}`").alias("_ps_id"), "_ps_key").agg(F.min(F.struct(*names)).alias("_ps_row")).select("_ps_row.*")
+    return df.where(~some).unionByName(rows)

@@ -268,3 +268,22 @@ def test_pipeline(spark, table, empty):
     assert out.count() == before.count() and out.where("NOT round_trip").count() == 0
     for _, stage in p.STAGES:  # awkward rows, and none
         assert stage(spark, table, SF).count() >= 0 and stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as p
+
+    rnd = random.Random(12)
+    a, b, c, d, e, f = ([f"w{rnd.getrandbits(48):x}" for _ in range(60)] for _ in range(6))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, e), (3, near(e).split()), (3, f)]
+    # ids 4 to 19: copies of one text that is kept under id 1, beside texts of their own
+    own = [[f"w{rnd.getrandbits(48):x}" for _ in range(60)] for _ in range(16)]
+    rows += [(4 + k, near(c).split()) for k in range(16)] + [(4 + k, w) for k, w in enumerate(own)]
+    rows = [(k, " ".join(w)) for k, w in rows] + [(None, " ".join(a)), (1, " ".join(c)), (None, None), (None, ""), (7, " \n")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = p.near_duplicates(spark, docs, SF)
+    want = [(None, a), (None, b), (1, c), (1, d), (2, e), (3, f), *((4 + k, w) for k, w in enumerate(own))]
+    want = [(k, " ".join(w)) for k, w in want] + [(None, None), (None, ""), (7, " \n")]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
