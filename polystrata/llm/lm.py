@@ -1,8 +1,8 @@
 """Language-model scores by logistic context mixing, beside a smoothed unigram base.
 
 Every bit of a text is predicted by several predictors, each a hash table from
-(context, bits of the byte so far) to counts of zeros and ones: the last two and
-four bytes, and the word so far.  A context's hash picks a line of 16 slots for
+(context, bits of the byte so far) to counts of zeros and ones: the last two,
+three, four and six bytes, and the word so far.  A context's hash picks a line of 16 slots for
 each half of the byte.  A mixer adds their log-odds with weights that
 a gate picks (how sure the longer contexts are, and the place of the bit); an adaptive
 map from the mixed log-odds to what was seen refines the result.
@@ -12,7 +12,7 @@ what it has seen before the slice, corrects the weights and the adaptive map
 online from its errors, and only then counts the slice.  Counts of all tasks are
 summed per table slot; weights are averaged by training bits.  The tables have a
 fixed number of slots (:data:`BITS`), so the model that is broadcast has a fixed
-size (19 MB) while the counts gathered grow with the corpus.
+size (31 MB) while the counts gathered grow with the corpus.
 
 Within a slice equal (contexts, byte) are predicted once and weighted by their
 number.  Texts are lower-cased (A-Z) and end in one zero byte, which is scored.
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from . import common, postings
 
-#: Slots (as a power of two) of the predictors: two and four bytes, and the word so far.
-BITS = (20, 22, 22)
+#: Slots (as a power of two) of the predictors: two, three, four and six bytes, and the word so far.
+BITS = (20, 21, 22, 22, 22)
 _K, _GATES, _BUCKETS = len(BITS), 128, 33
-_PAD = 4
+_PAD = 8
 #: Most bytes of a slice; a task's slices double from an eighth of a megabyte up to this.
-SLICE, _FIRST = 8 << 20, 128 << 10
+SLICE, _FIRST = 4 << 20, 128 << 10
 _CHUNK = 1 << 13
 _MIXER = -1
 _MINI = 1 << 14
@@ -58,7 +58,7 @@ class Items:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_starts = np.cumsum(sizes) - sizes
         n = len(buf)
-        b, last = buf[_PAD:], np.ndarray((n - _PAD,), "<u4", joined, 0, (1,))  # the four bytes before each place
+        b, last = buf[_PAD:], np.ndarray((n - _PAD,), "<u8", joined, 0, (1,))  # the eight bytes before each place
         start = np.arange(1, n + 1, dtype=np.int32)
         start[~((buf == 0) | (buf == 32) | ((buf >= 9) & (buf <= 13)))] = 0
         start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]]).astype(np.int32)
@@ -72,7 +72,7 @@ class Items:
         del letter
         word = total[_PAD:-1] - total[start[_PAD:]]
         del total, start
-        keys = last * np.uint64(0x8CB92BA72F3D8DD7)
+        keys = (last >> np.uint64(16)) * np.uint64(0x8CB92BA72F3D8DD7)
         keys += word * np.uint64(0xD1B54A32D192ED03)
         keys += b * np.uint64(0xEB44ACCAB455D165)
         keys ^= keys >> np.uint64(32)
@@ -98,7 +98,7 @@ class Items:
             self.places[order] = np.cumsum(new, dtype=np.int32) - 1
         at = at[order[first]]
         self.byte, last, word = b[at].astype(np.int64), last[at].astype(np.uint64), word[at]
-        self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((last >> np.uint64(16), last, word))]
+        self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((*(last >> np.uint64(64 - 8 * m) for m in (2, 3, 4, 6)), word))]
 
     def bits(self, part: slice):
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""

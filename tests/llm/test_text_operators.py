@@ -2,6 +2,7 @@
 
 import base64
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -150,3 +151,12 @@ def test_query_columns(spark):
     df = queries.op6_bpe(spark, SF)
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert queries.op1_token_count(spark, SF).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_language_model_has_contexts_of_two_three_four_and_six_bytes():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 90))).encode() for _ in range(40)]
+    items = lm.Items(texts)
+    padded = [bytes(8) + t + b"\0" for t in texts]
+    want = [len({t[k - m : k] for t in padded for k in range(8, len(t))}) for m in (2, 3, 4, 6)]
+    assert [len(np.unique(h)) for h in items.hashes[:-1]] == want
