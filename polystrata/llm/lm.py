@@ -224,19 +224,24 @@ def _train(batches):
 
 
 def _sum_chunks(batches):
-    """Sum the rows of each chunk, one row at a time: rows of a chunk come together."""
+    """Sum the rows of each chunk, one row at a time: rows of a chunk come together.
+
+    A task's zeros and ones fit 32 bits each; their sums over tasks are 64 bits wide.
+    """
     at, held = None, None
 
     def out():
         if at == _MIXER:
             data = held.tobytes()
         else:
-            data = np.rint(np.clip(_odds(held >> 32, held & 0xFFFFFFFF) * _SCALE, -30000, 30000)).astype(np.int16).tobytes()
+            data = np.rint(np.clip(_odds(*held) * _SCALE, -30000, 30000)).astype(np.int16).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
     for batch in batches:
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             row = np.frombuffer(data.as_buffer(), np.float64 if chunk == _MIXER else np.int64)
+            if chunk != _MIXER:
+                row = np.stack([row >> 32, row & 0xFFFFFFFF])
             if chunk != at:
                 if at is not None:
                     yield out()

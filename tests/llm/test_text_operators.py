@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -160,3 +161,12 @@ def test_language_model_has_contexts_of_two_three_four_and_six_bytes():
     padded = [bytes(8) + t + b"\0" for t in texts]
     want = [len({t[k - m : k] for t in padded for k in range(8, len(t))}) for m in (2, 3, 4, 6)]
     assert [len(np.unique(h)) for h in items.hashes[:-1]] == want
+
+
+def test_language_model_counts_of_many_tasks_do_not_overflow():
+    zeros, ones = 1_500_000_000, 1_000_000_000
+    data = np.full(16, zeros << 32 | ones, np.int64).tobytes()
+    rows = [pa.RecordBatch.from_arrays([pa.array([0] * 5, pa.int32()), pa.array([data] * 5, pa.binary())], names=["chunk", "data"])]
+    (got,) = lm._sum_chunks(rows)
+    odds = np.frombuffer(got.column(1)[0].as_py(), np.int16) / lm._SCALE
+    assert np.allclose(odds, math.log(ones / zeros), atol=1e-3)
