@@ -109,3 +109,20 @@ def test_templates(spark):
     assert templates.vector_similarity_search(e, "t", [1.0, 0.0], 1).first().id == "a"
     assert templates.similarity_search_with_threshold(e, "t", [1.0, 0.0], 0.5).count() == 1
     assert templates.aggregate_by_property(e, "t", "id", "COUNT").count() == 2
+
+
+def test_graph_queries_without_sql_take_all_orders(spark):
+    from polystrata import queries
+
+    folder = "/root/testdata/sf0.001"
+    o, lines = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("orders", "lineitem"))
+    edges = {(f"c{r[0]}", f"s{r[1]}") for r in o.join(lines, o.o_orderkey == lines.l_orderkey).select("o_custkey", "l_suppkey").distinct().collect()}
+    assert {r.id for r in queries.QUERIES["graph_communities"](spark, folder).collect()} == {x for e in edges for x in e}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    s, t = min(a for a, _ in edges), max(b for _, b in edges)
+    want = [(s, t)] if t in near[s] else []
+    want += [(s, x, y, t) for x in near[s] - {t} for y in near[x] - {s} if t in near[y]]
+    assert sorted(tuple(r.path) for r in queries.QUERIES["graph_simple_paths"](spark, folder).collect()) == sorted(want)
