@@ -10,10 +10,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are worked on in slices of about this many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
@@ -91,3 +95,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(mul)
     return x ^ (x >> np.uint64(31))
+
+
+def free_names(df: DataFrame, *names: str) -> None:
+    """Raise if a column that is about to be added is there already (names compare without case, as Spark's do)."""
+    taken = {c.lower() for c in df.columns}
+    clash = [n for n in names if n.lower() in taken]
+    if clash:
+        raise ValueError(f"column {', '.join(clash)} is there already; rename it before")
+
+
+def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.DataType, limit: int = SLICE_BYTES) -> Callable[[Column], Column]:
+    """A function of one binary column that crosses to Python alone; the row's other columns stay in the JVM.
+
+    ``work()`` runs once per task and gives a function from a slice of about
+    ``limit`` bytes to an array of as many results.  The column is marked as not
+    deterministic so that plans never compute it twice.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        do = work()
+        for column in batches:
+            if not len(column):
+                yield do(column)
+                continue
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            for start, stop in slices(ends, limit):
+                yield do(column.slice(start, stop - start))
+
+    return F.arrow_udf(run, kind).asNondeterministic()

@@ -9,16 +9,22 @@
    fewer than 64 shingles: its partner has 84 at most, so 43 of the shared values
    are retained.  Else the chance of a miss is about 2e-9.  Sets of fewer than 48 have
    partners that retain all their values, and list n - ceil(0.75 n) + 1.
-3. Lists of up to 16 nodes give their pairs.  Nodes of longer lists are first cut
-   down on their full sets: with g of n shingles that others of them have as well,
-   a node with g / n under 0.75 has no partner (texts that merely share a passage).
-   The rest form families by common lists; a family is cut by size into bands (sets
-   of Jaccard 0.75 are in the same or in adjacent ones) and by hash into blocks of
-   about 512 nodes, and pairs of blocks are solved exactly as matrix products.
-   A pair of blocks hands on a spanning forest of its links, not the links.
-4. The union of two sketches estimates Jaccard; pairs of short lists under 0.45
-   (5.5 standard deviations below 0.75) go.
+3. A list is compared by pivots: a pivot is paired with every other node of the
+   list that is not known to be in its component and whose size allows a link.  In a
+   list of up to 16 nodes all nodes are pivots at once.  A longer list starts with
+   one; after each round links become components, a list whose nodes are all in one
+   component is done, pivots that met the whole list leave it, and four times as
+   many nodes outside the list's largest component are pivots next.  A family of m
+   near copies thus costs about m pairs, and each stray node of it m more; all pairs
+   are met that could still join two components, and no list is cut.
+   After the first round nodes of open lists are held against their full sets: with
+   g of n shingles that others of them have as well, a node with g / n under 0.75 has
+   no partner (texts that merely share a passage) and leaves.
+4. The union of two sketches estimates Jaccard; pairs under 0.45 (5.5 standard
+   deviations below 0.75) go.
 5. What is left of them is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
+   A pivot's sketch and set are copied by the length of its list, so no task gets all
+   partners of one pivot.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked
 with nothing; a text of fewer than five words is one shingle; repeated rows share
@@ -40,7 +46,9 @@ from pyspark.sql import types as T
 
 from . import common, graph
 
-SHINGLE, KEEP, PREFIX, SMALL_LIST, BLOCK = 5, 64, 40, 16, 512
+SHINGLE, KEEP, PREFIX, SMALL_LIST = 5, 64, 40, 16
+#: Nodes that meet one copy of a pivot; pivots per list in the second round, and how many times more in each round after.
+SPREAD, PIVOTS, GROWTH = 2_000, 8, 4
 PERCENT, ESTIMATE = 75, 0.45
 _BUCKETS = 1 << 20
 
@@ -141,10 +149,33 @@ def _alike_sizes(a: str, b: str) -> Column:
 
 
 def small_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, within lists of at most :data:`SMALL_LIST` nodes."""
+    """Pairs (a, b, m), a < b, within lists of at most :data:`SMALL_LIST` nodes."""
     groups = lists.where(F.col("m") <= SMALL_LIST).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("sig", "n"))).alias("g"))
     pairs = groups.select(F.posexplode("g").alias("p", "x"), "g").select("x", F.explode(F.slice("g", F.col("p") + 2, F.lit(SMALL_LIST))).alias("y"))
-    return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().withColumn("m", F.lit(1).cast("long"))
+
+
+def _rank(col: str) -> Column:
+    """A number in [0, 2**32) that orders nodes the same way in every list, so that lists of one family choose the same pivots."""
+    return F.pmod(F.xxhash64(F.col(col), F.lit(17)), F.lit(1 << 32))
+
+
+def first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, m) of the one pivot of each longer list with its other nodes, and the lists (value, sig, n, m) without their pivots."""
+    long = lists.where(F.col("m") > SMALL_LIST)
+    chosen = long.groupBy("value").agg(F.min(F.struct(_rank("sig").alias("r"), "sig", "n")).alias("p")).select("value", F.col("p.sig").alias("a"), F.col("p.n").alias("na"))
+    met = long.join(chosen, "value").where("a <> sig")
+    pairs = met.where(_alike_sizes("na", "n")).groupBy("a", F.col("sig").alias("b")).agg(F.max("m").alias("m"))
+    return pairs, met.select("value", "sig", "n", "m")
+
+
+def _attached(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, m) with ``column`` of both ends as ``ha`` and ``hb``; a node ``a`` of many pairs is copied instead of gathering them."""
+    share = F.greatest(F.lit(1), F.ceil(F.col("m") / SPREAD)).cast("int")
+    copies = pairs.groupBy("a").agg(F.max(share).alias("copies"))
+    mine = held.select(F.col("sig").alias("a"), F.col(column).alias("ha")).join(copies, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    other = pairs.withColumn("share", F.pmod(F.xxhash64("b"), share).cast("int")).join(held.select(F.col("sig").alias("b"), F.col(column).alias("hb")), "b")
+    return other.join(mine, ["a", "share"])
 
 
 def _passes(a: str, b: str) -> Column:
@@ -156,108 +187,71 @@ def _passes(a: str, b: str) -> Column:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose union sketch lets Jaccard reach the threshold."""
-    s = nodes.select("sig", "sketch")
-    both = pairs.join(s.select(F.col("sig").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("sig").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.where(_passes("sa", "sb")).select("a", "b")
-
-
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """The pairs that reach the threshold on their full sets."""
-    pairs = common.stage_table(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "min_id"), "sig")
-    sets = common.stage_table(full_sets(df, id_col, text_col, common.stage_table(wanted, "wanted")), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
+    """The pairs (a, b, m) whose union sketch lets Jaccard reach the threshold."""
+    return _attached(pairs, nodes, "sketch").where(_passes("ha", "hb")).select("a", "b", "m")
+
+
+def sets_of(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(sig, hashes) of the nodes ``wanted`` (sig)."""
+    wanted = common.stage_table(wanted.distinct().join(nodes.select("sig", "min_id"), "sig"), "wanted")
+    return common.stage_table(full_sets(df, id_col, text_col, wanted), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets."""
     shared = F.size(F.array_intersect("ha", "hb"))
-    return common.stage_table(both.where(shared * 100 >= (F.size("ha") + F.size("hb") - shared) * PERCENT).select("a", "b"), "links")
+    return _attached(pairs, sets, "hashes").where(shared * 100 >= (F.size("ha") + F.size("hb") - shared) * PERCENT).select("a", "b")
 
 
-def _families(lists: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(fam, sig, n, hashes) of nodes of lists of over :data:`SMALL_LIST` nodes that may have partners there."""
-    long = lists.where(F.col("m") > SMALL_LIST)
-    wanted = common.stage_table(long.select("sig").distinct().join(nodes.select("sig", "min_id"), "sig"), "wanted")
-    sets = common.stage_table(full_sets(df, id_col, text_col, wanted), "sets")
+def _able(sets: DataFrame) -> DataFrame:
+    """(sig) of the sets that share at least 75 % of their shingles with others of them."""
     flat = sets.select("sig", F.explode("hashes").alias("x"))
     shared = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
     counts = flat.join(shared, "x").groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
-    able = common.stage_table(sets.select("sig", F.size("hashes").alias("n")).join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("sig"), "able")
-    listed = long.select("value", "sig").join(able, "sig")
-    heads = listed.groupBy("value").agg(F.min("sig").alias("head"))
-    fams = graph.components(listed.join(heads, "value").select(F.col("sig").alias("a"), F.col("head").alias("b")))
-    return common.stage_table(fams.select(F.col("node").alias("sig"), F.col("comp").alias("fam")).join(sets, "sig").withColumn("n", F.size("hashes")), "families")
-
-
-def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of hashes."""
-    n = np.array([len(s) for s in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    names = np.cumsum(count > 1) - 1
-    use = count[code] > 1
-    rows, cols = np.repeat(np.arange(len(sets)), n)[use], names[code[use]]
-    common_n = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    for low in range(0, int(names[-1]) + 1, 2048):
-        cut = slice(*np.searchsorted(cols, (low, low + 2048)))
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[rows[cut], cols[cut] - low] = 1
-        common_n += m @ m.T
-    linked = common_n * 100 >= (n[:, None] + n[None, :] - common_n) * PERCENT
-    seen, out = np.zeros(len(sets), bool), []
-    for root in range(len(sets)):
-        front = [] if seen[root] else [root]
-        seen[root] = True
-        while front:
-            at = front.pop()
-            new = np.flatnonzero(linked[at] & ~seen)
-            seen[new] = True
-            out += [(at, int(x)) for x in new]
-            front += new.tolist()
-    return out
+    return sets.select("sig", F.size("hashes").alias("n")).join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("sig")
 
 
-def block_links(families: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what is linked within families."""
-    rows = families.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    sizes = rows.groupBy("fam", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    near = lambda step, name: sizes.select("fam", (F.col("band") + step).alias("band"), F.col("nb").alias(name))
-    rows = rows.join(sizes, ["fam", "band"]).join(near(-1, "above"), ["fam", "band"], "left").join(near(1, "below"), ["fam", "band"], "left")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
-    upto = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    key = lambda band, other, a, b: F.xxhash64("fam", band, other, a, b)
-    own = F.transform(upto(F.col("nb")), lambda j: key(F.col("band"), F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j)))
-    # with the next band: this row's block first; with the band before: the other's block first
-    up = F.transform(upto(F.col("above")), lambda j: key(F.col("band"), F.col("band") + 1, F.col("i"), j))
-    down = F.transform(upto(F.col("below")), lambda j: key(F.col("band") - 1, F.col("band"), j, F.col("i")))
-    dealt = rows.select(F.explode(F.concat(own, up, down)).alias("key"), "fam", "sig", "hashes")
-
-    def solve(batches):
-        def done(table):
-            sigs, sets = table.column("sig").to_pylist(), [np.array(h, np.int64) for h in table.column("hashes").to_pylist()]
-            edges = _forest(sets)
-            return pa.RecordBatch.from_arrays([pa.array([sigs[x] for x, _ in edges], pa.binary()), pa.array([sigs[y] for _, y in edges], pa.binary())], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = table.column("key").to_numpy()
-            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
-            for low, high in itertools.pairwise(bounds):
-                yield done(table.slice(low, high - low))
-            held = table.slice(bounds[-1])
-        if held is not None:
-            yield done(held)
+def open_lists(rows: DataFrame, comps: DataFrame, pivots: int) -> DataFrame:
+    """Rows (value, sig, n, m, comp, pivot) of the lists whose nodes are in several components.
+
+    About ``pivots`` nodes of each list are pivots, none of them in its largest component;
+    all that are outside of it if they are not more.
+    """
+    held = rows.join(comps, rows["sig"] == comps["node"], "left").select("value", "sig", "n", "m", F.coalesce("comp", "sig").alias("comp"))
+    parts = held.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
+    lists = parts.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
+    lists = lists.select("value", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest"))
+    pivot = (F.col("comp") != F.col("main")) & (_rank("sig") * F.col("rest") < F.lit(pivots) * F.lit(1 << 32))
+    return common.stage_table(held.join(lists, "value").withColumn("pivot", pivot).drop("main", "rest"), "open")
+
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a binary, b binary")
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, m) of the pivots of :func:`open_lists` with the nodes of their lists that are in other components."""
+    chosen = rows.where("pivot").select("value", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    met = rows.join(chosen, "value").where((F.col("comp") != F.col("ca")) & _alike_sizes("na", "n") & ~(F.col("pivot") & (F.col("sig") < F.col("a"))))
+    return met.groupBy("a", F.col("sig").alias("b")).agg(F.max("m").alias("m"))
 
 
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another."""
     lists = inverted_lists(nodes)
-    short = verified(estimated(small_pairs(lists), nodes), df, id_col, text_col, nodes)
-    return common.stage_table(graph.components(short.unionByName(block_links(_families(lists, df, id_col, text_col, nodes)))), "components")
+    pairs, rows = first_pairs(lists)
+    likely = common.stage_table(estimated(small_pairs(lists).unionByName(pairs).groupBy("a", "b").agg(F.max("m").alias("m")), nodes), "pairs")
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("sig")), df, id_col, text_col, nodes)
+    comps = common.stage_table(graph.components(verified(likely, sets)), "components")
+    pivots, sieved = PIVOTS, False
+    while True:
+        rows = open_lists(rows, comps, pivots)
+        if not rows.take(1):
+            return comps
+        if not sieved:
+            sets = sets_of(rows.select("sig"), df, id_col, text_col, nodes)
+            rows = open_lists(rows.join(_able(sets), "sig", "left_semi").select("value", "sig", "n", "m"), comps, pivots)
+            sieved = True
+        found = verified(common.stage_table(estimated(pivot_pairs(rows), nodes), "pairs"), sets)
+        comps = common.stage_table(graph.components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+        rows = rows.where("NOT pivot").select("value", "sig", "n", "m")
+        pivots *= GROWTH
 
 
 def _nodes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ hash); everything else covers every row.
 Defined results: NULL and empty texts have no words and fail the base rule; rows
 with a NULL label or without a text are not learned from; of repeated labels of an
 id the lowest counts; repeated rows are judged each; without labels of both kinds
-there are no rules; an empty table gives an empty table.
+there are no rules; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -91,24 +91,22 @@ def _measure(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def statistics(df: DataFrame, text_col: str) -> DataFrame:
-    """Add a struct ``_ps_stats`` of :data:`STATISTICS` of every whole text."""
-    inner = T.StructType([T.StructField(s, T.LongType(), False) for s in STATISTICS])
-    schema = T.StructType([*df.schema.fields, T.StructField("_ps_stats", inner, False)])
+_STATISTICS_TYPE = T.StructType([T.StructField(s, T.LongType()) for s in STATISTICS])
+
+
+def _measured():
+    fields = [pa.field(s, pa.int64()) for s in STATISTICS]
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def work(texts: pa.Array) -> pa.Array:
+        found = _measure(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATISTICS))], fields=fields)
 
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            _, ends = common.byte_rows(batch.column(batch.num_columns - 1))
-            for start, stop in common.slices(ends):
-                part = batch.slice(start, stop - start)
-                found = _measure(part.column(batch.num_columns - 1).to_pylist())
-                struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATISTICS))], fields=list(arrow.field("_ps_stats").type))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], struct], schema=arrow)
+    return work
 
-    return df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(run, schema)
+
+def statistics(df: DataFrame, text_col: str) -> DataFrame:
+    """Add a struct ``_ps_stats`` of :data:`STATISTICS` of every whole text; only the text crosses to Python."""
+    return df.withColumn("_ps_stats", common.arrow_column(_measured, _STATISTICS_TYPE)(common.utf8(text_col)))
 
 
 def base_failed(stats: str = "_ps_stats") -> Column:
@@ -226,7 +224,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     rows = statistics(rows.join(F.broadcast(known), "_ps_id"), "_ps_body").where(~base_failed())
     stats = F.col("_ps_stats")
     fold = (F.crc32(F.col("_ps_id").cast("string").cast("binary")) % 3).alias("fold")
-    found = rows.select("_ps_id", F.col("_ps_label").alias("label"), fold, *[_ratio(stats, r).alias(r) for r in RATIOS]).limit(2 * SAMPLE).toPandas()
+    found = rows.select("_ps_id", F.col("_ps_label").alias("label"), fold, *[_ratio(stats, r).alias(r) for r in RATIOS])
+    found = found.orderBy(F.xxhash64("_ps_id"), "_ps_id", *RATIOS).limit(2 * SAMPLE).toPandas()
     found = found.sort_values(["_ps_id", *RATIOS], kind="stable")
     bad = found["label"].to_numpy() == 0
     if not bad.any() or bad.all():
@@ -246,5 +245,6 @@ def verdict(rules: list[Rule], stats: str = "_ps_stats") -> Column:
 
 
 def judge(df: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
-    """Add the struct ``_ps_stats``, ``base_failed`` and ``kept``."""
+    """Add the struct ``_ps_stats``, ``base_failed`` and ``kept`` (names that must be free)."""
+    common.free_names(df, "_ps_stats", "base_failed", "kept")
     return statistics(df, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

@@ -82,15 +82,27 @@ def test_near_duplicates_of_sets_that_one_sketch_cuts_off(spark):
     assert got == plain_components(rows)
 
 
-def test_near_duplicates_through_long_lists_only(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_near_duplicates_through_pivots_only(spark, monkeypatch, pivots):
     monkeypatch.setattr(neardup, "SMALL_LIST", 1)
-    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "SPREAD", 3)
     rows = list(enumerate(near_copies(7, 60, 12, 5) + near_copies(8, 60, 9, 5)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_of_one_large_family_with_strays_and_of_shared_passages(spark):
+    rnd = random.Random(21)
+    rows = list(enumerate(near_copies(22, 70, 700, 9)))
+    passage = " ".join(f"p{rnd.randint(0, 999)}" for _ in range(45))
+    rows += [(5000 + k, " ".join(f"q{rnd.randint(0, 99999)}" for _ in range(40)) + " " + passage) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
+    assert got == plain_components(rows)
+
+
 def test_staged_tables_can_be_released(spark):
     staged = common.stage_table(spark.range(3), "x")
     assert staged.count() == 3 and common.release(spark) >= 1
