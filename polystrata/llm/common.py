@@ -97,6 +97,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of input that one bucket of packed rows stands for.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(df: DataFrame) -> int:
+    """Buckets for packed rows of ``df``: they grow with the input, so that a bucket's size does not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 55)  # sources that cannot tell say a huge number
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // BUCKET_BYTES))
+
+
 def free_names(df: DataFrame, *names: str) -> None:
     """Raise if a column that is about to be added is there already (names compare without case, as Spark's do)."""
     taken = {c.lower() for c in df.columns}

@@ -99,7 +99,7 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
     info = _info_schema(df.schema[id_col].dataType)
     weight = F.lit(1) if weight is None else weight
     rows = df.select(F.col(f"`{id_col}`").alias("id"), common.utf8(text_col).alias("text"), weight.cast("int").alias("doc_weight"))
-    buckets = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = common.buckets(rows)
     names = [x.split()[0] for x in _PACKED.split(", ")]
 
     def run(batches):

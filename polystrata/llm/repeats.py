@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, suffixes
@@ -100,7 +100,7 @@ def anchors(raw: np.ndarray, grams: _Grams) -> tuple[np.ndarray, np.ndarray, np.
 
 def _sieve(texts: DataFrame) -> DataFrame:
     """(h, len, pos): anchors whose hash occurs at two places or more, of texts (h, len, text)."""
-    buckets = max(32, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = common.buckets(texts)
     names = ["bucket", "gram", "h", "place"]
 
     def pack(batches):
@@ -188,11 +188,12 @@ def _settled(cand: DataFrame) -> DataFrame:
                 n = len(place)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(np.full(n, h)), pa.array(np.full(n, len(raw), np.int32)), pa.array(place.astype(np.int32))], names=["a", "b", "h", "len", "pos"])
 
-    # Counts combine before they are shuffled, and a join's hot keys are split, so one context may be in any share of the texts.
+    # Counts combine before they are shuffled.  They are staged so that the join reads shuffles on both sides: adaptive
+    # execution then splits the rows of a hot context, which it does not do beside an aggregation of the same stage.
     hashed = common.stage_table(cand.mapInArrow(run, schema), "hashed")
     place = F.struct("h", "len", "pos")
     twice = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
-    rows = hashed.join(twice, ["a", "b"], "left")
+    rows = hashed.join(common.stage_table(twice, "twice"), ["a", "b"], "left")
     return rows.select("h", "len", "pos", F.col("first").isNotNull().alias("many"), (F.col("first").isNull() | (F.col("first") == place)).alias("rep"))
 
 
@@ -322,10 +323,17 @@ def _texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(body).alias("h"), F.octet_length(body).alias("len"), body.cast("binary").alias("text"))
 
 
-def changed_texts(df: DataFrame, text_col: str) -> DataFrame:
+def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` extended to the UTF-8 characters that it cuts."""
+    character = np.cumsum((raw & 0xC0) != 0x80)
+    return (np.bincount(character, gone, character[-1] + 1) > 0)[character]
+
+
+def changed_texts(df: DataFrame, text_col: str, whole_characters: bool = False) -> DataFrame:
     """(h, len, n_removed, n_spans, kept): distinct texts that lose bytes to strings elsewhere; exact copies are not among the reasons.
 
     ``h`` is xxhash64 of the text and ``len`` its bytes; the two name a text.
+    ``whole_characters``: what a cut leaves of a character is not kept.
     """
     texts = _texts(df, text_col).where(F.col("len") >= LENGTH)
     cand = _sieve(texts).groupBy("h", "len").agg(F.collect_list("pos").alias("pos"))
@@ -353,23 +361,30 @@ def changed_texts(df: DataFrame, text_col: str) -> DataFrame:
                 gone = _removed(raw, place, first, last, batch.column(3)[k].values.to_numpy(), bits)
                 out[0].append(int(gone.sum()))
                 out[1].append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
-                out[2].append(raw[~gone].tobytes())
+                out[2].append(raw[~(_whole_characters(raw, gone) if whole_characters else gone)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["h", "len", "n_removed", "n_spans", "kept"])
 
     return rows.mapInArrow(run, "h long, len int, n_removed long, n_spans long, kept binary")
 
 
+def _second(body: Column) -> Column:
+    """A second hash of a text: whole texts are removed only if 128 bits and the length agree."""
+    return F.xxhash64(F.lit(1), body)
+
+
 def _copied(df: DataFrame, text_col: str) -> DataFrame:
-    """(h, len) of texts of at least 200 bytes that occur more than once."""
-    return _texts(df, text_col).select("h", "len").where(F.col("len") >= LENGTH).groupBy("h", "len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "len", F.lit(True).alias("copied"))
+    """(h, len, h2) of texts of at least 200 bytes that occur more than once."""
+    body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    names = df.select(F.xxhash64(body).alias("h"), F.octet_length(body).alias("len"), _second(body).alias("h2")).where(F.col("len") >= LENGTH)
+    return names.groupBy("h", "len", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "len", "h2", F.lit(True).alias("copied"))
 
 
 def report(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     changed = changed_texts(df, text_col).select("h", "len", F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.sha2("kept", 256).alias("k"))
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("h"), F.octet_length(body).alias("len"), F.sha2(body.cast("binary"), 256).alias("sha"))
-    out = rows.join(changed, ["h", "len"], "left").join(_copied(df, text_col), ["h", "len"], "left")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("h"), F.octet_length(body).alias("len"), _second(body).alias("h2"), F.sha2(body.cast("binary"), 256).alias("sha"))
+    out = rows.join(changed, ["h", "len"], "left").join(_copied(df, text_col), ["h", "len", "h2"], "left")
     n = F.col("len").cast("long")
     return out.select(
         F.col("id").alias(id_col),
@@ -381,13 +396,16 @@ def report(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def strip(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with repeated strings taken out of its texts; what a cut leaves of a character goes as well."""
-    changed = changed_texts(df, text_col).select("h", "len", "kept")
+    """``df`` with repeated strings taken out of its texts; what a cut leaves of a character goes as well.
+
+    Rows of which nothing but white space is left go; rows that lose nothing stay as
+    they are, NULL, empty and blank ones among them.
+    """
+    changed = changed_texts(df, text_col, True).select(F.col("h").alias("_ps_h"), F.col("len").alias("_ps_len"), F.col("kept").alias("_ps_kept"))
+    copied = _copied(df, text_col).withColumnsRenamed({"h": "_ps_h", "len": "_ps_len", "h2": "_ps_h2", "copied": "_ps_copied"})
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.withColumns({"_ps_h": F.xxhash64(body), "_ps_len": F.octet_length(body)})
-    names = lambda t, *more: t.select(F.col("h").alias("_ps_h"), F.col("len").alias("_ps_len"), *more)
-    rows = rows.join(names(changed, F.col("kept").alias("_ps_kept")), ["_ps_h", "_ps_len"], "left")
-    rows = rows.join(names(_copied(df, text_col), F.col("copied").alias("_ps_copied")), ["_ps_h", "_ps_len"], "left")
-    # invalid bytes decode to U+FFFD, which is dropped; texts that lose nothing stay as they are
-    text = F.when(F.col("_ps_copied"), F.lit("")).when(F.col("_ps_kept").isNotNull(), F.replace(F.make_valid_utf8(F.col("_ps_kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(F.col(f"`{text_col}`"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumns({"_ps_h": F.xxhash64(body), "_ps_len": F.octet_length(body), "_ps_h2": _second(body)})
+    rows = rows.join(changed, ["_ps_h", "_ps_len"], "left").join(copied, ["_ps_h", "_ps_len", "_ps_h2"], "left")
+    left = F.when(F.col("_ps_copied"), F.lit("")).otherwise(F.col("_ps_kept").cast("string"))
+    rows = rows.withColumn("_ps_left", left).where(F.col("_ps_left").isNull() | F.col("_ps_left").rlike(r"[^\t\n\x0B\f\r ]"))
+    return rows.select(*[F.coalesce("_ps_left", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
