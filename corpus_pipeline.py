@@ -21,7 +21,11 @@ TARGETS: dict[str, mixing.Target] = {"source": 0.9, "lang": 0.9, "topic": 1.0}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
+    """Documents that pass the base rule and the learned decision list.
+
+    NULL and empty texts have no words and fail the base rule; repeated rows are judged
+    each; a document at a threshold follows the rule's comparison; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = quality.fit(docs, labels, "doc_id", "text", "quality")
     return quality.judge(docs.select(*COLUMNS), "text", rules).where("kept").select(*COLUMNS)
@@ -37,20 +41,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 200 bytes that also start elsewhere; documents that lose everything go."""
-    out = repeats.strip(docs.select(*COLUMNS), "text").where(F.length(F.trim("text")) > 0)
+    """Texts without strings of 200 bytes that also start elsewhere; documents that lose everything go.
+
+    NULL, empty and blank texts have nothing to lose and stay; exact repeats lose all
+    of 200 bytes and more; an empty table stays empty.
+    """
+    out = repeats.strip(docs.select(*COLUMNS), "text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with tempered sources and languages."""
+    """A sample with tempered sources and languages.
+
+    NULL sources and languages are values of their own; NULL and empty texts have no
+    tokens and share their cell's draw; repeated ids share a draw; an empty table stays empty.
+    """
     rows = docs.select(*COLUMNS).withColumn("_tokens", mixing.word_count("text"))
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.length_topic(F.col("_tokens"))}
     return mixing.mix(rows, "doc_id", F.col("_tokens"), dims, TARGETS).where("kept").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and whether these decode to the text."""
+    """The documents with their token ids, and whether these decode to the text.
+
+    NULL and empty texts have no tokens and decode to nothing; repeated rows are encoded
+    each; an empty table stays empty.
+    """
     at = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     done = bpe.decode(bpe.encode(docs.select(*COLUMNS), "text", "token_ids", *at), "token_ids", "decoded", *at)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
