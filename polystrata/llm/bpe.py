@@ -28,7 +28,9 @@ _NONE = np.int64(1 << 40)
 #: Rows of more bytes than this have a matrix row per merge too costly; they go through a heap, with the same result.
 LONG_ROW = 512
 _CELLS = 1 << 20
-_MEMO = 200_000
+_MEMO = 100_000
+#: Bytes of text encoded at once.
+_ENCODE = 2 << 20
 
 
 class PairTable:
@@ -192,7 +194,7 @@ class Codec:
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text). Each distinct pre-token of a slice is merged once."""
         if len(self._memo) > _MEMO:
-            self._memo, self._ids = {}, []
+            self.forget()
         memo, seen, counts, fresh = self._memo, [], [], []
         for text in texts:
             found = self.pattern.findall(text)
@@ -213,6 +215,10 @@ class Codec:
         ids = flat[np.arange(ends[-1]) + np.repeat(starts[seen] - (ends - n), n)]
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
+    def forget(self) -> None:
+        """Drop the pre-tokens met so far; a worker keeps the codec for later tasks, but not these."""
+        self._memo, self._ids = {}, []
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) that the ids spell."""
         n = self.lengths[ids]
@@ -244,12 +250,13 @@ def encode(df: DataFrame, text_col: str, out_col: str, vocab_path: str, pattern:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_ps_text"))
             _, ends = common.byte_rows(texts)
-            for start, stop in common.slices(ends):
+            for start, stop in common.slices(ends, _ENCODE):
                 ids, offsets = codec.encode_texts([t.decode("utf-8", "replace") for t in texts.slice(start, stop - start).to_pylist()])
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=schema.names)
+        codec.forget()
 
-    return df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(run, schema)
+    return df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(common.tidy(run), schema)
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str, vocab_path: str, pattern: str) -> DataFrame:
@@ -267,4 +274,4 @@ def decode(df: DataFrame, ids_col: str, out_col: str, vocab_path: str, pattern:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], common.binary_array(values, offsets)], names=schema.names)
 
     ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("_ps_ids")
-    return df.select("*", ids).mapInArrow(run, schema)
+    return df.select("*", ids).mapInArrow(common.tidy(run), schema)

@@ -97,6 +97,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow`` that gives Arrow's unused memory back after each batch and at its end.
+
+    Workers are used again by later tasks; without this each keeps the most that any of them took.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        pool = pa.default_memory_pool()
+
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                pool.release_unused()
+
+        try:
+            yield from run(each())
+        finally:
+            pool.release_unused()
+
+    return tidied
+
+
 #: Bytes of input that one bucket of packed rows stands for.
 BUCKET_BYTES = 32 << 20
 
@@ -126,7 +149,7 @@ def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.Dat
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        do = work()
+        do, pool = work(), pa.default_memory_pool()
         for column in batches:
             if not len(column):
                 yield do(column)
@@ -134,5 +157,7 @@ def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.Dat
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
             for start, stop in slices(ends, limit):
                 yield do(column.slice(start, stop - start))
+            del column
+            pool.release_unused()
 
     return F.arrow_udf(run, kind).asNondeterministic()

@@ -417,7 +417,7 @@ def _per_slice(df: DataFrame, column, schema: T.StructType, work, limit: int) ->
                 own = list(part.columns[:-1])
                 yield pa.RecordBatch.from_arrays(own + [pa.array(v, arrow.field(len(own) + k).type) for k, v in enumerate(more)], schema=arrow)
 
-    return df.select("*", column.alias("_ps_value")).mapInArrow(run, schema)
+    return df.select("*", column.alias("_ps_value")).mapInArrow(common.tidy(run), schema)
 
 
 def store(df: DataFrame, text_col: str, out_col: str = "media") -> DataFrame:
@@ -460,4 +460,4 @@ def pcm_blocks(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 owner = pa.array(np.repeat(np.arange(start, stop), counts))
                 yield pa.RecordBatch.from_arrays([ids.take(owner), pa.array(blocks, pa.int32()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int32()), pa.array([f.astype(np.int8).tobytes() for f in frames], pa.binary())], schema=arrow)
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`").alias("media")).where("media IS NOT NULL").mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`").alias("media")).where("media IS NOT NULL").mapInArrow(common.tidy(run), schema)

@@ -286,7 +286,7 @@ class Model:
 
 def train(texts: DataFrame) -> Model:
     """Train on all rows of a one-column table of UTF-8 bytes."""
-    summed = texts.mapInArrow(_train, "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_chunks, "chunk int, data binary")
+    summed = texts.mapInArrow(common.tidy(_train), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.tidy(_sum_chunks), "chunk int, data binary")
     return Model([(r.chunk, bytes(r.data)) for r in summed.collect()])  # at most the fixed number of chunks
 
 

@@ -134,7 +134,7 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                     kept = weights[at : at + n] == 1
                     yield row(block % buckets, block, 0, *[None] * 6, held.serialize().to_pybytes(), int(sizes[kept].sum()), int(kept.sum()))
 
-    return rows.mapInArrow(run, _PACKED)
+    return rows.mapInArrow(common.tidy(run), _PACKED)
 
 
 def value_terms(packed: DataFrame, value: Callable[[], Callable[[list[bytes], np.ndarray], np.ndarray]], n_values: int, tally: bool = False) -> DataFrame:
@@ -187,7 +187,7 @@ def value_terms(packed: DataFrame, value: Callable[[], Callable[[list[bytes], np
         if held:
             yield from one_bucket(held, worth)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SUMS)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(common.tidy(run), _SUMS)
 
 
 def sum_blocks(sums: DataFrame, id_type: T.DataType, values: list[str]) -> DataFrame:
@@ -221,4 +221,4 @@ def sum_blocks(sums: DataFrame, id_type: T.DataType, values: list[str]) -> DataF
         if held is not None:
             yield done()
 
-    return sums.where("block >= 0").select("block", "sums", "info").repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+    return sums.where("block >= 0").select("block", "sums", "info").repartition("block").sortWithinPartitions("block").mapInArrow(common.tidy(run), schema)

@@ -159,8 +159,8 @@ def _sieve(texts: DataFrame) -> DataFrame:
         if held:
             yield from done()
 
-    packed = texts.mapInArrow(pack, "bucket int, gram binary, h binary, place binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "h long, len int, pos int")
+    packed = texts.mapInArrow(common.tidy(pack), "bucket int, gram binary, h binary, place binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(common.tidy(pick), "h long, len int, pos int")
 
 
 def _contexts(batch: pa.RecordBatch, grams: _Grams):
@@ -190,7 +190,7 @@ def _settled(cand: DataFrame) -> DataFrame:
 
     # Counts combine before they are shuffled.  They are staged so that the join reads shuffles on both sides: adaptive
     # execution then splits the rows of a hot context, which it does not do beside an aggregation of the same stage.
-    hashed = common.stage_table(cand.mapInArrow(run, schema), "hashed")
+    hashed = common.stage_table(cand.mapInArrow(common.tidy(run), schema), "hashed")
     place = F.struct("h", "len", "pos")
     twice = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
     rows = hashed.join(common.stage_table(twice, "twice"), ["a", "b"], "left")
@@ -300,8 +300,8 @@ def _decided(flagged: DataFrame) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    rows = flagged.mapInArrow(cut, schema).repartition("g").sortWithinPartitions("g", "g2")
-    return rows.mapInArrow(solve, "h long, len int, pos int, starts binary")
+    rows = flagged.mapInArrow(common.tidy(cut), schema).repartition("g").sortWithinPartitions("g", "g2")
+    return rows.mapInArrow(common.tidy(solve), "h long, len int, pos int, starts binary")
 
 
 def _removed(raw: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, whole: np.ndarray, own: dict[int, np.ndarray]) -> np.ndarray:
@@ -364,7 +364,7 @@ def changed_texts(df: DataFrame, text_col: str, whole_characters: bool = False)
                 out[2].append(raw[~(_whole_characters(raw, gone) if whole_characters else gone)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["h", "len", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, "h long, len int, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(common.tidy(run), "h long, len int, n_removed long, n_spans long, kept binary")
 
 
 def _second(body: Column) -> Column:

@@ -171,7 +171,7 @@ def telling_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str],
 
     totals = rows.groupBy("label").count().collect()
     n1, n0 = (sum(r["count"] for r in totals if (r["label"] == 1) == hit) for hit in (True, False))
-    counts = rows.select("label", "text").mapInArrow(run, "label int, f array<string>").select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count(F.lit(1)).alias("c")).where("c >= 4")
+    counts = rows.select("label", "text").mapInArrow(common.tidy(run), "label int, f array<string>").select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count(F.lit(1)).alias("c")).where("c >= 4")
     ratio = F.log((F.col("c1") + 0.5) / (n1 + 1) / ((F.col("c") - F.col("c1") + 0.5) / (n0 + 1)))
     best = counts.withColumn("ratio", ratio).orderBy((F.sqrt("c") * F.abs("ratio")).desc(), "f").limit(most).collect()
     return [r.f for r in best], [r.f for r in best if r.c1 >= 10 and r.c1 >= 0.9 * r.c]
@@ -200,7 +200,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(values), pa.list_(pa.float32()))], names=["label", "fold", "x"])
 
     fold = (F.crc32(F.col("_ps_id").cast("string").cast("binary")) % FOLDS).cast("int").alias("fold")
-    got = rows.orderBy("_ps_id", "text").select("label", fold, "text").mapInArrow(run, "label int, fold int, x array<float>").toArrow()
+    got = rows.orderBy("_ps_id", "text").select("label", fold, "text").mapInArrow(common.tidy(run), "label int, fold int, x array<float>").toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(vocabulary)) if len(got) else np.zeros((0, len(vocabulary)), np.float32)
     toxic, folds = got["label"].to_numpy() == 1, got["fold"].to_numpy()
     return fit_chain(x, vocabulary, {"toxic": toxic, "severe": _severe(x, vocabulary, marks, toxic)}, folds)
@@ -224,5 +224,5 @@ def score(df: DataFrame, text_col: str, chain: Chain) -> DataFrame:
                 p = model.probabilities(counter.values(part.column(batch.num_columns - 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1])]], schema=arrow)
 
-    out = df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(run, schema)
+    out = df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(common.tidy(run), schema)
     return out.withColumns({f"is_{c}": F.col(f"p_{c}") >= float(t) for c, t in zip(chain.categories, chain.thresholds, strict=True)})
