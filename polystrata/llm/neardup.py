@@ -9,17 +9,18 @@
    fewer than 64 shingles: its partner has 84 at most, so 43 of the shared values
    are retained.  Else the chance of a miss is about 2e-9.  Sets of fewer than 48 have
    partners that retain all their values, and list n - ceil(0.75 n) + 1.
-3. A list is compared by pivots: a pivot is paired with every other node of the
-   list that is not known to be in its component and whose size allows a link.  In a
-   list of up to 16 nodes all nodes are pivots at once.  A longer list starts with
-   one; after each round links become components, a list whose nodes are all in one
-   component is done, pivots that met the whole list leave it, and four times as
-   many nodes outside the list's largest component are pivots next.  A family of m
-   near copies thus costs about m pairs, and each stray node of it m more; all pairs
-   are met that could still join two components, and no list is cut.
-   After the first round nodes of open lists are held against their full sets: with
-   g of n shingles that others of them have as well, a node with g / n under 0.75 has
-   no partner (texts that merely share a passage) and leaves.
+3. Lists of up to 16 nodes give their pairs.  A longer list gives the pairs of one
+   pivot with its other nodes (lists of one family choose the same pivot), and verified
+   links become components.  A list whose nodes are then all in one component is done:
+   a family of m near copies costs about m pairs.  Nodes of lists that stay open are
+   held against their full sets: with g of n shingles that others of them have as
+   well, a node with g / n under 0.75 has no partner (texts that merely share a
+   passage) and leaves.  The rest form families by common lists.  In each the nodes
+   outside the largest component, the strays, are compared with all others of like
+   size: both are cut by hash into blocks of about 512 nodes, and pairs of blocks
+   with a stray one are solved exactly as matrix products, which hand on a spanning
+   forest of their links.  Nodes of the largest component are not compared with each
+   other, so s strays among m nodes cost s m / 512**2 products.
 4. The union of two sketches estimates Jaccard; pairs under 0.45 (5.5 standard
    deviations below 0.75) go.
 5. What is left of them is verified on the full sets: 100 * |A & B| >= 75 * |A | B|.
@@ -46,11 +47,13 @@ from pyspark.sql import types as T
 
 from . import common, graph
 
-SHINGLE, KEEP, PREFIX, SMALL_LIST = 5, 64, 40, 16
-#: Nodes that meet one copy of a pivot; pivots per list in the second round, and how many times more in each round after.
-SPREAD, PIVOTS, GROWTH = 2_000, 8, 4
+SHINGLE, KEEP, PREFIX, SMALL_LIST, BLOCK = 5, 64, 40, 16, 512
+#: Nodes that meet one copy of a pivot.
+SPREAD = 2_000
 PERCENT, ESTIMATE = 75, 0.45
 _BUCKETS = 1 << 20
+#: Bytes of text cut into shingles at once.
+_CUT = 1 << 20
 
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
@@ -94,13 +97,13 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             _, ends = common.byte_rows(batch.column(2))
-            for start, stop in common.slices(ends):
+            for start, stop in common.slices(ends, _CUT):
                 sets = shingle_sets(batch.column(2).slice(start, stop - start).to_pylist())
                 kept = [s[:KEEP].view(np.int64) for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), lists], names=schema.names)
 
-    return df.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"), common.utf8(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"), common.utf8(text_col).alias("text")).mapInArrow(common.tidy(run), schema)
 
 
 def _id_bucket(col: str) -> Column:
@@ -120,12 +123,12 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     def run(batches):
         for batch in batches:
             _, ends = common.byte_rows(batch.column(0))
-            for start, stop in common.slices(ends):
+            for start, stop in common.slices(ends, _CUT):
                 sets = shingle_sets(batch.column(0).slice(start, stop - start).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), lists], names=["sig", "hashes"])
 
-    found = texts.mapInArrow(run, "sig binary, hashes array<long>").where("sig IS NOT NULL")
+    found = texts.mapInArrow(common.tidy(run), "sig binary, hashes array<long>").where("sig IS NOT NULL")
     return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -140,7 +143,7 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     take = prefix - (F.col("k") - F.size("held"))
     listed = held.where(take > 0).select("sig", "n", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select("h.value", "sig", "n")
     listed = common.stage_table(listed, "lists")
-    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = common.stage_table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
     return common.stage_table(listed.join(sizes, "value"), "lists")
 
 
@@ -161,12 +164,12 @@ def _rank(col: str) -> Column:
 
 
 def first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, m) of the one pivot of each longer list with its other nodes, and the lists (value, sig, n, m) without their pivots."""
+    """Pairs (a, b, m) of the one pivot of each longer list with its other nodes, and the lists (value, sig, n) without their pivots."""
     long = lists.where(F.col("m") > SMALL_LIST)
-    chosen = long.groupBy("value").agg(F.min(F.struct(_rank("sig").alias("r"), "sig", "n")).alias("p")).select("value", F.col("p.sig").alias("a"), F.col("p.n").alias("na"))
+    chosen = common.stage_table(long.groupBy("value").agg(F.min(F.struct(_rank("sig").alias("r"), "sig", "n")).alias("p")).select("value", F.col("p.sig").alias("a"), F.col("p.n").alias("na")), "pivots")
     met = long.join(chosen, "value").where("a <> sig")
     pairs = met.where(_alike_sizes("na", "n")).groupBy("a", F.col("sig").alias("b")).agg(F.max("m").alias("m"))
-    return pairs, met.select("value", "sig", "n", "m")
+    return pairs, met.select("value", "sig", "n")
 
 
 def _attached(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
@@ -211,25 +214,88 @@ def _able(sets: DataFrame) -> DataFrame:
     return sets.select("sig", F.size("hashes").alias("n")).join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("sig")
 
 
-def open_lists(rows: DataFrame, comps: DataFrame, pivots: int) -> DataFrame:
-    """Rows (value, sig, n, m, comp, pivot) of the lists whose nodes are in several components.
+def open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (value, sig, n, comp) of the lists whose nodes are in several components."""
+    held = rows.join(comps, rows["sig"] == comps["node"], "left").select("value", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
+    several = held.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+    return common.stage_table(held.join(common.stage_table(several, "several"), "value"), "open")
+
+
+def _families(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fam, sig, n, stray, hashes) of the nodes of open lists; lists with common nodes are one family."""
+    heads = common.stage_table(rows.groupBy("value").agg(F.min("sig").alias("head")), "heads")
+    fams = graph.components(rows.join(heads, "value").select(F.col("sig").alias("a"), F.col("head").alias("b")))
+    nodes = common.stage_table(rows.select("sig", "n", "comp").distinct().join(fams.select(F.col("node").alias("sig"), F.col("comp").alias("fam")), "sig"), "families")
+    parts = nodes.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = common.stage_table(parts.groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("top")).select("fam", F.col("top.comp").alias("main")), "main")
+    return nodes.join(main, "fam").withColumn("stray", F.col("comp") != F.col("main")).drop("comp", "main").join(sets, "sig")
+
+
+def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of hashes."""
+    n = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    names = np.cumsum(count > 1) - 1
+    use = count[code] > 1
+    rows, cols = np.repeat(np.arange(len(sets)), n)[use], names[code[use]]
+    common_n = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for low in range(0, int(names[-1]) + 1, 2048):
+        cut = slice(*np.searchsorted(cols, (low, low + 2048)))
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[rows[cut], cols[cut] - low] = 1
+        common_n += m @ m.T
+    linked = common_n * 100 >= (n[:, None] + n[None, :] - common_n) * PERCENT
+    seen, out = np.zeros(len(sets), bool), []
+    for root in range(len(sets)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(linked[at] & ~seen)
+            seen[new] = True
+            out += [(at, int(x)) for x in new]
+            front += new.tolist()
+    return out
 
-    About ``pivots`` nodes of each list are pivots, none of them in its largest component;
-    all that are outside of it if they are not more.
-    """
-    held = rows.join(comps, rows["sig"] == comps["node"], "left").select("value", "sig", "n", "m", F.coalesce("comp", "sig").alias("comp"))
-    parts = held.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
-    lists = parts.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
-    lists = lists.select("value", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest"))
-    pivot = (F.col("comp") != F.col("main")) & (_rank("sig") * F.col("rest") < F.lit(pivots) * F.lit(1 << 32))
-    return common.stage_table(held.join(lists, "value").withColumn("pivot", pivot).drop("main", "rest"), "open")
 
+def block_links(families: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the strays of each family with what they are linked with."""
+    # sets of Jaccard 0.75 are in the same or in adjacent bands of size
+    rows = families.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    blocks = rows.groupBy("fam", "band", "stray").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    # at most two kinds of about forty bands
+    cells = common.stage_table(blocks.groupBy("fam").agg(F.collect_list(F.struct("band", "stray", "nb")).alias("cells")), "cells")
+    rows = rows.join(cells, "fam")
+    mine = F.element_at(F.filter("cells", lambda c: (c["band"] == F.col("band")) & (c["stray"] == F.col("stray"))), 1)["nb"]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), mine).cast("int"))
+    here = F.struct("band", "stray", "block")
+    near = F.filter("cells", lambda c: (F.abs(c["band"] - F.col("band")) <= 1) & (c["stray"] | F.col("stray")))
+    there = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["nb"] - 1), lambda j: F.struct(c["band"].alias("band"), c["stray"].alias("stray"), j.alias("block")))))
+    dealt = rows.select("fam", "sig", "hashes", here.alias("here"), F.explode(there).alias("there"))
+    dealt = dealt.select(F.xxhash64("fam", F.least("here", "there"), F.greatest("here", "there")).alias("key"), "fam", "sig", "hashes")
+
+    def solve(batches):
+        def done(table):
+            sigs, sets = table.column("sig").to_pylist(), [np.array(h, np.int64) for h in table.column("hashes").to_pylist()]
+            edges = _forest(sets)
+            return pa.RecordBatch.from_arrays([pa.array([sigs[x] for x, _ in edges], pa.binary()), pa.array([sigs[y] for _, y in edges], pa.binary())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table.column("key").to_numpy()
+            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+            for low, high in itertools.pairwise(bounds):
+                yield done(table.slice(low, high - low))
+            held = table.slice(bounds[-1])
+        if held is not None:
+            yield done(held)
 
-def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, m) of the pivots of :func:`open_lists` with the nodes of their lists that are in other components."""
-    chosen = rows.where("pivot").select("value", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    met = rows.join(chosen, "value").where((F.col("comp") != F.col("ca")) & _alike_sizes("na", "n") & ~(F.col("pivot") & (F.col("sig") < F.col("a"))))
-    return met.groupBy("a", F.col("sig").alias("b")).agg(F.max("m").alias("m"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(solve), "a binary, b binary")
 
 
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -239,19 +305,13 @@ def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFr
     likely = common.stage_table(estimated(small_pairs(lists).unionByName(pairs).groupBy("a", "b").agg(F.max("m").alias("m")), nodes), "pairs")
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("sig")), df, id_col, text_col, nodes)
     comps = common.stage_table(graph.components(verified(likely, sets)), "components")
-    pivots, sieved = PIVOTS, False
-    while True:
-        rows = open_lists(rows, comps, pivots)
-        if not rows.take(1):
-            return comps
-        if not sieved:
-            sets = sets_of(rows.select("sig"), df, id_col, text_col, nodes)
-            rows = open_lists(rows.join(_able(sets), "sig", "left_semi").select("value", "sig", "n", "m"), comps, pivots)
-            sieved = True
-        found = verified(common.stage_table(estimated(pivot_pairs(rows), nodes), "pairs"), sets)
-        comps = common.stage_table(graph.components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
-        rows = rows.where("NOT pivot").select("value", "sig", "n", "m")
-        pivots *= GROWTH
+    rows = open_lists(rows, comps)
+    if not rows.take(1):
+        return comps
+    sets = sets_of(rows.select("sig"), df, id_col, text_col, nodes)
+    rows = open_lists(rows.join(_able(sets), "sig", "left_semi").select("value", "sig", "n"), comps)
+    found = block_links(_families(rows, sets))
+    return common.stage_table(graph.components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
 
 
 def _nodes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -82,9 +82,9 @@ def test_near_duplicates_of_sets_that_one_sketch_cuts_off(spark):
     assert got == plain_components(rows)
 
 
-def test_near_duplicates_through_pivots_only(spark, monkeypatch):
+def test_near_duplicates_through_pivots_and_blocks_only(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_LIST", 1)
-    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     monkeypatch.setattr(neardup, "SPREAD", 3)
     rows = list(enumerate(near_copies(7, 60, 12, 5) + near_copies(8, 60, 9, 5)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
