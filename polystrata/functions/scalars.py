@@ -111,7 +111,7 @@ AGGREGATES: dict[str, tuple[Arity, Callable[..., Column]]] = {
     "MIN": ((1, 1), F.min),
     "MAX": ((1, 1), F.max),
     "ARRAY_AGG": ((1, 1), F.array_agg),
-    "STRING_AGG": ((1, 2), lambda x, sep=None: F.array_join(F.array_sort(F.collect_list(x.cast("string"))), ",") if sep is None else F.concat_ws("", F.listagg(x.cast("string"), sep))),
+    "STRING_AGG": ((1, 2), lambda x, sep=None: F.array_join(F.array_sort(F.collect_list(x.cast("string"))), ",") if sep is None else F.call_function("array_join", F.array_sort(F.collect_list(x.cast("string"))), sep)),
     "GROUP_CONCAT": ((1, 1), lambda x: F.array_join(F.array_sort(F.collect_list(x.cast("string"))), ",")),
     "STDDEV": ((1, 1), F.stddev),
     "VARIANCE": ((1, 1), F.variance),

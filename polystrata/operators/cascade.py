@@ -64,8 +64,9 @@ def gather(edges: DataFrame, nodes: DataFrame, spec: Cascade, out_col: str, id_c
         "max": lambda: F.max(v),
         "min": lambda: F.min(v),
         "count": lambda: F.count(v),
-        "latest": lambda: F.max_by(v, F.col("_ts")),
-        "first": lambda: F.min_by(v, F.col("_ts")),
+        # of equal timestamps the largest (latest) or smallest (first) value counts
+        "latest": lambda: F.max_by(v, F.struct("_ts", v)),
+        "first": lambda: F.min_by(v, F.struct("_ts", v)),
         "percentile": lambda: F.percentile(v, F.lit((spec.argument or 0) / 100)),
     }[kind]()
     return rows.groupBy(F.col("_node").alias("id")).agg(agg.alias(out_col))
@@ -83,6 +84,30 @@ def propagate(edges: DataFrame, nodes: DataFrame, source: str, levels: int, rate
     return total.groupBy("id").agg(F.sum("v").alias("value"))
 
 
+def converge(edges: DataFrame, nodes: DataFrame, source: str, rate: float = 0.5, tolerance: float = 1e-6, most: int = 200, direction: str = "INCOMING", id_col: str = "id") -> DataFrame:
+    """(id, value): influence, own value plus ``rate`` times the mean of the neighbours' influence, until no value moves by ``tolerance``.
+
+    Rounds shrink changes by ``rate`` (under 1), so they end; ``most`` rounds without an end raise.
+    """
+    from .graph import settle
+
+    if not 0 <= rate < 1:
+        raise ExecutionError("the rate lies in [0, 1)")
+    a, b = ("from_id", "to_id") if direction == "INCOMING" else ("to_id", "from_id")
+    steps = settle(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct())
+    own = settle(nodes.select(F.col(id_col).alias("id"), F.coalesce(F.col(source).cast("double"), F.lit(0.0)).alias("own")))
+    held = own.withColumn("value", F.col("own"))
+    for _ in range(most):
+        got = steps.join(held, steps["src"] == held["id"]).groupBy("dst").agg(F.avg("value").alias("got"))
+        new = held.join(got, held["id"] == got["dst"], "left").select("id", "own", F.col("value").alias("old"), (F.col("own") + F.lit(float(rate)) * F.coalesce("got", F.lit(0.0))).alias("value"))
+        new = settle(new)
+        moved = new.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0
+        held = new.drop("old")
+        if moved < tolerance:
+            return held.select("id", "value")
+    raise ExecutionError(f"values still move after {most} rounds")
+
+
 def distribute(edges: DataFrame, nodes: DataFrame, source: str, id_col: str = "id") -> DataFrame:
     """(id, value): each node's value shared equally among the heads of its edges."""
     degree = edges.groupBy("from_id").agg(F.count(F.lit(1)).alias("d"))

@@ -92,14 +92,26 @@ def proximity_join(a: DataFrame, b: DataFrame, ids: tuple[str, str], radius: flo
     """(left_id, right_id, distance): pairs at most ``radius`` apart, exactly and without a cross join.
 
     For points of the hyperboloid acosh(x) is the distance to the apex, and two
-    points' distances to it differ by at most their distance.  Rows meet in
-    rings of width ``radius``; the right side is in its ring and both neighbours.
+    points' distances to it differ by at most their distance.  Rows meet in rings of
+    width ``radius``, cut into sectors: seen from the apex, a point at distance d of
+    it and one at most r away from that differ by an angle of at most
+    asin(sinh r / sinh d).  The right side is in its ring and both neighbours, there
+    in its sector and both neighbours.
     """
     r = check_radius(radius)
-    ring = lambda p: F.floor(F.acosh(F.greatest(p["x"], F.lit(1.0))) / F.lit(r + 1e-9))
+    width = r + 1e-9
+    ring = lambda p: F.floor(F.acosh(F.greatest(p["x"], F.lit(1.0))) / F.lit(width))
+    # rings 0 and 1 are one sector; the number of sectors of a ring follows from its inner edge
+    reach = lambda k: F.asin(F.least(F.lit(1.0), F.lit(math.sinh(width)) / F.sinh(k * F.lit(width)))) + F.lit(1e-9)
+    sectors = lambda k: F.when(k < 2, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(2 * math.pi) / reach(k))))
+    angle = lambda p: F.atan2(p["z"], p["y"]) + F.lit(math.pi)
+    sector = lambda p, n: F.least(F.floor(angle(p) / F.lit(2 * math.pi) * n), n - 1)
     left = a.select(F.col(ids[0]).alias("left_id"), position_of(a).alias("_p"))
     right = b.select(F.col(ids[1]).alias("right_id"), position_of(b).alias("_q"))
-    left = left.withColumn("_ring", ring(F.col("_p")))
+    left = left.withColumn("_ring", ring(F.col("_p"))).withColumn("_sector", sector(F.col("_p"), sectors(F.col("_ring"))))
     right = right.withColumn("_at", ring(F.col("_q"))).withColumn("_ring", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1)))
-    out = left.join(right, "_ring").withColumn("distance", K.hyperbolic(F.col("_p"), F.col("_q")))
+    right = right.withColumn("_n", sectors(F.col("_ring"))).withColumn("_own", sector(F.col("_q"), F.col("_n")))
+    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(F.col("_own") + s, F.col("_n"))))
+    right = right.withColumn("_sector", F.explode(near)).drop("_own", "_n")
+    out = left.join(right, ["_ring", "_sector"]).withColumn("distance", K.hyperbolic(F.col("_p"), F.col("_q")))
     return out.where(F.col("distance") <= r).select("left_id", "right_id", "distance")

@@ -8,6 +8,7 @@ a temporary folder (local mode).
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from typing import TYPE_CHECKING
 
@@ -55,12 +56,17 @@ class Graph:
 
     # -- traversal --------------------------------------------------------
 
-    def reach(self, starts: DataFrame, edges: DataFrame, low: int, high: int, direction: str) -> DataFrame:
+    def reach(self, starts: DataFrame, edges: DataFrame, low: int, high: int | None, direction: str) -> DataFrame:
         """(start_id, node_id, depth): nodes whose shortest distance from a start lies in [low, high].
 
         ``starts``: one column ``start_id``.  The start itself is at depth 0 and is not returned for low > 0.
+        Without ``high`` the search goes on until it finds nothing new; it raises if that takes more
+        than the engine's cap, as paths would be missing.
         """
         steps = oriented(edges, direction).distinct()
+        if high is None or high > 1:
+            steps = settle(steps)  # the edge table is computed once, not in every hop
+        open_end, high = high is None, self.cap if high is None else high
         seen = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth")).distinct()
         frontier = seen
         for depth in range(1, high + 1):
@@ -70,6 +76,8 @@ class Graph:
                 frontier = settle(frontier)
                 if not frontier.take(1):
                     break
+                if open_end and depth == high and frontier.join(steps, frontier["node_id"] == steps["src"]).select("start_id", F.col("dst").alias("node_id")).join(seen.unionByName(frontier).select("start_id", "node_id"), ["start_id", "node_id"], "left_anti").take(1):
+                    raise GraphError(f"paths go on after {high} hops; raise the engine's hop_cap or name a longest length")
             seen = seen.unionByName(frontier)
         return seen.where((F.col("depth") >= low) & (F.col("depth") <= high))
 
@@ -92,8 +100,8 @@ class Graph:
         edges = self.edges([p.edge.type] if p.edge.type else None)
         if p.edge.where is not None:
             edges = edges.where(lowering.col(p.edge.where, Scope(edges, {("", c): c for c in edges.columns}, [])))
-        high = self.cap if p.edge.high is None else p.edge.high
-        if p.edge.low > high:
+        high = p.edge.high
+        if p.edge.low > (self.cap if high is None else high):
             raise GraphError("a path's shortest length is over its longest")
         direction = "both" if self.undirected_arrows else p.edge.direction
         found = self.reach(starts.select(F.col("id").alias("start_id")), edges, p.edge.low, high, direction)
@@ -126,26 +134,40 @@ class Graph:
     # -- algorithms -------------------------------------------------------
 
     def shortest_path(self, source: str, target: str | None = None, types: list[str] | None = None, direction: str = "out", most: int | None = None) -> DataFrame:
-        """(node_id, distance, path) of the fewest hops from ``source``; ties take the smallest path."""
-        steps = oriented(self.edges(types), direction).distinct()
+        """(node_id, distance, path) of the fewest hops from ``source``; ties take the smallest path.
+
+        The search ends when it finds nothing new, or ``target``, or after ``most`` hops if the caller names a limit.
+        """
+        steps = settle(oriented(self.edges(types), direction).distinct())
         spark = self.engine.spark
         seen = spark.range(1).select(F.lit(source).alias("node_id"), F.lit(0).alias("distance"), F.array(F.lit(source)).alias("path"))
         frontier = seen
-        for d in range(1, (most or self.cap) + 1):
+        for d in itertools.count(1):
+            if most is not None and d > most:
+                break
             step = frontier.join(steps, frontier["node_id"] == steps["src"]).select(F.col("dst").alias("node_id"), F.lit(d).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
             step = step.groupBy("node_id", "distance").agg(F.min("path").alias("path")).join(seen.select("node_id"), "node_id", "left_anti")
             frontier = settle(step)
             if not frontier.take(1):
                 break
-            seen = seen.unionByName(frontier)
+            seen = settle(seen.unionByName(frontier))
+            if target is not None and frontier.where(F.col("node_id") == target).take(1):
+                break
         return seen if target is None else seen.where(F.col("node_id") == target)
 
-    def weighted_paths(self, source: str, weight: str = "weight", types: list[str] | None = None, direction: str = "out", most: int = 50) -> DataFrame:
-        """(node_id, cost) of the cheapest paths from ``source`` (Bellman-Ford rounds; weights of 0 or more)."""
-        steps = oriented(self.edges(types), direction, [weight])
+    def weighted_paths(self, source: str, weight: str = "weight", types: list[str] | None = None, direction: str = "out", most: int | None = None) -> DataFrame:
+        """(node_id, cost) of the cheapest paths from ``source`` (Bellman-Ford rounds; weights of 0 or more).
+
+        Rounds go on until no cost falls; more than ``most`` raise, as costs would not be settled.
+        """
+        steps = settle(oriented(self.edges(types), direction, [weight]))
+        if steps.where(F.col(weight) < 0).take(1):
+            raise GraphError("weights are 0 or more")
         best = self.engine.spark.range(1).select(F.lit(source).alias("node_id"), F.lit(0.0).alias("cost"))
         frontier = best
-        for _ in range(most):
+        for k in itertools.count():
+            if most is not None and k >= most:
+                raise GraphError(f"costs still fall after {most} rounds")
             step = frontier.join(steps, frontier["node_id"] == steps["src"]).groupBy(F.col("dst").alias("node_id")).agg(F.min(F.col("cost") + F.col(weight)).alias("new"))
             better = step.join(best, "node_id", "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node_id", F.col("new").alias("cost"))
             frontier = settle(better)
@@ -169,20 +191,25 @@ class Graph:
     def nodes(self, edges: DataFrame) -> DataFrame:
         return oriented(edges, "both").select(F.col("src").alias("id")).distinct()
 
-    def connected_components(self, types: list[str] | None = None, most: int = 60) -> DataFrame:
-        """(id, component): the smallest id that undirected paths reach; alternating large and small stars."""
+    def connected_components(self, types: list[str] | None = None, most: int | None = None) -> DataFrame:
+        """(id, component): the smallest id that undirected paths reach; alternating large and small stars until they settle.
+
+        More than ``most`` rounds raise; the number of rounds grows with the logarithm of the longest path.
+        """
         edges = self.edges(types)
         nodes = self.nodes(edges)
         stars = settle(edges.select(F.greatest("from_id", "to_id").alias("a"), F.least("from_id", "to_id").alias("b")).where("a <> b").distinct())
         before = None
-        for _ in range(most):
+        for k in itertools.count():
+            if most is not None and k >= most:
+                raise GraphError(f"components did not settle in {most} rounds")
             both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
             large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
             down = large.groupBy("a").agg(F.min("b").alias("m"))
             pairs = large.join(down, "a").select(F.inline(F.array(F.struct(F.col("b").alias("u"), F.col("m").alias("v")), F.struct(F.col("a").alias("u"), F.col("m").alias("v")))))
             stars = settle(pairs.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
-            state = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+            state = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
             if state == before:
                 break
             before = state
@@ -214,6 +241,24 @@ class Graph:
             labels = settle(votes.groupBy(F.col("dst").alias("id")).agg(F.min_by("community", F.struct(-F.col("c"), F.col("community"))).alias("community")))
         return labels
 
+    def closeness_centrality(self, types: list[str] | None = None, direction: str = "both") -> DataFrame:
+        """(id, reached, closeness): nodes that a node reaches, over the sum of its distances to them; 0 if there are none.
+
+        Breadth-first search from every node at once: a row per pair of connected nodes.
+        """
+        edges = self.edges(types)
+        starts = self.nodes(edges).select(F.col("id").alias("start_id"))
+        steps = settle(oriented(edges, direction).distinct())
+        seen = frontier = settle(starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth")))
+        for depth in itertools.count(1):
+            step = frontier.join(steps, frontier["node_id"] == steps["src"]).select("start_id", F.col("dst").alias("node_id")).distinct()
+            frontier = settle(step.join(seen.select("start_id", "node_id"), ["start_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth)))
+            if not frontier.take(1):
+                break
+            seen = settle(seen.unionByName(frontier))
+        total = F.sum("depth")
+        return seen.groupBy(F.col("start_id").alias("id")).agg((F.count(F.lit(1)) - 1).alias("reached"), F.coalesce(F.try_divide((F.count(F.lit(1)) - 1).cast("double"), total), F.lit(0.0)).alias("closeness"))
+
     def degree_centrality(self, types: list[str] | None = None) -> DataFrame:
         """(id, out_degree, in_degree, centrality): degree over the number of other nodes."""
         edges = self.edges(types)

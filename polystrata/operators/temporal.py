@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,21 +45,42 @@ def exponential_smoothing(df: DataFrame, order: list[str], keys: list[str], colu
     """s(0) = x(0), s(t) = alpha x(t) + (1 - alpha) s(t-1), per key.
 
     Rows are sorted within partitions by (keys, order) and streamed: a key's
-    state is one number, whatever its number of rows.
+    state is one number, whatever its number of rows.  Values of a key are worked on
+    64 at a time as a product with a triangular matrix; NULL repeats the last result.
     """
+    steps = np.arange(64)
+    weights = np.tril(alpha * (1 - alpha) ** np.maximum(steps[:, None] - steps[None, :], 0))
+    fade = (1 - alpha) ** (steps + 1.0)
+
+    def smooth(x: np.ndarray, state: float | None) -> np.ndarray:
+        out = np.empty(len(x))
+        if state is None and len(x):
+            state = x[0]  # as if the series had been there before
+        for low in range(0, len(x), 64):
+            part = x[low : low + 64]
+            out[low : low + 64] = weights[: len(part), : len(part)] @ part + fade[: len(part)] * state
+            state = out[low + len(part) - 1]
+        return out
+
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for frame in frames:
-            out = []
-            for key, x in zip(zip(*[frame[k] for k in keys], strict=True), frame[column], strict=True):
+            values, out = frame[column].to_numpy(dtype="float64", na_value=np.nan), np.full(len(frame), np.nan)
+            ends = np.flatnonzero((frame[keys].ne(frame[keys].shift()) & ~(frame[keys].isna() & frame[keys].shift().isna())).any(axis=1).to_numpy())
+            bounds = np.unique(np.concatenate([[0], ends, [len(frame)]]))
+            for low, high in itertools.pairwise(bounds.tolist()):
+                key = tuple(None if pd.isna(k) else k for k in frame[keys].iloc[low])
                 if key != last:
                     last, state = key, None
-                if pd.notna(x):
-                    state = float(x) if state is None else alpha * float(x) + (1 - alpha) * state
-                out.append(state)
-            yield frame.assign(**{name: pd.Series(out, dtype="float64", index=frame.index)})
+                has = np.flatnonzero(~np.isnan(values[low:high]))
+                found = smooth(values[low:high][has], state)
+                before = np.searchsorted(has, np.arange(high - low), side="right")
+                filled = np.concatenate([[np.nan if state is None else state], found])[before]
+                out[low:high] = filled
+                state = None if high == low or np.isnan(filled[-1]) else float(filled[-1])
+            yield frame.assign(**{name: out})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

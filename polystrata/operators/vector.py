@@ -70,17 +70,30 @@ def diverse(df: DataFrame, category: str, per_category: int, by: str, descending
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(category).orderBy(*order))).where(F.col("_rank") <= per_category).drop("_rank")
 
 
-def spread(df: DataFrame, column: str, min_distance: float, k: int, by: str, candidates: int = 1000) -> DataFrame:
-    """Feature diversity: of the best ``candidates`` rows, greedily those at least ``min_distance`` from all chosen before, at most k."""
+def spread(df: DataFrame, column: str, min_distance: float, k: int, by: str, tie: str | None = None, spatial: bool = False) -> DataFrame:
+    """Diversity by feature (euclidean) or position (``spatial``: hyperbolic): greedily the best row at least ``min_distance`` from all chosen before, at most k.
+
+    Each step is one distributed minimum over all rows left; only the k chosen vectors come to the driver.
+    """
     if min_distance <= 0:
         raise VectorError("min_distance is over 0")
-    best = df.orderBy(by).limit(candidates)
-    state = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.struct(*best.columns).alias("row")))),
-        F.array().cast(f"array<{best.select(F.struct(*best.columns).alias('r')).schema['r'].dataType.simpleString()}>"),
-        lambda s, x: F.when((F.size(s) < k) & ~F.exists(s, lambda c: K.euclidean(c[column], x["row"][column]) < min_distance), F.concat(s, F.array(x["row"]))).otherwise(s),
-    )
-    return best.agg(state.alias("s")).select(F.inline("s"))
+    if not 1 <= k <= MOST_K:
+        raise VectorError(f"k lies between 1 and {MOST_K}")
+    out, left = None, df.where(F.col(f"`{column}`").isNotNull() & F.col(f"`{by}`").isNotNull())
+    for _ in range(k):
+        best = left.orderBy(by, *([tie] if tie else []), F.col(f"`{column}`").cast("string")).limit(1)
+        found = best.collect()
+        if not found:
+            break
+        at = found[0][column]
+        one = df.sparkSession.createDataFrame(found, df.schema)
+        out = one if out is None else out.unionByName(one)
+        if spatial:
+            apart = K.hyperbolic(F.col(f"`{column}`"), K.position(*[F.lit(float(at[c])) for c in "xyz"]))
+        else:
+            apart = K.euclidean(F.col(f"`{column}`"), literal([float(x) for x in at]))
+        left = left.where(apart >= F.lit(float(min_distance)))
+    return df.limit(0) if out is None else out
 
 
 def similarity_join(a: DataFrame, b: DataFrame, on: tuple[str, str], threshold: float, pivot: list[float], names: tuple[str, str]) -> DataFrame:
@@ -88,7 +101,9 @@ def similarity_join(a: DataFrame, b: DataFrame, on: tuple[str, str], threshold:
 
     The angle is a metric: vectors within angle t of each other have angles to
     the pivot that differ by at most t.  Rows meet in cells of width t of that
-    angle; the right side is put in its own cell and both neighbours.
+    angle; the right side is put in its own cell and both neighbours.  In many
+    dimensions angles to a pivot crowd around a right angle and few cells hold most
+    rows, so the join is only as selective as the threshold is close to 1.
     """
     width = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
     q = literal(pivot)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+import itertools
+from dataclasses import dataclass, field
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,9 @@ if TYPE_CHECKING:
     from ..engine import Engine
 
 _POSITION = "position"
+_SERIAL = itertools.count()
+#: Calls of GROUP BY that make several groupings at once.
+_GROUPINGS = ("ROLLUP", "CUBE", "GROUPING SETS")
 
 
 @dataclass
@@ -27,9 +31,25 @@ class Scope:
     df: DataFrame
     columns: dict[tuple[str, str], str]
     labels: list[str]
+    outer: Scope | None = None
+    names: list[str] = field(default_factory=list)
+    lent: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.names = self.names or list(self.df.columns)
 
     def all_names(self) -> list[str]:
-        return [*dict.fromkeys([c for _, c in self.columns]), *self.df.columns]
+        return [*dict.fromkeys([c for _, c in self.columns]), *self.names]
+
+    def lend(self, column: str) -> str:
+        """A name for a column that a correlated subquery refers to; no other column has it."""
+        if column not in self.lent:
+            self.lent[column] = f"_outer{next(_SERIAL)}"
+        return self.lent[column]
+
+    def ready(self) -> DataFrame:
+        """The DataFrame with the columns lent to subqueries."""
+        return self.df.withColumns({new: F.col(f"`{c}`") for c, new in self.lent.items()}) if self.lent else self.df
 
     def find(self, name: str, table: str | None = None) -> str | None:
         if table is not None:
@@ -41,7 +61,7 @@ class Scope:
             raise CompilationError(f"column {name} is ambiguous", [f"{t}.{c}" for t, c in self.columns if c == name])
         if found:
             return found[0]
-        return name if name in self.df.columns else None
+        return name if name in self.names else None
 
 
 def literal(value: Any) -> Column:
@@ -94,7 +114,7 @@ class Lowering:
                 out = go(x).isin(*[go(i) for i in items]) if items else F.lit(False)
                 return ~out if negated else out
             case N.InSelect(x, select, negated):
-                out = go(x).isin(self.select(select))
+                out = go(x).isin(self.select(select, scope))
                 return ~out if negated else out
             case N.IsNull(x, negated):
                 return go(x).isNotNull() if negated else go(x).isNull()
@@ -110,9 +130,9 @@ class Lowering:
                     out = F.when(go(test), go(value)) if out is None else out.when(go(test), go(value))
                 return out if default is None else out.otherwise(go(default))
             case N.Scalar(select):
-                return self.select(select).scalar()
+                return self.select(select, scope).scalar()
             case N.Exists(select):
-                return self.select(select).exists()
+                return self.select(select, scope).exists()
             case N.Similarity(v, ref, metric, is_distance):
                 return (K.distance if is_distance else K.similarity)(go(v), go(ref), metric)
             case N.SimilarTo(v, ref, threshold):
@@ -135,6 +155,10 @@ class Lowering:
         hit = scope.find(e.name, e.table)
         if hit is not None:
             return F.col(f"`{hit}`")
+        if scope.outer is not None and (e.table is None or e.table not in scope.labels):
+            far = scope.outer.find(e.name, e.table)
+            if far is not None:
+                return F.col(scope.outer.lend(far)).outer()
         if e.table is not None:
             owner = scope.find(e.table)  # a field of a struct column
             if owner is not None:
@@ -176,7 +200,11 @@ class Lowering:
         args = [self.col(a, scope) for a in e.args]
         if e.name.startswith("VECTOR_"):
             row = scope.df.select(args[0].alias("v")).where("v IS NOT NULL").select(F.size("v")).head()
-            return f(args[0], row[0] if row else 0)
+            # a group of vectors of another length is an error, not a shorter sum
+            dims = row[0] if row else 0
+            odd = F.count_if(F.size(args[0]) != dims) > 0
+            wrong = F.raise_error(F.lit(f"{e.name} over vectors of different lengths")).cast("array<double>")
+            return F.when(odd, wrong).otherwise(f(args[0], dims))
         if e.distinct:
             plain = {"COUNT": F.count_distinct, "SUM": F.sum_distinct}
             if e.name in plain:
@@ -200,7 +228,7 @@ class Lowering:
         if frame:
             low = Window.unboundedPreceding if frame[0] is None else frame[0]
             high = Window.unboundedFollowing if frame[1] is None else frame[1]
-            spec = spec.rowsBetween(low, high)
+            spec = spec.rangeBetween(low, high) if e.by_value else spec.rowsBetween(low, high)
         if name in S.WINDOWED:
             plain = [a.value if isinstance(a, N.Lit) else a for a in args[1:]]
             return S.WINDOWED[name](self.col(args[0], scope), *plain).over(spec)
@@ -233,7 +261,12 @@ class Lowering:
             df = df.withColumns({c: F.col(f"{_POSITION}.{c}") for c in "xyz"})  # positions are flattened as well
         return df
 
-    def scope(self, s: N.Select) -> Scope:
+    def scope(self, s: N.Select, outer: Scope | None = None) -> Scope:
+        out = self._scope(s)
+        out.outer = outer
+        return out
+
+    def _scope(self, s: N.Select) -> Scope:
         if s.traverse:
             df = self.engine.graph.traverse(s.traverse, self, s.table.name if s.table else None)
             return Scope(df, {("", c): c for c in df.columns}, [])
@@ -267,14 +300,16 @@ class Lowering:
 
     # -- SELECT -----------------------------------------------------------
 
-    def select(self, s: N.Select) -> DataFrame:
+    def select(self, s: N.Select, outer: Scope | None = None) -> DataFrame:
+        """``outer`` is the scope around a subquery, whose columns it may refer to."""
         if s.unions:
             return self._set_operations(s)
-        scope = self.scope(s)
+        scope = self.scope(s, outer)
         if s.where is not None:
             if N.is_aggregate(s.where):
                 raise ValidationFailed("WHERE takes no aggregate; use HAVING")
-            scope.df = scope.df.where(self.col(s.where, scope))
+            test = self.col(s.where, scope)
+            scope.df = scope.ready().where(test)
         items = self._expand(s.items, scope)
         order, having = s.order, s.having
         aliases = {i.alias: i.expr for i in items if i.alias}
@@ -282,13 +317,14 @@ class Lowering:
         if grouped:
             scope, items, having, order = self._group(s, scope, items, aliases)
             if having is not None:
-                scope.df = scope.df.where(self.col(having, scope))
+                test = self.col(having, scope)
+                scope.df = scope.ready().where(test)
         names = self._unique([N.output_name(i) for i in items])
         if s.distinct_on:
             scope.df = self._distinct_on(s, scope)
         outputs = [self.col(i.expr, scope).alias(n) for i, n in zip(items, names, strict=True)]
         if not order:
-            df = scope.df.select(*outputs)
+            df = scope.ready().select(*outputs)
             return self._limit(df.distinct() if s.distinct else df, s)
         keys, hidden = [], []
         for k in order:
@@ -304,7 +340,7 @@ class Lowering:
                 keys.append((k, f"_sort{len(hidden) - 1}"))
         if hidden and s.distinct:
             raise ValidationFailed("with DISTINCT, ORDER BY takes selected columns")
-        df = scope.df.select(*outputs, *hidden)
+        df = scope.ready().select(*outputs, *hidden)
         df = df.distinct() if s.distinct else df
         df = df.orderBy(*[self.sort_key(k, F.col(f"`{n}`")) for k, n in keys])
         return self._limit(df.drop(*[f"_sort{k}" for k in range(len(hidden))]) if hidden else df, s)
@@ -320,7 +356,7 @@ class Lowering:
             if not isinstance(i.expr, N.Star):
                 out.append(i)
             elif i.expr.table is None:
-                out += [N.Item(N.Col(c), c) for c in scope.df.columns]
+                out += [N.Item(N.Col(c), c) for c in scope.names]
             else:
                 mine = [(c, v) for (t, c), v in scope.columns.items() if t == i.expr.table]
                 if not mine:
@@ -341,8 +377,10 @@ class Lowering:
 
     def _group(self, s: N.Select, scope: Scope, items: list[N.Item], aliases: dict[str, N.Expr]):
         """One aggregation for all aggregates of SELECT, HAVING and ORDER BY; expressions over its output."""
-        keys = []
-        for g in s.group:
+        keys, several = [], None
+        if len(s.group) == 1 and isinstance(s.group[0], N.Call) and s.group[0].name in _GROUPINGS:
+            several = s.group[0]
+        for g in self._flat_keys(several) if several else s.group:
             if isinstance(g, N.Col) and g.table is None and scope.find(g.name) is None and g.name in aliases:
                 g = aliases[g.name]
             keys.append(g)
@@ -368,11 +406,16 @@ class Lowering:
         resolved = [self._resolve(g, scope) for g in keys]
         aggs = [self._aggregate(a, scope).alias(f"_agg{k}") for k, a in enumerate(found)]
         named = [c.alias(f"_key{k}") for k, c in enumerate(key_cols)]
-        if named:
-            df = scope.df.groupBy(*named).agg(*aggs) if aggs else scope.df.select(*named).distinct()
-        else:
-            df = scope.df.agg(*aggs) if aggs else scope.df.agg(F.count(F.lit(1)).alias("_n"))
-        new = Scope(df, {("", c): c for c in df.columns}, [])
+        names = [*[f"_key{k}" for k in range(len(named))], *[f"_agg{k}" for k in range(len(found))]]
+        if several is not None:
+            df = self._groupings(several, scope.ready(), keys, named, aggs or [F.count(F.lit(1)).alias("_n")])
+        elif named and scope.outer is not None and scope.outer.lent:
+            raise CompilationError("a correlated subquery takes no GROUP BY")
+        elif named:
+            df = scope.ready().groupBy(*named).agg(*aggs) if aggs else scope.ready().select(*named).distinct()
+        else:  # a select of aggregates: unlike agg() it waits for the outer query's columns
+            df = scope.ready().select(*(aggs or [F.count(F.lit(1)).alias("_n")]))
+        new = Scope(df, {("", c): c for c in names}, [], scope.outer, names or ["_n"])
 
         def over_output(e: N.Expr) -> N.Expr | None:
             if isinstance(e, N.Call) and e in found:
@@ -388,6 +431,21 @@ class Lowering:
         having = N.rewrite(having, over_output) if having is not None else None
         return new, out, having, tuple(N.rewrite(k, over_output) for k in order)
 
+    @staticmethod
+    def _flat_keys(several: N.Call) -> list[N.Expr]:
+        sets = several.args if several.name == "GROUPING SETS" else (N.Array(several.args),)
+        return list(dict.fromkeys(k for group in sets for k in group.items))
+
+    def _groupings(self, several: N.Call, df: DataFrame, keys: list[N.Expr], named: list[Column], aggs: list[Column]) -> DataFrame:
+        """ROLLUP, CUBE or GROUPING SETS over the keys, which become columns first."""
+        df = df.withColumns({f"_key{k}": c for k, c in enumerate(named)})
+        cols = [F.col(f"_key{k}") for k in range(len(named))]
+        if several.name == "GROUPING SETS":
+            flat = self._flat_keys(several)
+            sets = [[cols[flat.index(k)] for k in group.items] for group in several.args]
+            return df.groupingSets(sets, *cols).agg(*aggs)
+        return (df.rollup if several.name == "ROLLUP" else df.cube)(*cols).agg(*aggs)
+
     def _resolve(self, e: N.Expr, scope: Scope) -> N.Expr:
         """The expression with every column replaced by the DataFrame column it names."""
         return N.rewrite(e, lambda x: N.Col(hit) if isinstance(x, N.Col) and (hit := self._try_find(scope, x)) else None)

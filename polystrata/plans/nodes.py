@@ -159,6 +159,7 @@ class Over(Expr):
     partition: tuple[Expr, ...] = ()
     order: tuple[Key, ...] = ()
     frame: tuple[int | None, int | None] | None = None  # None: unbounded
+    by_value: bool = False  # RANGE: the frame counts the sort key's units, not rows
 
 
 @dataclass(frozen=True)
@@ -269,6 +270,8 @@ class FieldDef:
     required: bool = False
     scope: str = "METADATA"
     cascade: Cascade | None = None
+    formula: Expr | None = None  # of a calculated or computed field
+    computed: bool = False  # by a registered function
 
 
 @dataclass(frozen=True)

@@ -29,6 +29,11 @@ def spark_type(f: FieldDef) -> str:
     return FIELD_TYPES[f.type]
 
 
+def kind_of(f: FieldDef) -> str:
+    """regular, cascaded, calculated (a formula) or computed (a registered function)."""
+    return "cascaded" if f.cascade else "regular" if f.formula is None else "computed" if f.computed else "calculated"
+
+
 @dataclass
 class Schema:
     """A collection's declared fields. CLOSED rejects other columns, TYPED keeps them only as declared, OPEN gathers them in a map."""
@@ -40,7 +45,7 @@ class Schema:
     def struct(self) -> T.StructType:
         out = T.StructType()
         for f in self.fields.values():
-            meta = {"scope": f.scope, "kind": "cascaded" if f.cascade else "regular"}
+            meta = {"scope": f.scope, "kind": kind_of(f)}
             out.add(f.name, T._parse_datatype_string(spark_type(f)), not f.required, meta)
         return out
 
@@ -51,7 +56,7 @@ class Schema:
             raise SchemaError(f"schema {self.name} is closed; it has no field {', '.join(extra)}", close_names(extra[0], self.fields))
         out: list[Column] = []
         for f in self.fields.values():
-            if f.cascade and f.name not in df.columns:
+            if (f.cascade or f.formula) and f.name not in df.columns:
                 continue
             kind = spark_type(f)
             value = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
@@ -121,6 +126,6 @@ class SchemaBook:
         return self._status("altered", s.name)
 
     def describe(self, schema: Schema, detailed: bool) -> DataFrame:
-        rows = [(k, f.name, f.type + (f"({f.argument})" if f.argument else ""), spark_type(f), f.required, f.scope, "cascaded" if f.cascade else "regular", f.cascade.function if f.cascade else None, schema.extensibility) for k, f in enumerate(schema.fields.values())]
+        rows = [(k, f.name, f.type + (f"({f.argument})" if f.argument else ""), spark_type(f), f.required, f.scope, kind_of(f), f.cascade.function if f.cascade else None, schema.extensibility) for k, f in enumerate(schema.fields.values())]
         out = self.spark.createDataFrame(rows, "place int, field string, type string, spark_type string, required boolean, scope string, kind string, aggregation string, extensibility string")
         return out if detailed else out.select("field", "type", "required")

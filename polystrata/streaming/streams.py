@@ -34,7 +34,12 @@ class Streams:
         self.engine, self.all = engine, {}
 
     def _folder(self) -> str:
-        root = self.engine.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polystrata-")
+        root = self.engine.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not self.engine.spark.sparkContext.master.startswith("local"):
+                raise StreamError("set spark.checkpoint.dir to a folder that all executors share")
+            self._local = getattr(self, "_local", None) or tempfile.mkdtemp(prefix="polystrata-")
+            root = self._local
         return f"{root.rstrip('/')}/streams"
 
     def get(self, name: str) -> Stream:
@@ -112,16 +117,48 @@ class Streams:
         stream.writeStream.foreachBatch(keep).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
         return self.engine.spark.read.schema(stream.schema).parquet(out)
 
+    def insert_into(self, stream: DataFrame, path: str, mapping: dict[str, str] | None = None, partition_by: list[str] | None = None) -> None:
+        """Consumer action: append what is there now to a table of files; ``mapping`` gives the table's columns from the stream's."""
+        rows = stream.select(*[F.col(f"`{old}`").alias(new) for new, old in mapping.items()]) if mapping else stream
+        writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{self._folder()}/checkpoint-{uuid.uuid4().hex}")
+        (writer.partitionBy(*partition_by) if partition_by else writer).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    def forward(self, source: str, target: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Consumer action: what is in one declared stream now goes to another, through ``transform``."""
+        rows = self.read(source)
+        rows = transform(rows) if transform else rows
+        into = self.get(target)
+        missing = [f.name for f in into.schema if f.name not in rows.columns and not f.nullable]
+        if missing:
+            raise StreamError(f"stream {target} needs field {missing[0]}", close_names(missing[0], rows.columns))
+        shaped = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in into.schema])
+        self.consume(shaped, lambda batch, _: batch.write.mode("append").parquet(into.path))
+
     # -- triggers ---------------------------------------------------------
 
     def on(self, stream: DataFrame, when: Column, action: Callable[[DataFrame, int], None], debounce_key: str | None = None) -> None:
-        """A trigger: ``action`` gets the rows of each micro-batch for which ``when`` holds; one row per key if debounced."""
+        """A trigger: ``action`` gets the rows of each micro-batch for which ``when`` holds.
+
+        Debounced, a key fires once: keys that fired are kept in the shared folder and left out of later batches.
+        """
+        fired = f"{self._folder()}/fired-{uuid.uuid4().hex}"
+        kind = T.StructType([stream.schema[debounce_key]]) if debounce_key else None
 
         def fire(batch: DataFrame, serial: int) -> None:
             rows = batch.where(when)
-            rows = rows.dropDuplicates([debounce_key]) if debounce_key else rows
+            if kind is not None:
+                before = batch.sparkSession.read.schema(kind).option("recursiveFileLookup", "true").parquet(fired)
+                rows = rows.dropDuplicates([debounce_key]).join(before, debounce_key, "left_anti")
+            rows = rows.persist()
             if rows.take(1):
                 action(rows, serial)
+                if kind is not None:
+                    # a batch that is run again replaces its own keys
+                    rows.select(debounce_key).write.mode("overwrite").parquet(f"{fired}/batch={serial}")
+            rows.unpersist()
+
+        if kind is not None:
+            self.engine.spark.createDataFrame([], kind).write.parquet(f"{fired}/batch=none")
 
         self.consume(stream, fire)
 
@@ -130,11 +167,8 @@ def windowed(stream: DataFrame, ts: str, watermark: str, duration: str, slide: s
     """Windowed aggregation with a watermark; NTZ timestamps are cast, as watermarks need instants."""
     df = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     w = F.window(ts, duration, slide) if slide else F.window(ts, duration)
-    return df.groupBy(w.alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("start"), *keys, *[a for a in _names(aggs)])
-
-
-def _names(aggs: list[Column]) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
+    out = df.groupBy(w.alias("w"), *keys).agg(*aggs)
+    return out.select(F.col("w.start").alias("start"), *[F.col(f"`{c}`") for c in out.columns if c != "w"])
 
 
 def deduplicated(stream: DataFrame, ts: str, watermark: str, keys: list[str]) -> DataFrame:
