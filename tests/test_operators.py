@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from polystrata import Engine, templates
-from polystrata.errors import GeometricError, VectorError
+from polystrata.errors import GeometricError, GraphError, VectorError
 from polystrata.functions import kernels as K
 from polystrata.operators import cascade, geometry, temporal, vector
 from polystrata.plans.nodes import Cascade
@@ -111,6 +111,72 @@ def test_templates(spark):
     assert templates.aggregate_by_property(e, "t", "id", "COUNT").count() == 2
 
 
+def chain(spark, n):
+    edges = [(f"n{k:02d}", f"n{k + 1:02d}", "to", 1.0 + k % 3) for k in range(n)]
+    e = Engine(spark).register("relationships", spark.createDataFrame(edges, "from_id string, to_id string, type string, weight double"))
+    return e.register("nodes", spark.createDataFrame([(f"n{k:02d}",) for k in range(n + 1)], "id string"))
+
+
+def test_searches_go_on_until_they_settle(spark):
+    e = chain(spark, 13)
+    far = e.graph.shortest_path("n00", "n13").first()
+    assert (far.distance, len(far.path)) == (13, 14)
+    assert e.graph.shortest_path("n00", most=2).count() == 3
+    assert {r.node_id: r.cost for r in e.graph.weighted_paths("n00").collect()}["n13"] == sum(1.0 + k % 3 for k in range(13))
+    assert {r.component for r in e.graph.connected_components().collect()} == {"n00"}
+    for cut in (lambda: e.graph.connected_components(most=1), lambda: e.graph.weighted_paths("n00", most=3)):
+        with pytest.raises(GraphError):
+            cut()
+    with pytest.raises(GraphError, match="hop_cap"):
+        e.sql("SELECT b FROM nodes TRAVERSE (a:nodes WHERE id = 'n00')-[:to*1..]->(b)")
+    assert e.sql("SELECT b FROM nodes TRAVERSE (a:nodes WHERE id = 'n05')-[:to*1..]->(b)").count() == 8
+
+
+def test_vectors_of_other_lengths_are_no_sum(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0, 5.0])], "k int, v array<double>"))
+    with pytest.raises(Exception, match="different lengths"):
+        e.sql("SELECT k, VECTOR_SUM(v) AS s FROM t GROUP BY k").collect()
+
+
+def test_proximity_join_meets_in_sectors(spark):
+    rng = np.random.default_rng(8)
+    rho, theta = rng.uniform(0, 4, 300), rng.uniform(-np.pi, np.pi, 300)
+    y, z = np.sinh(rho) * np.cos(theta), np.sinh(rho) * np.sin(theta)
+    p = np.stack([np.cosh(rho), y, z], 1)
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id int, x double, y double, z double")
+    inner = np.outer(p[:, 0], p[:, 0]) - np.outer(y, y) - np.outer(z, z)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.arccosh(np.maximum(inner, 1.00001)) <= 0.4), strict=True)}
+    got = [(r.left_id, r.right_id) for r in geometry.proximity_join(df, df, ("id", "id"), 0.4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_influence_converges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "from_id string, to_id string")
+    nodes = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", None)], "id string, v double")
+    got = {r.id: r.value for r in cascade.converge(edges, nodes, "v", 0.5).collect()}
+    assert got["a"] == pytest.approx(4 / 3, abs=1e-5) and got["b"] == pytest.approx(2 / 3, abs=1e-5) and got["c"] == 0
+
+
+def test_debounced_triggers_fire_once_a_key_across_batches(spark):
+    e = Engine(spark)
+    e.sql("CREATE STREAM s (k INTEGER, v STRING)")
+    for k in (1, 2, 1):
+        e.sql(f"PRODUCE INTO s (k, v) VALUES ({k}, 'x')")
+    fired = []
+    stream = e.streams.from_files(e.streams.get("s").path, e.streams.get("s").schema, files_per_trigger=1)
+    e.streams.on(stream, F.col("v") == "x", lambda rows, _: fired.extend(r.k for r in rows.collect()), "k")
+    assert sorted(fired) == [1, 2]
+
+
+def test_correlated_subqueries_do_not_see_the_wrong_column(spark):
+    e = Engine(spark)
+    e.register("a", spark.createDataFrame([(1, "x"), (2, "y")], "k long, id string")).register("b", spark.createDataFrame([(1, 5.0), (3, 7.0)], "k long, v double"))
+    assert [r[0] for r in e.sql("SELECT a.id AS id FROM a WHERE EXISTS (SELECT v FROM b WHERE b.k = a.k)").collect()] == ["x"]
+    assert [r[0] for r in e.sql("SELECT a.id AS id FROM a WHERE NOT EXISTS (SELECT v FROM b WHERE b.k = a.k)").collect()] == ["y"]
+    assert sorted(tuple(r) for r in e.sql("SELECT a.id AS id, (SELECT MAX(b.v) AS m FROM b WHERE b.k = a.k) AS m FROM a").collect()) == [("x", 5.0), ("y", None)]
+    assert e.sql("SELECT * FROM a WHERE EXISTS (SELECT v FROM b WHERE b.k = a.k)").columns == ["k", "id"]
+
+
 def test_graph_queries_without_sql_take_all_orders(spark):
     from polystrata import queries
 
