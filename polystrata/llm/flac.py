@@ -2,7 +2,8 @@
 
 The encoder picks a fixed or a quantised linear predictor per frame and codes
 the residuals as Rice numbers.  The decoder reads any mono 8-bit stream of
-constant, verbatim, fixed and linear-predictor subframes with Rice residuals; it
+constant, verbatim, fixed and linear-predictor subframes with Rice residuals,
+escaped partitions and wasted bits; it
 checks the CRC-8 of each frame header and the CRC-16 of each frame.  Both work on
 the frames of many streams in lockstep: one NumPy step per sample place, not one
 Python step per sample.
@@ -12,7 +13,7 @@ multiple of 64; sample = byte - 128.  Every stream has a seek table with each
 frame's first sample and byte offset.
 
 Defined results: NULL and empty texts give 64 zero bytes; equal texts give equal
-streams; NULL media give NULL results; an empty table gives an empty table;
+streams; NULL media and streams that cannot be read give NULL results; an empty table gives an empty table;
 other columns pass through.
 """
 
@@ -220,6 +221,8 @@ class _Bits:
 
     def rice(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signed number, place after it)."""
+        if not len(at):
+            return np.zeros(0, np.int64), at
         w = self.window(at)
         # leading zeros from the exponent of the upper half as a double; a zero half gives over 1,000
         lead = 1054 - ((w >> np.uint64(32)).astype(np.float64).view(np.int64) >> 52)
@@ -244,6 +247,12 @@ _FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4,
 _SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
 
 
+def _signed(value: np.ndarray, width) -> np.ndarray:
+    """Two's complement numbers of ``width`` bits; a width of 0 gives 0."""
+    top = np.where(np.asarray(width) > 0, np.left_shift(1, np.maximum(width, 1) - 1), 0)
+    return (value ^ top) - top
+
+
 def _frame_header(buf: bytes, at: int) -> tuple[int, int]:
     """(samples, place after the header) of the frame at ``at``."""
     if buf[at] != 0xFF or buf[at + 1] & 0xFE != 0xF8:
@@ -273,15 +282,24 @@ def _decode_frames(raw: bytes, bits: _Bits, places: list[int]) -> tuple[list[np.
     at = np.array([h[1] for h in heads]) * 8
     code = bits.take(at, 8)
     kind = code >> 1
-    if (code & 0x81).any():
-        raise ValueError("wasted bits are not read")
+    if (code & 0x80).any():
+        raise ValueError("a subframe header starts with a one")
     at = at + 8
+    # wasted bits: their number less one in zeros, then a one; samples are that many bits narrower
+    wasted = np.zeros(n, np.int64)
+    for f in np.flatnonzero(code & 1):
+        ahead = int(bits.take(at[f : f + 1], np.array([8]))[0])
+        if not ahead:
+            raise ValueError("eight or more wasted bits")
+        wasted[f] = 9 - ahead.bit_length()
+        at[f] += wasted[f]
+    width = 8 - wasted
     samples: list = [None] * n
     for f in np.flatnonzero(kind <= 1):
         count = 1 if kind[f] == 0 else int(sizes[f])
-        values = bits.take(at[f] + 8 * np.arange(count), np.full(count, 8))
-        samples[f] = np.broadcast_to((values ^ 128) - 128, sizes[f])
-        at[f] += 8 * count
+        values = _signed(bits.take(at[f] + width[f] * np.arange(count), np.full(count, width[f])), width[f]) << wasted[f]
+        samples[f] = np.broadcast_to(values, sizes[f])
+        at[f] += width[f] * count
     live = np.flatnonzero(kind >= 8)
     if (((kind >= 2) & (kind < 8)) | ((kind > 12) & (kind < 32))).any():
         raise ValueError("a reserved subframe type")
@@ -294,8 +312,8 @@ def _decode_frames(raw: bytes, bits: _Bits, places: list[int]) -> tuple[list[np.
         out = [np.zeros(int((size > t).sum()), np.int64) for t in range(int(size[0]))]  # by place, the longest frames first
         for j in range(int(order.max())):
             own = np.flatnonzero(order > j)
-            out[j][own] = (bits.take(p[own], np.full(len(own), 8)) ^ 128) - 128
-            p[own] += 8
+            out[j][own] = _signed(bits.take(p[own], width[live][own]), width[live][own])
+            p[own] += width[live][own]
         weights, shift = np.zeros((most, len(live)), np.int64), np.zeros(len(live), np.int64)
         for j in range(min(4, most)):
             weights[j] = np.where(linear, 0, _FIXED[np.minimum(order, 4), j])
@@ -313,24 +331,38 @@ def _decode_frames(raw: bytes, bits: _Bits, places: list[int]) -> tuple[list[np.
         parts = size >> bits.take(p + 2, np.full(len(live), 4))
         p = p + 6
         param = 4 + method
-        k = np.zeros(len(live), np.int64)
+        k, plain = np.zeros(len(live), np.int64), np.full(len(live), -1)  # plain: bits of each number of an escaped partition
+
+        def enter(own: np.ndarray) -> None:
+            """Read the parameters of the partitions that start here."""
+            k[own] = bits.take(p[own], param[own])
+            p[own] += param[own]
+            escaped = own[k[own] == (1 << param[own]) - 1]
+            plain[own] = -1
+            plain[escaped] = bits.take(p[escaped], np.full(len(escaped), 5))
+            p[escaped] += 5
+
         even = bool((parts == size).all())
         if even:
-            k, p = bits.take(p, param), p + param
-            if (k == (1 << param) - 1).any():
-                raise ValueError("escaped partitions are not read")
+            enter(np.arange(len(live)))
         lowest = int(order.min())
         for t in range(0 if not even else lowest, int(size[0])):
             active = len(out[t])
             if not even:
                 new = np.flatnonzero(t % parts[:active] == 0)
                 if len(new):
-                    k[new] = bits.take(p[new], param[new])
-                    p[new] += param[new]
-                    if (k[new] == (1 << param[new]) - 1).any():
-                        raise ValueError("escaped partitions are not read")
+                    enter(new)
             own = slice(0, active) if t >= most else np.flatnonzero(order[:active] <= t)
-            value, p[own] = bits.rice(p[own], k[own])
+            if (plain[own] >= 0).any():
+                here = np.arange(active)[own]
+                value, is_plain = np.zeros(len(here), np.int64), plain[here] >= 0
+                a, b = here[is_plain], here[~is_plain]
+                value[is_plain] = _signed(bits.take(p[a], plain[a]), plain[a])
+                p[a] += plain[a]
+                if len(b):
+                    value[~is_plain], p[b] = bits.rice(p[b], k[b])
+            else:
+                value, p[own] = bits.rice(p[own], k[own])
             if t:
                 total = weights[0, own] * out[t - 1][own]
                 for j in range(1, min(most, t)):
@@ -340,7 +372,7 @@ def _decode_frames(raw: bytes, bits: _Bits, places: list[int]) -> tuple[list[np.
         begins = np.cumsum([0, *map(len, out)])
         flat = np.concatenate(out).astype(np.int16)
         for c, f in enumerate(live):
-            samples[f] = flat[begins[: size[c]] + c]
+            samples[f] = flat[begins[: size[c]] + c] << wasted[f]
         at[live] = p
     ends = -(-at // 8)
     starts = np.array(places)
@@ -422,18 +454,41 @@ def _per_slice(df: DataFrame, column, schema: T.StructType, work, limit: int) ->
 
 def store(df: DataFrame, text_col: str, out_col: str = "media") -> DataFrame:
     """Add ``out_col`` (binary): the text's payload as a FLAC stream."""
+    common.free_names(df, out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType(), True)])
     return _per_slice(df, common.utf8(text_col), schema, lambda texts: [encode([payload(t) for t in texts])], _ENCODE)
 
 
-def load(df: DataFrame, media_col: str, payload_col: str = "payload", feature_col: str = "feature") -> DataFrame:
-    """Add the decoded bytes and a string of features of a column of FLAC streams."""
-    schema = T.StructType([*df.schema.fields, T.StructField(payload_col, T.BinaryType(), True), T.StructField(feature_col, T.StringType(), True)])
+def _each(streams: list[bytes | None]) -> tuple[list[list[np.ndarray] | None], list[str | None]]:
+    """(frames of each stream, what is wrong with it): a broken stream costs only itself."""
+    try:
+        held = iter(decode([s for s in streams if s is not None]))
+        return [None if s is None else next(held) for s in streams], [None] * len(streams)
+    except (ValueError, IndexError, KeyError):
+        out, wrong = [], []
+        for s in streams:
+            try:
+                out.append(None if s is None else decode([s])[0])
+                wrong.append(None)
+            except (ValueError, IndexError, KeyError) as e:
+                out.append(None)
+                wrong.append(str(e) or type(e).__name__)
+        return out, wrong
+
+
+def load(df: DataFrame, media_col: str, payload_col: str = "payload", feature_col: str = "feature", error_col: str | None = None) -> DataFrame:
+    """Add the decoded bytes and a string of features of a column of FLAC streams.
+
+    A stream that cannot be read gives NULL in both, and in ``error_col`` (if named) what is wrong with it.
+    """
+    common.free_names(df, payload_col, feature_col, *([error_col] if error_col else []))
+    extra = [T.StructField(error_col, T.StringType(), True)] if error_col else []
+    schema = T.StructType([*df.schema.fields, T.StructField(payload_col, T.BinaryType(), True), T.StructField(feature_col, T.StringType(), True), *extra])
 
     def work(streams):
-        held = iter(decode([s for s in streams if s is not None]))
-        whole = [None if s is None else np.concatenate(next(held) or [np.zeros(0, np.int16)]) for s in streams]
-        return [[None if x is None else ((x + 128) & 255).astype(np.uint8).tobytes() for x in whole], [None if x is None or not len(x) else _features(x) for x in whole]]
+        frames, wrong = _each(streams)
+        whole = [None if x is None else np.concatenate(x or [np.zeros(0, np.int16)]) for x in frames]
+        return [[None if x is None else ((x + 128) & 255).astype(np.uint8).tobytes() for x in whole], [None if x is None or not len(x) else _features(x) for x in whole], *([wrong] if error_col else [])]
 
     return _per_slice(df, F.col(f"`{media_col}`"), schema, work, _DECODE)
 
@@ -451,7 +506,7 @@ def pcm_blocks(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             ids, streams = batch.column(0), batch.column(1)
             ends = np.concatenate([[0], np.cumsum(pc.binary_length(streams).to_numpy().astype(np.int64))])
             for start, stop in common.slices(ends, _DECODE):
-                held = decode(streams.slice(start, stop - start).to_pylist())
+                held = [x or [] for x in _each(streams.slice(start, stop - start).to_pylist())[0]]  # broken streams have no blocks
                 counts = [len(x) for x in held]
                 frames = [f for x in held for f in x]
                 sizes = [len(f) for f in frames]

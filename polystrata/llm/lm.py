@@ -295,7 +295,7 @@ def _words(raw: bytes) -> list[bytes]:
 
 
 def scores(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     Learns from rows whose crc32 of the id's text modulo 10 is not 0.
     """
@@ -320,4 +320,6 @@ def scores(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> Da
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.log10(F.lit(ends + 0.1)) - (F.col("n_terms") + 1) * below).alias("base_score"),
         F.col("measure").alias("score"),
+        # the end is coded as a byte of its own
+        (F.col("measure") * F.lit(-np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

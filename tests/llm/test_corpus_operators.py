@@ -188,6 +188,20 @@ def test_licenses_see_through_case_punctuation_and_spelling(spark, table, empty)
     assert licenses.scan(table, "text").count() == table.count() and licenses.scan(empty, "text").count() == 0
 
 
+def test_licenses_find_whole_bodies(spark):
+    bodies = dict(licenses.KNOWN[::-1])
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2", "GPL-3", "MPL-2.0"} <= set(bodies)
+    folder = licenses.Path(licenses.__file__).parent / "known"
+    text = {n: (folder / f"{n}.txt").read_text() for n in ("MIT", "Apache-2.0", "GPL-3")}
+    wrapped = " ".join(text["MIT"].split()).upper().replace("SUBLICENSE", "sublicence")
+    spread = "\n\n".join(text["Apache-2.0"].split())
+    rows = [(1, "Copyright (c) 2024 Some One\n" + text["MIT"]), (2, wrapped), (3, spread), (4, text["GPL-3"].replace('"', "'")), (5, text["MIT"] + "\nand more"), (6, text["MIT"].split("\n", 1)[1])]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3", 5: None, 6: "MIT"}
+    with pytest.raises(ValueError, match="license_id"):
+        licenses.scan(spark.createDataFrame([("x", "y")], "text string, license_id string"), "text")
+
+
 def test_flac_round_trips_every_payload(table, empty):
     out = flac.load(flac.store(table, "text"), "media").collect()
     by_text = {}
@@ -213,6 +227,73 @@ def test_flac_decoder_checks_sums_and_works_without_a_seek_table():
         flac.decode([bytes(broken)])
 
 
+def written_stream(samples, wasted, escape):
+    """A FLAC stream of one frame, bit by bit: fixed order 1, two partitions, the first one escaped if asked."""
+    bits = []
+    put = lambda value, width: bits.extend((value >> (width - 1 - k)) & 1 for k in range(width))
+    n, width = len(samples), 8 - wasted
+    x = [v >> wasted for v in samples]
+    put(0, 1), put(9, 6), put(int(wasted > 0), 1)
+    if wasted:
+        put(1, wasted)
+    put(x[0] & ((1 << width) - 1), width)
+    residual = [b - a for a, b in zip(x, x[1:], strict=False)]
+    put(0, 2), put(1, 4)
+    for part in (residual[: n // 2 - 1], residual[n // 2 - 1 :]):
+        if escape and part is not residual[n // 2 - 1 :] and len(part) == n // 2 - 1:
+            put(15, 4), put(9, 5)
+            for r in part:
+                put(r & 511, 9)
+        else:
+            put(2, 4)
+            for r in part:
+                u = 2 * r if r >= 0 else -2 * r - 1
+                put(1, (u >> 2) + 1), put(u & 3, 2)
+    bits += [0] * (-len(bits) % 8)
+    body_bytes = bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8))
+    head = b"\xff\xf8\x64\x02\x00" + bytes([n - 1])
+    frame = head + bytes([flac.crc8(head)]) + body_bytes
+    crc = 0
+    for b in frame:
+        crc ^= b << 8
+        for _ in range(8):
+            crc = ((crc << 1) ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | n).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80\x00\x00\x22" + info + frame + crc.to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("wasted", [0, 1, 2])
+@pytest.mark.parametrize("escape", [False, True])
+def test_flac_decoder_reads_streams_of_another_encoder(wasted, escape):
+    rnd = random.Random(wasted)
+    samples = [rnd.randint(-20, 20) << wasted for _ in range(16)]
+    ((frame,),) = flac.decode([written_stream(samples, wasted, escape)])
+    assert frame.tolist() == samples
+
+
+def test_flac_streams_that_cannot_be_read_cost_only_themselves(spark):
+    good = flac.encode([bytes(range(256)) * 20])[0]
+    rows = [(1, bytearray(good)), (2, bytearray(good[:-9] + b"\0" * 9)), (3, bytearray(b"no stream at all")), (4, None), (5, bytearray(good[:200]))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r.doc_id: r for r in flac.load(df, "media", error_col="wrong").collect()}
+    assert bytes(got[1].payload) == bytes(range(256)) * 20 and got[1].wrong is None
+    assert all(got[k].payload is None and got[k].feature is None and got[k].wrong for k in (2, 3, 5)) and got[4].wrong is None
+    assert {r.doc_id for r in flac.pcm_blocks(df, "doc_id", "media").collect()} == {1}
+    with pytest.raises(ValueError, match="media"):
+        flac.store(df.withColumn("text", F.lit("x")), "text")
+
+
+def test_pcm_blocks_hold_the_payload_and_can_be_sought(spark, table):
+    media = flac.store(table.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "text")
+    want = {r.doc_id: flac.payload(body(r.text)) for r in media.collect()}
+    blocks = flac.pcm_blocks(media, "doc_id", "media").collect()
+    found = {}
+    for b in sorted(blocks, key=lambda b: b.sample_offset):
+        assert b.sample_offset == len(found.get(b.doc_id, b"")) and b.n_samples == len(b.pcm)
+        found[b.doc_id] = found.get(b.doc_id, b"") + bytes((x + 128) & 255 for x in b.pcm)
+    assert found == want
+
+
 def test_flac_sums_match_plain_ones():
     rnd = np.random.default_rng(1)
     buf = rnd.integers(0, 256, 5000).astype(np.uint8)
