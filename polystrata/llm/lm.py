@@ -10,9 +10,10 @@ map from the mixed log-odds to what was seen refines the result.
 Training passes over all training texts once.  Each task predicts a slice from
 what it has seen before the slice, corrects the weights and the adaptive map
 online from its errors, and only then counts the slice.  Counts of all tasks are
-summed per table slot; weights are averaged by training bits.  The tables have a
-fixed number of slots (:data:`BITS`), so the model that is broadcast has a fixed
-size (31 MB) while the counts gathered grow with the corpus.
+summed per table slot; weights are averaged by training bits.  The tables grow
+with the fourth root of the training bytes (:func:`table_sizes`): all of them take
+31 MB in the model that is broadcast up to 0.1 GB of text, four times that at 30 GB
+and about 1 GB at 100 TB.
 
 Within a slice equal (contexts, byte) are predicted once and weighted by their
 number.  Texts are lower-cased (A-Z) and end in one zero byte, which is scored.
@@ -31,18 +32,29 @@ from pyspark.sql import functions as F
 
 from . import common, postings
 
-#: Slots (as a power of two) of the predictors: two, three, four and six bytes, and the word so far.
+#: Least slots (as a power of two) of the predictors: two, three, four and six bytes, and the word so far.
 BITS = (20, 21, 22, 22, 22)
 _K, _GATES, _BUCKETS = len(BITS), 128, 33
 _PAD = 8
 #: Most bytes of a slice; a task's slices double from an eighth of a megabyte up to this.
 SLICE, _FIRST = 4 << 20, 128 << 10
 _CHUNK = 1 << 13
+#: Training bytes up to which tables have their least size.
+BASE_BYTES = 100_000_000
+#: Training bytes of a task: its tables are gathered once for so many, however finely the input is split.
+TASK_BYTES = 32 << 20
 _MIXER = -1
 _MINI = 1 << 14
 _SCALE = 1024.0
 
 
+def table_sizes(n_bytes: int) -> tuple[int, ...]:
+    """Slots of each predictor's table for so many training bytes, in whole chunks; two bytes have few contexts at any size."""
+    grown = max(1.0, n_bytes / BASE_BYTES) ** 0.25
+    return tuple(int(-(-(1 << bits) * (grown if k else 1) // _CHUNK)) * _CHUNK for k, bits in enumerate(BITS))
+
+
+_LEAST = table_sizes(0)
 #: A random number for each (place in a word modulo 64, byte): a word's hash is the sum over its bytes.
 _LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -100,7 +112,7 @@ class Items:
         self.byte, last, word = b[at].astype(np.int64), last[at].astype(np.uint64), word[at]
         self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((*(last >> np.uint64(64 - 8 * m) for m in (2, 3, 4, 6)), word))]
 
-    def bits(self, part: slice):
+    def bits(self, part: slice, sizes: tuple[int, ...] = _LEAST):
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""
         byte = self.byte[part]
         for half in (0, 1):
@@ -110,7 +122,7 @@ class Items:
                 h = h[part]
                 if half:
                     h = (h + ((byte >> 4) + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                lines.append((h >> np.uint64(64 - BITS[k])).astype(np.int64) & ~np.int64(15))
+                lines.append(((h >> np.uint64(32)) * np.uint64(sizes[k] >> 4) >> np.uint64(32) << np.uint64(4)).astype(np.int64))
             for j in range(4):
                 node = (1 << j) | (nibble >> (4 - j))
                 yield half * 4 + j, (byte >> (8 - half * 4 - j)) | (1 << (half * 4 + j)), (nibble >> (3 - j)) & 1, [line + node for line in lines]
@@ -168,8 +180,8 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class _Counts:
     """Counts of zeros (high half) and ones (low half) of all predictors' slots."""
 
-    def __init__(self):
-        self.tables = [np.zeros(1 << bits, np.int64) for bits in BITS]
+    def __init__(self, sizes: tuple[int, ...]):
+        self.sizes, self.tables = sizes, [np.zeros(size, np.int64) for size in sizes]
 
     def odds(self, slots: list[np.ndarray]) -> np.ndarray:
         """A row of log-odds per predictor, and a row of ones."""
@@ -181,7 +193,7 @@ class _Counts:
 
     def add(self, items: Items) -> None:
         high = items.counts << 32
-        for _, _, bit, slots in items.bits(slice(None)):
+        for _, _, bit, slots in items.bits(slice(None), self.sizes):
             value = np.where(bit == 1, items.counts, high)
             for k in range(_K):
                 np.add.at(self.tables[k], slots[k], value)
@@ -197,15 +209,15 @@ def _ramp(ends: np.ndarray, size: int):
         start = stop
 
 
-def _train(batches):
-    counts, mixer, size, bits = _Counts(), Mixer(), _FIRST, 0
+def _train(batches, sizes: tuple[int, ...]):
+    counts, mixer, size, bits = _Counts(sizes), Mixer(), _FIRST, 0
     for batch in batches:
         _, ends = common.byte_rows(batch.column(0))
         for start, stop, size in _ramp(ends, size):
             items = Items(batch.column(0).slice(start, stop - start).to_pylist())
             for low in range(0, len(items.counts), _MINI):
                 part = slice(low, low + _MINI)
-                for j, node, bit, slots in items.bits(part):
+                for j, node, bit, slots in items.bits(part, sizes):
                     odds = counts.odds(slots)
                     p, gate, cell = mixer.predict(odds, j, node)
                     mixer.learn(odds, j, bit, p, gate, cell, items.counts[part])
@@ -255,8 +267,8 @@ def _sum_chunks(batches):
 class Model:
     """Trained tables (log-odds of each slot) and mixer."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        flat = np.zeros(sum(1 << bits for bits in BITS), np.int16)
+    def __init__(self, rows: list[tuple[int, bytes]], sizes: tuple[int, ...] = _LEAST):
+        flat, self.sizes = np.zeros(sum(sizes), np.int16), sizes
         self.mixer = Mixer()
         for chunk, data in rows:
             if chunk == _MIXER:
@@ -265,7 +277,7 @@ class Model:
                 self.mixer = Mixer((state[1 : n + 1] / state[0]).reshape(_K + 1, _GATES), state[n + 1 :].reshape(-1, 2).copy())
             else:
                 flat[chunk * _CHUNK : chunk * _CHUNK + len(data) // 2] = np.frombuffer(data, np.int16)
-        self.tables = np.split(flat, np.cumsum([1 << bits for bits in BITS])[:-1])
+        self.tables = np.split(flat, np.cumsum(sizes)[:-1])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text (and its end)."""
@@ -275,7 +287,7 @@ class Model:
             logs = np.zeros(len(items.counts))
             for low in range(0, len(logs), _MINI):
                 part = slice(low, low + _MINI)
-                for j, node, bit, slots in items.bits(part):
+                for j, node, bit, slots in items.bits(part, self.sizes):
                     odds = [self.tables[k][slots[k]] * np.float32(1 / _SCALE) for k in range(_K)]
                     p, _, cell = self.mixer.predict(odds, j, node)
                     p = self.mixer.refine(p, cell)
@@ -286,8 +298,13 @@ class Model:
 
 def train(texts: DataFrame) -> Model:
     """Train on all rows of a one-column table of UTF-8 bytes."""
-    summed = texts.mapInArrow(common.tidy(_train), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.tidy(_sum_chunks), "chunk int, data binary")
-    return Model([(r.chunk, bytes(r.data)) for r in summed.collect()])  # at most the fixed number of chunks
+    n_bytes = texts.agg(F.sum(F.octet_length(texts.columns[0]).cast("long"))).first()[0] or 0
+    sizes = table_sizes(n_bytes)
+    # Merging splits moves no rows; small ones would each send tables of their own.
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    learned = texts.coalesce(tasks).mapInArrow(common.tidy(lambda batches: _train(batches, sizes)), "chunk int, data binary")
+    summed = learned.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.tidy(_sum_chunks), "chunk int, data binary")
+    return Model([(r.chunk, bytes(r.data)) for r in summed.collect()], sizes)  # the tables alone
 
 
 def _words(raw: bytes) -> list[bytes]:

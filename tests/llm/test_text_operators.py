@@ -170,3 +170,14 @@ def test_language_model_counts_of_many_tasks_do_not_overflow():
     (got,) = lm._sum_chunks(rows)
     odds = np.frombuffer(got.column(1)[0].as_py(), np.int16) / lm._SCALE
     assert np.allclose(odds, math.log(ones / zeros), atol=1e-3)
+
+
+def test_language_model_tables_grow_with_the_corpus():
+    least, more, most = (lm.table_sizes(n) for n in (0, 30 * 10**9, 10**14))
+    assert least == tuple(1 << bits for bits in lm.BITS) and lm.table_sizes(lm.BASE_BYTES) == least
+    assert all(4 < b / a < 4.3 for a, b in zip(least[1:], more[1:], strict=True)) and more[0] == least[0]
+    assert 2 * sum(most) < 1 << 30 and all(size % lm._CHUNK == 0 for size in most)
+    items = lm.Items([bytes(range(1, 200)) * 50])
+    slots = [np.stack([s[k] for _, _, _, s in items.bits(slice(None), more)]) for k in range(len(more))]
+    assert all(s.min() >= 0 and s.max() < size for s, size in zip(slots, more, strict=True))
+    assert all(s.max() > size * 0.9 for s, size in zip(slots, more, strict=True))
