@@ -7,6 +7,8 @@ unless an operator needs code points.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -97,25 +99,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that hands freed memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Return the unused memory of Arrow and of NumPy to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for ``mapInArrow`` that gives Arrow's unused memory back after each batch and at its end.
+    """``run`` for ``mapInArrow`` that gives unused memory back after each batch and at its end.
 
     Workers are used again by later tasks; without this each keeps the most that any of them took.
     """
 
     def tidied(batches: Iterator) -> Iterator:
-        pool = pa.default_memory_pool()
-
         def each():
             for batch in batches:
                 yield batch
                 del batch
-                pool.release_unused()
+                give_back()
 
         try:
             yield from run(each())
         finally:
-            pool.release_unused()
+            give_back()
 
     return tidied
 
@@ -149,7 +161,7 @@ def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.Dat
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        do, pool = work(), pa.default_memory_pool()
+        do = work()
         for column in batches:
             if not len(column):
                 yield do(column)
@@ -158,6 +170,6 @@ def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.Dat
             for start, stop in slices(ends, limit):
                 yield do(column.slice(start, stop - start))
             del column
-            pool.release_unused()
+            give_back()
 
     return F.arrow_udf(run, kind).asNondeterministic()
