@@ -13,6 +13,7 @@ their names (the new columns' names must be free).
 from __future__ import annotations
 
 import base64
+import copy
 import heapq
 
 import numpy as np
@@ -27,7 +28,7 @@ from . import common
 _NONE = np.int64(1 << 40)
 #: Rows of more bytes than this have a matrix row per merge too costly; they go through a heap, with the same result.
 LONG_ROW = 512
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 _MEMO = 100_000
 #: Bytes of text encoded at once.
 _ENCODE = 2 << 20
@@ -91,8 +92,7 @@ class Codec:
         for token, rank in ranks.items():
             spelled[self.starts[rank] : self.starts[rank] + len(token)] = token
         self.spelled = np.frombuffer(bytes(spelled), np.uint8)
-        self._memo: dict[str, int] = {}
-        self._ids: list[np.ndarray] = []
+        self.forget()
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -205,10 +205,13 @@ class Codec:
                     k = memo[p] = len(memo)
                     fresh.append(p.encode())
                 seen.append(k)
-        self._ids += self.encode_pieces(fresh)
+        if fresh:
+            new = self.encode_pieces(fresh)
+            self._flat = np.concatenate([self._flat, *new])
+            self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, new), np.int64, len(new))])
         if not seen:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        flat, sizes = np.concatenate(self._ids), np.array([len(x) for x in self._ids])
+        flat, sizes = self._flat, self._sizes
         starts, seen = np.cumsum(sizes) - sizes, np.array(seen)
         n = sizes[seen]
         ends = np.cumsum(n)
@@ -217,7 +220,8 @@ class Codec:
 
     def forget(self) -> None:
         """Drop the pre-tokens met so far; a worker keeps the codec for later tasks, but not these."""
-        self._memo, self._ids = {}, []
+        self._memo: dict[str, int] = {}
+        self._flat, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) that the ids spell."""
@@ -243,35 +247,27 @@ def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(df: DataFrame, text_col: str, out_col: str, vocab_path: str, pattern: str) -> DataFrame:
     """Add ``out_col`` (array<int>): the ids of every whole text. ``vocab_path`` must be readable on the executors."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)])
 
-    def run(batches):
-        codec = _codec(vocab_path, pattern)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_ps_text"))
-            _, ends = common.byte_rows(texts)
-            for start, stop in common.slices(ends, _ENCODE):
-                ids, offsets = codec.encode_texts([t.decode("utf-8", "replace") for t in texts.slice(start, stop - start).to_pylist()])
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=schema.names)
-        codec.forget()
+    def work():
+        codec = copy.copy(_codec(vocab_path, pattern))
+        codec.forget()  # the pre-tokens met live as long as the task
 
-    return df.select("*", common.utf8(text_col).alias("_ps_text")).mapInArrow(common.tidy(run), schema)
+        def ids_of(texts: pa.Array) -> pa.Array:
+            ids, offsets = codec.encode_texts([t.decode("utf-8", "replace") for t in texts.to_pylist()])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+        return ids_of
+
+    ids = common.arrow_column(work, T.ArrayType(T.IntegerType(), False), _ENCODE)
+    return df.select("*", ids(common.utf8(text_col)).alias(out_col))
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str, vocab_path: str, pattern: str) -> DataFrame:
     """Add ``out_col`` (binary): the bytes that an array of ids spells; NULL ids spell nothing."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType(), False)])
 
-    def run(batches):
+    def work():
         codec = _codec(vocab_path, pattern)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            ends = column.offsets.to_numpy().astype(np.int64)
-            for start, stop in common.slices(ends, common.SLICE_BYTES // 4):
-                part = batch.slice(start, stop - start)
-                values, offsets = codec.decode(*_list_parts(part.column(batch.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], common.binary_array(values, offsets)], names=schema.names)
-
-    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("_ps_ids")
-    return df.select("*", ids).mapInArrow(common.tidy(run), schema)
+        return lambda column: common.binary_array(*codec.decode(*_list_parts(column)))
+
+    spelled = common.arrow_column(work, T.BinaryType(), common.SLICE_BYTES // 4)
+    return df.select("*", spelled(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))).alias(out_col))

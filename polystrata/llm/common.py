@@ -153,23 +153,28 @@ def free_names(df: DataFrame, *names: str) -> None:
 
 
 def arrow_column(work: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.DataType, limit: int = SLICE_BYTES) -> Callable[[Column], Column]:
-    """A function of one binary column that crosses to Python alone; the row's other columns stay in the JVM.
+    """A function of one column, binary or of lists, that crosses to Python alone; the row's other columns stay in the JVM.
 
     ``work()`` runs once per task and gives a function from a slice of about
-    ``limit`` bytes to an array of as many results.  The column is marked as not
-    deterministic so that plans never compute it twice.
+    ``limit`` bytes (or list items) to an array of as many results.  The column is
+    marked as not deterministic so that plans never compute it twice.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         do = work()
-        for column in batches:
-            if not len(column):
-                yield do(column)
-                continue
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
-            for start, stop in slices(ends, limit):
-                yield do(column.slice(start, stop - start))
-            del column
+        try:
+            for column in batches:
+                if not len(column):
+                    yield do(column)
+                    continue
+                sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+                for start, stop in slices(ends, limit):
+                    yield do(column.slice(start, stop - start))
+                del column
+                give_back()
+        finally:
+            del do
             give_back()
 
     return F.arrow_udf(run, kind).asNondeterministic()
