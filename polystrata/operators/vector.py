@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import VectorError
 from ..functions import kernels as K
@@ -13,6 +17,10 @@ from ..plans.lower import literal
 
 MOST_K, MOST_THREADS = 10_000, 64
 BY_SIMILARITY = {"cosine", "dot", "jaccard"}
+#: Rows of a block of the similarity join.
+BLOCK = 8192
+#: Norms whose squares and products neither vanish nor overflow; the join's cell for others.
+TINY, HUGE, _WILD = 1e-140, 1e150, -9
 
 
 def vector_column(df: DataFrame) -> str:
@@ -96,23 +104,104 @@ def spread(df: DataFrame, column: str, min_distance: float, k: int, by: str, tie
     return df.limit(0) if out is None else out
 
 
+def _solver(threshold: float):
+    """For ``mapInArrow``: pairs of each left block with the right rows of its key; rows come sorted by key, left ones first.
+
+    Matrix products in single precision pick candidates with room for their rounding;
+    these are computed again as :func:`kernels.cosine` does, term by term.
+    """
+
+    def block(ids, vectors):
+        n = len(ids)
+        m = np.asfortranarray(vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1), np.float64)
+        size = np.sqrt(sum(m[:, d] * m[:, d] for d in range(m.shape[1])))
+        unit = (m / size[:, None]).astype(np.float32)
+        unit[~((size > TINY) & (size < HUGE))] = np.nan  # candidates with every row
+        return ids, m, size, unit
+
+    def exact(left, right, at, width, low):
+        i, j = at // width, at % width + low
+        total = np.zeros(len(at))
+        for d in range(left[1].shape[1]):
+            total += left[1][:, d][i] * right[1][:, d][j]
+        sizes = left[2][i] * right[2][j]
+        if not sizes.all():
+            raise VectorError("a zero vector has no cosine")
+        total /= sizes
+        keep = ~(total < threshold)  # Spark's order has NaN above all numbers
+        return pa.RecordBatch.from_arrays([left[0].take(pa.array(i[keep])), right[0].take(pa.array(j[keep])), pa.array(total[keep])], names=["left_id", "right_id", "similarity"])
+
+    def pairs(left, right):
+        bound = np.float32(threshold - 2e-7 * (left[1].shape[1] + 8))
+        for low in range(0, len(right[0]), 1024):
+            near = left[3] @ right[3][low : low + 1024].T
+            found = np.flatnonzero(~(near < bound))
+            for k in range(0, len(found), 1 << 17):
+                yield exact(left, right, found[k : k + (1 << 17)], near.shape[1], low)
+
+    def run(batches):
+        at, held, left = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(5)])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for low, high in itertools.pairwise([0, *ends.tolist(), batch.num_rows] if batch.num_rows else []):
+                key, part = tuple(keys[:4, low]), batch.slice(low, high - low)
+                if key != at:
+                    at, held, left = key, [], None
+                with np.errstate(all="ignore"):
+                    if keys[4, low] == 0:
+                        held.append(part)
+                    elif held:
+                        if left is None:
+                            rows = pa.Table.from_batches(held).combine_chunks()
+                            left = block(*(rows.column(c).combine_chunks() for c in ("left_id", "v")))
+                        yield from pairs(left, block(part.column("right_id"), part.column("v")))
+
+    return run
+
+
 def similarity_join(a: DataFrame, b: DataFrame, on: tuple[str, str], threshold: float, pivot: list[float], names: tuple[str, str]) -> DataFrame:
     """Pairs of cosine at least ``threshold``, exactly and without a cross join.
 
     The angle is a metric: vectors within angle t of each other have angles to
-    the pivot that differ by at most t.  Rows meet in cells of width t of that
-    angle; the right side is put in its own cell and both neighbours.  In many
+    the pivot that differ by at most t.  Rows are put in cells of width t of that
+    angle, and only the same and neighbouring cells meet.  Cells are cut by hash into
+    blocks of about :data:`BLOCK` rows, and pairs of blocks are matrix products.  In many
     dimensions angles to a pivot crowd around a right angle and few cells hold most
-    rows, so the join is only as selective as the threshold is close to 1.
+    rows, so the join compares fewer pairs only if the threshold is close to 1; the
+    rows sent are then (rows / BLOCK) times both sides.  NULL vectors and those with NULL
+    elements have no pairs; vectors whose cosine may not be a number meet all rows.
     """
-    width = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    q = literal(pivot)
-    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), K.cosine(F.col(c), q))))
-    left = a.withColumn("_cell", F.floor(angle(on[0]) / width))
-    right = b.withColumn("_at", F.floor(angle(on[1]) / width)).withColumn("_cell", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1))).drop("_at")
-    left = left.select(F.col(names[0]).alias("left_id"), F.col(on[0]).alias("_v"), "_cell")
-    right = right.select(F.col(names[1]).alias("right_id"), F.col(on[1]).alias("_w"), "_cell")
-    return left.join(right, "_cell").withColumn("similarity", K.cosine(F.col("_v"), F.col("_w"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+    # a cosine is known to about 1e-15, an angle near 0 thus to about 1e-7
+    width = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    floats = all(df.schema[c].dataType == T.ArrayType(T.FloatType(), df.schema[c].dataType.containsNull) for df, c in zip((a, b), on, strict=True))
+    kinds = [df.schema[c].dataType for df, c in zip((a, b), names, strict=True)]
+
+    def side(df: DataFrame, name: str, column: str) -> DataFrame:
+        v = F.col("v")
+        rows = df.select(F.col(name).alias("id"), F.col(column).cast("array<float>" if floats else "array<double>").alias("v"))
+        rows = rows.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull()))
+        to, size = K.cosine(v, literal(pivot)), K.norm(v)
+        cell = F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), to))) / width)
+        plain = (size > TINY) & (size < HUGE) & ~F.isnan(to)
+        return rows.select("id", "v", F.when(plain, cell).otherwise(_WILD).alias("cell"), F.xxhash64("id", "v").alias("h"))
+
+    def blocks(rows: DataFrame, cell: str, n: str) -> DataFrame:
+        return rows.groupBy(F.col("cell").alias(cell)).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+
+    left, right = side(a, names[0], on[0]), side(b, names[1], on[1])
+    ours, theirs = blocks(left, "lc", "nl"), blocks(right, "rc", "nr")
+    near = theirs.where(F.col("rc") != _WILD).withColumn("lc", F.explode(F.array(F.col("rc") - 1, F.col("rc"), F.col("rc") + 1)))
+    met = ours.join(near, "lc").select("lc", "nl", "rc", "nr")
+    met = met.unionByName(ours.where(F.col("lc") == _WILD).crossJoin(theirs)).unionByName(ours.where(F.col("lc") != _WILD).crossJoin(theirs.where(F.col("rc") == _WILD)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    none = [F.lit(None).cast(kind) for kind in kinds]
+    left = left.join(met, left["cell"] == met["lc"]).select("lc", "rc", own("nl").alias("i"), numbers("nr").alias("j"), F.lit(0).alias("side"), F.col("id").alias("left_id"), none[1].alias("right_id"), "v")
+    right = right.join(met, right["cell"] == met["rc"]).select("lc", "rc", numbers("nl").alias("i"), own("nr").alias("j"), F.lit(1).alias("side"), none[0].alias("left_id"), F.col("id").alias("right_id"), "v")
+    key = ["lc", "rc", "i", "j"]
+    out = T.StructType([T.StructField("left_id", kinds[0]), T.StructField("right_id", kinds[1]), T.StructField("similarity", T.DoubleType())])
+    return left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(_solver(threshold), out)
 
 
 def approximate_knn(df: DataFrame, query: list[float], k: int, column: str, bucket_length: float = 2.0, tables: int = 4) -> DataFrame:
