@@ -11,6 +11,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+import weakref
 
 from collections.abc import Callable, Iterator
 
@@ -42,14 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _STAGED: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables now; only for those from which nothing is read any more, however late."""
+    for table in tables:
+        path = _PATHS.pop(table)
+        _delete(table.sparkSession, path)
+        _STAGED.remove(path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables staged so far by this driver; results that read them must be written before. Their number is returned."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _STAGED:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
     n = len(_STAGED)
     _STAGED.clear()
     return n
@@ -61,7 +74,9 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: so do the smaller neighbours and the node itself
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        stars = common.stage_table(small, "stars")
+        last, stars = stars, common.stage_table(small, "stars")
+        common.discard(last)
         state = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -111,7 +111,7 @@ def _id_bucket(col: str) -> Column:
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(sig, hashes) of the nodes ``wanted`` (sig, min_id); one row a node.
+    """(node, hashes) of the nodes ``wanted`` (node, sig, min_id); one row a node.
 
     Texts are sieved by a hash of the id (at most 2**20 numbers, broadcast) before
     they are cut into shingles again.
@@ -129,22 +129,25 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), lists], names=["sig", "hashes"])
 
     found = texts.mapInArrow(common.tidy(run), "sig binary, hashes array<long>").where("sig IS NOT NULL")
-    return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return found.join(wanted.select("sig", "node"), "sig").drop("sig").dropDuplicates(["node"]).select("node", "hashes")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(value, sig, n, m): for each node its listed values that other nodes list too; m is the list's length."""
-    flat = nodes.select("sig", "n", F.explode("sketch").alias("value"), F.size("sketch").alias("k"))
+    """(value, node, n, m): for each node its listed values that other nodes list too; m is the list's length."""
+    flat = nodes.select("node", F.explode("sketch").alias("value"))
     shared = flat.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # values that one node alone retains come first in its order; the rest are ranked by df
-    held = flat.join(shared, "value").groupBy("sig", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
+    held = flat.join(shared, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
+    held = held.join(nodes.select("node", "n", F.size("sketch").alias("k")), "node")
     # from 48 shingles on a partner may have cut off values, which then look as if this node alone had them
     prefix = F.when(F.col("n") * 100 >= KEEP * PERCENT, PREFIX).otherwise(F.col("n") - F.ceil(F.col("n") * (PERCENT / 100)) + 1)
     take = prefix - (F.col("k") - F.size("held"))
-    listed = held.where(take > 0).select("sig", "n", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select("h.value", "sig", "n")
+    listed = held.where(take > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select("h.value", "node", "n")
     listed = common.stage_table(listed, "lists")
     sizes = common.stage_table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    return common.stage_table(listed.join(sizes, "value"), "lists")
+    lists = common.stage_table(listed.join(sizes, "value"), "lists")
+    common.discard(listed, sizes)
+    return lists
 
 
 def _alike_sizes(a: str, b: str) -> Column:
@@ -153,9 +156,9 @@ def _alike_sizes(a: str, b: str) -> Column:
 
 def small_pairs(lists: DataFrame) -> DataFrame:
     """Pairs (a, b, m), a < b, within lists of at most :data:`SMALL_LIST` nodes."""
-    groups = lists.where(F.col("m") <= SMALL_LIST).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("sig", "n"))).alias("g"))
+    groups = lists.where(F.col("m") <= SMALL_LIST).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("g"))
     pairs = groups.select(F.posexplode("g").alias("p", "x"), "g").select("x", F.explode(F.slice("g", F.col("p") + 2, F.lit(SMALL_LIST))).alias("y"))
-    return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().withColumn("m", F.lit(1).cast("long"))
+    return pairs.where(_alike_sizes("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().withColumn("m", F.lit(1).cast("long"))
 
 
 def _rank(col: str) -> Column:
@@ -164,20 +167,20 @@ def _rank(col: str) -> Column:
 
 
 def first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, m) of the one pivot of each longer list with its other nodes, and the lists (value, sig, n) without their pivots."""
+    """Pairs (a, b, m) of the one pivot of each longer list with its other nodes, and the lists (value, node, n) without their pivots."""
     long = lists.where(F.col("m") > SMALL_LIST)
-    chosen = common.stage_table(long.groupBy("value").agg(F.min(F.struct(_rank("sig").alias("r"), "sig", "n")).alias("p")).select("value", F.col("p.sig").alias("a"), F.col("p.n").alias("na")), "pivots")
-    met = long.join(chosen, "value").where("a <> sig")
-    pairs = met.where(_alike_sizes("na", "n")).groupBy("a", F.col("sig").alias("b")).agg(F.max("m").alias("m"))
-    return pairs, met.select("value", "sig", "n")
+    chosen = common.stage_table(long.groupBy("value").agg(F.min(F.struct(_rank("node").alias("r"), "node", "n")).alias("p")).select("value", F.col("p.node").alias("a"), F.col("p.n").alias("na")), "pivots")
+    met = long.join(chosen, "value").where("a <> node")
+    pairs = met.where(_alike_sizes("na", "n")).groupBy("a", F.col("node").alias("b")).agg(F.max("m").alias("m"))
+    return pairs, met.select("value", "node", "n")
 
 
 def _attached(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     """Pairs (a, b, m) with ``column`` of both ends as ``ha`` and ``hb``; a node ``a`` of many pairs is copied instead of gathering them."""
     share = F.greatest(F.lit(1), F.ceil(F.col("m") / SPREAD)).cast("int")
     copies = pairs.groupBy("a").agg(F.max(share).alias("copies"))
-    mine = held.select(F.col("sig").alias("a"), F.col(column).alias("ha")).join(copies, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    other = pairs.withColumn("share", F.pmod(F.xxhash64("b"), share).cast("int")).join(held.select(F.col("sig").alias("b"), F.col(column).alias("hb")), "b")
+    mine = held.select(F.col("node").alias("a"), F.col(column).alias("ha")).join(copies, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    other = pairs.withColumn("share", F.pmod(F.xxhash64("b"), share).cast("int")).join(held.select(F.col("node").alias("b"), F.col(column).alias("hb")), "b")
     return other.join(mine, ["a", "share"])
 
 
@@ -195,9 +198,11 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def sets_of(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(sig, hashes) of the nodes ``wanted`` (sig)."""
-    wanted = common.stage_table(wanted.distinct().join(nodes.select("sig", "min_id"), "sig"), "wanted")
-    return common.stage_table(full_sets(df, id_col, text_col, wanted), "sets")
+    """(node, hashes) of the nodes ``wanted`` (node)."""
+    wanted = common.stage_table(wanted.distinct().join(nodes.select("node", "sig", "min_id"), "node"), "wanted")
+    sets = common.stage_table(full_sets(df, id_col, text_col, wanted), "sets")
+    common.discard(wanted)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,28 +212,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _able(sets: DataFrame) -> DataFrame:
-    """(sig) of the sets that share at least 75 % of their shingles with others of them."""
-    flat = sets.select("sig", F.explode("hashes").alias("x"))
+    """(node) of the sets that share at least 75 % of their shingles with others of them."""
+    flat = sets.select("node", F.explode("hashes").alias("x"))
     shared = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
-    counts = flat.join(shared, "x").groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
-    return sets.select("sig", F.size("hashes").alias("n")).join(counts, "sig").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("sig")
+    counts = flat.join(shared, "x").groupBy("node").agg(F.count(F.lit(1)).alias("g"))
+    return sets.select("node", F.size("hashes").alias("n")).join(counts, "node").where(F.col("g") * 100 >= F.col("n") * PERCENT).select("node")
 
 
 def open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (value, sig, n, comp) of the lists whose nodes are in several components."""
-    held = rows.join(comps, rows["sig"] == comps["node"], "left").select("value", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
+    """Rows (value, node, n, comp) of the lists whose nodes are in several components."""
+    held = rows.join(comps, "node", "left").select("value", "node", "n", F.coalesce("comp", "node").alias("comp"))
     several = held.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
     return common.stage_table(held.join(common.stage_table(several, "several"), "value"), "open")
 
 
 def _families(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(fam, sig, n, stray, hashes) of the nodes of open lists; lists with common nodes are one family."""
-    heads = common.stage_table(rows.groupBy("value").agg(F.min("sig").alias("head")), "heads")
-    fams = graph.components(rows.join(heads, "value").select(F.col("sig").alias("a"), F.col("head").alias("b")))
-    nodes = common.stage_table(rows.select("sig", "n", "comp").distinct().join(fams.select(F.col("node").alias("sig"), F.col("comp").alias("fam")), "sig"), "families")
+    """(fam, node, n, stray, hashes) of the nodes of open lists; lists with common nodes are one family."""
+    heads = common.stage_table(rows.groupBy("value").agg(F.min("node").alias("head")), "heads")
+    fams = graph.components(rows.join(heads, "value").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = common.stage_table(rows.select("node", "n", "comp").distinct().join(fams.select(F.col("node").alias("node"), F.col("comp").alias("fam")), "node"), "families")
     parts = nodes.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = common.stage_table(parts.groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("top")).select("fam", F.col("top.comp").alias("main")), "main")
-    return nodes.join(main, "fam").withColumn("stray", F.col("comp") != F.col("main")).drop("comp", "main").join(sets, "sig")
+    return nodes.join(main, "fam").withColumn("stray", F.col("comp") != F.col("main")).drop("comp", "main").join(sets, "node")
 
 
 def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -269,18 +274,18 @@ def block_links(families: DataFrame) -> DataFrame:
     cells = common.stage_table(blocks.groupBy("fam").agg(F.collect_list(F.struct("band", "stray", "nb")).alias("cells")), "cells")
     rows = rows.join(cells, "fam")
     mine = F.element_at(F.filter("cells", lambda c: (c["band"] == F.col("band")) & (c["stray"] == F.col("stray"))), 1)["nb"]
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), mine).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), mine).cast("int"))
     here = F.struct("band", "stray", "block")
     near = F.filter("cells", lambda c: (F.abs(c["band"] - F.col("band")) <= 1) & (c["stray"] | F.col("stray")))
     there = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["nb"] - 1), lambda j: F.struct(c["band"].alias("band"), c["stray"].alias("stray"), j.alias("block")))))
-    dealt = rows.select("fam", "sig", "hashes", here.alias("here"), F.explode(there).alias("there"))
-    dealt = dealt.select(F.xxhash64("fam", F.least("here", "there"), F.greatest("here", "there")).alias("key"), "fam", "sig", "hashes")
+    dealt = rows.select("fam", "node", "hashes", here.alias("here"), F.explode(there).alias("there"))
+    dealt = dealt.select(F.xxhash64("fam", F.least("here", "there"), F.greatest("here", "there")).alias("key"), "fam", "node", "hashes")
 
     def solve(batches):
         def done(table):
-            sigs, sets = table.column("sig").to_pylist(), [np.array(h, np.int64) for h in table.column("hashes").to_pylist()]
+            names, sets = table.column("node").to_pylist(), [np.array(h, np.int64) for h in table.column("hashes").to_pylist()]
             edges = _forest(sets)
-            return pa.RecordBatch.from_arrays([pa.array([sigs[x] for x, _ in edges], pa.binary()), pa.array([sigs[y] for _, y in edges], pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in edges], pa.int64()), pa.array([names[y] for _, y in edges], pa.int64())], names=["a", "b"])
 
         held = None
         for batch in batches:
@@ -295,7 +300,7 @@ def block_links(families: DataFrame) -> DataFrame:
         if held is not None:
             yield done(held)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(solve), "a binary, b binary")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(solve), "a long, b long")
 
 
 def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -303,24 +308,26 @@ def links(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFr
     lists = inverted_lists(nodes)
     pairs, rows = first_pairs(lists)
     likely = common.stage_table(estimated(small_pairs(lists).unionByName(pairs).groupBy("a", "b").agg(F.max("m").alias("m")), nodes), "pairs")
-    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("sig")), df, id_col, text_col, nodes)
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")), df, id_col, text_col, nodes)
     comps = common.stage_table(graph.components(verified(likely, sets)), "components")
+    common.discard(likely, sets)
     rows = open_lists(rows, comps)
+    common.discard(lists)
     if not rows.take(1):
         return comps
-    sets = sets_of(rows.select("sig"), df, id_col, text_col, nodes)
-    rows = open_lists(rows.join(_able(sets), "sig", "left_semi").select("value", "sig", "n"), comps)
+    sets = sets_of(rows.select("node"), df, id_col, text_col, nodes)
+    rows = open_lists(rows.join(_able(sets), "node", "left_semi").select("value", "node", "n"), comps)
     found = block_links(_families(rows, sets))
     return common.stage_table(graph.components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
 
 
 def _nodes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and (sig, min_id, first, comp) of all nodes; first is the node's row of the smallest id and text hash, NULL ids last."""
+    """The sketches of all rows, and (node, sig, min_id, first, comp) of all nodes, which are numbered as their table is written; first is the node's row of the smallest id and text hash, NULL ids last."""
     rows = common.stage_table(sketches(df, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    nodes = common.stage_table(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("min_id"), first, F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = common.stage_table(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("min_id"), first, F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     comps = links(df, id_col, text_col, nodes)
-    return rows, nodes.select("sig", "min_id", "first").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    return rows, nodes.select("node", "sig", "min_id", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -92,6 +92,18 @@ def test_near_duplicates_through_pivots_and_blocks_only(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_keep_no_superseded_tables_and_name_nodes_by_numbers(spark):
+    common.release(spark)
+    rows = list(enumerate(near_copies(9, 80, 12, 3) + near_copies(10, 80, 40, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
+    assert got == plain_components(rows)
+    left = [os.path.basename(p).partition("-")[0] for p in common._STAGED]
+    assert {"lists", "sizes", "pairs"}.isdisjoint(left) and left.count("stars") <= 3  # the last of each search
+    named = [p for p in common._STAGED if os.path.basename(p).startswith(("stars", "components"))]
+    assert named and all(kind == "bigint" for p in named for _, kind in spark.read.parquet(p).dtypes)
+
+
 def test_near_duplicates_of_one_large_family_with_strays_and_of_shared_passages(spark):
     rnd = random.Random(21)
     rows = list(enumerate(near_copies(22, 70, 700, 9)))
