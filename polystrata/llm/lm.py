@@ -44,7 +44,8 @@ BASE_BYTES = 100_000_000
 #: Training bytes of a task: its tables are gathered once for so many, however finely the input is split.
 TASK_BYTES = 32 << 20
 _MIXER = -1
-_MINI = 1 << 14
+#: Items of one step of the mixer; items whose log-odds are held at once; places of a piece.
+_MINI, _PART, _PIECE = 1 << 14, 1 << 18, 1 << 17
 _SCALE = 1024.0
 
 
@@ -59,8 +60,22 @@ _LEAST = table_sizes(0)
 _LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_GAPS = np.isin(np.arange(256), (0, 9, 10, 11, 12, 13, 32))
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of their keys but for the keys' low bits."""
+    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    order = keys & ~low
+    for at in range(0, len(keys), _PIECE):
+        order[at : at + _PIECE] |= np.arange(at, min(len(keys), at + _PIECE), dtype=np.uint64)
+    order.sort()
+    order &= low
+    return order.astype(np.int32)
+
+
 class Items:
-    """The distinct (contexts, byte) of a slice, their number, and the item of every place."""
+    """The distinct (contexts, byte) of a slice, sorted by the bytes before, their number, and the item of every place."""
 
     def __init__(self, texts: list[bytes], want_places: bool = False):
         # Zero bytes before each text keep its contexts apart from the text before it; the one after it is its end.
@@ -71,50 +86,55 @@ class Items:
         self.text_starts = np.cumsum(sizes) - sizes
         n = len(buf)
         b, last = buf[_PAD:], np.ndarray((n - _PAD,), "<u8", joined, 0, (1,))  # the eight bytes before each place
-        start = np.arange(1, n + 1, dtype=np.int32)
-        start[~((buf == 0) | (buf == 32) | ((buf >= 9) & (buf <= 13)))] = 0
-        start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]]).astype(np.int32)
-        letter = np.arange(n, dtype=np.int32)
-        letter -= start
-        letter &= 63
-        letter <<= 8
-        letter |= buf
+        start = np.arange(n + 1, dtype=np.int32)
+        start[1:][~_GAPS[buf]] = 0
+        np.maximum.accumulate(start, out=start)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTERS[letter], out=total[1:])
-        del letter
-        word = total[_PAD:-1] - total[start[_PAD:]]
-        del total, start
-        keys = (last >> np.uint64(16)) * np.uint64(0x8CB92BA72F3D8DD7)
-        keys += word * np.uint64(0xD1B54A32D192ED03)
-        keys += b * np.uint64(0xEB44ACCAB455D165)
-        keys ^= keys >> np.uint64(32)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
         scored = np.ones(n - _PAD, bool)
         scored[((self.text_starts + np.arange(len(texts)) * _PAD)[1:, None] - np.arange(1, _PAD + 1)).ravel()] = False
-        at = np.flatnonzero(scored).astype(np.int32)
-        keys = keys[at]
+        # Long arrays are filled piece by piece, without whole ones for what is between.
+        for low in range(0, n, _PIECE):
+            high = min(n, low + _PIECE)
+            letter = ((np.arange(low, high, dtype=np.int32) - start[low:high]) & 63) << 8 | buf[low:high]
+            np.cumsum(_LETTERS[letter], out=total[low + 1 : high + 1])
+            total[low + 1 : high + 1] += total[low]
+        keys, done = np.empty(int(sizes.sum()), np.uint64), 0
+        for low in range(0, n - _PAD, _PIECE):
+            piece = slice(low, min(n - _PAD, low + _PIECE))
+            key = (last[piece] >> np.uint64(16)) * np.uint64(0x8CB92BA72F3D8DD7)
+            key += (total[_PAD:-1][piece] - total[start[_PAD:-1][piece]]) * np.uint64(0xD1B54A32D192ED03)
+            key += b[piece] * np.uint64(0xEB44ACCAB455D165)
+            key ^= key >> np.uint64(32)
+            key *= np.uint64(0xBF58476D1CE4E5B9)
+            key = key[scored[piece]]
+            keys[done : done + len(key)] = key
+            done += len(key)
         # Sorting keys whose low bits hold the place is several times faster than an argsort; equal keys still meet.
-        low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
-        order = keys & ~low
-        order |= np.arange(len(keys), dtype=np.uint64)
-        order.sort()
-        order &= low
-        order = order.astype(np.int32)
-        keys = keys[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        order = _order(keys)
+        new = np.ones(len(order), bool)
+        for low in range(1, len(order), _PIECE):
+            run = keys[order[low - 1 : low + _PIECE]]
+            new[low : low + _PIECE] = run[1:] != run[:-1]
         del keys
         first = np.flatnonzero(new)
-        self.counts = np.diff(np.concatenate([first, [len(order)]]))
+        own = np.flatnonzero(scored)[order[first]]
+        # Items of like contexts are neighbours, so that what is read or counted for one is in the cache for the next.
+        near = _order(last[own])
+        self.counts = np.diff(np.concatenate([first, [len(order)]]))[near]
         if want_places:
+            rank = np.empty(len(near), np.int32)
+            rank[near] = np.arange(len(near), dtype=np.int32)
             self.places = np.empty(len(order), np.int32)
-            self.places[order] = np.cumsum(new, dtype=np.int32) - 1
-        at = at[order[first]]
-        self.byte, last, word = b[at].astype(np.int64), last[at].astype(np.uint64), word[at]
+            self.places[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new
+        own = own[near]
+        self.byte, last, word = b[own], last[own].astype(np.uint64), total[own + _PAD] - total[start[own + _PAD]]
+        del total, start
         self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((*(last >> np.uint64(64 - 8 * m) for m in (2, 3, 4, 6)), word))]
 
     def bits(self, part: slice, sizes: tuple[int, ...] = _LEAST):
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""
-        byte = self.byte[part]
+        byte = self.byte[part].astype(np.int64)
         for half in (0, 1):
             nibble = byte & 15 if half else byte >> 4
             lines = []
@@ -165,10 +185,12 @@ class Mixer:
 
     def learn(self, odds, j, bit, p, gate, cell, count) -> None:
         """One damped diagonal-Newton step per gate, and the adaptive map's counts."""
-        mine = (gate[:, None] == np.arange(16, dtype=np.int8)).astype(np.float32)
-        count32 = count.astype(np.float32)
-        error, slope = count32 * (bit - p).astype(np.float32), count32 * (p * (1 - p))
-        step = (odds * error) @ mine / ((odds * odds * slope) @ mine + 50)
+        mine = (gate == np.arange(16, dtype=np.int8)[:, None]).astype(np.float32)
+        error, slope = count.astype(np.float32), p * (1 - p)
+        slope *= error
+        error *= bit - p
+        both = np.concatenate([odds * error, odds * (odds * slope)]) @ mine.T
+        step = both[: _K + 1] / (both[_K + 1 :] + 50)
         self.weights[:, j * 16 : j * 16 + 16] += 0.05 * step
         self.seen += np.bincount(cell * 2 + bit, count, 512 * _BUCKETS).reshape(-1, 2)
 
@@ -192,11 +214,30 @@ class _Counts:
         return out
 
     def add(self, items: Items) -> None:
-        high = items.counts << 32
-        for _, _, bit, slots in items.bits(slice(None), self.sizes):
-            value = np.where(bit == 1, items.counts, high)
-            for k in range(_K):
-                np.add.at(self.tables[k], slots[k], value)
+        for low in range(0, len(items.counts), _PART):
+            part = slice(low, low + _PART)
+            count = items.counts[part]
+            high = count << 32
+            for _, _, bit, slots in items.bits(part, self.sizes):
+                value = np.where(bit == 1, count, high)
+                for k in range(_K):
+                    np.add.at(self.tables[k], slots[k], value)
+
+
+def _fit(items: Items, counts: _Counts, mixer: Mixer) -> None:
+    """Predict the items from the counts and correct the mixer; each step and part takes items from all over the slice."""
+    parts = -(-len(items.counts) // _PART)
+    for at in range(parts):
+        part = slice(at, None, parts)
+        count = items.counts[part]
+        steps = -(-len(count) // _MINI)
+        for j, node, bit, slots in items.bits(part, counts.sizes):
+            odds = counts.odds(slots)
+            for k in range(steps):
+                own = slice(k, None, steps)
+                some = np.ascontiguousarray(odds[:, own])
+                p, gate, cell = mixer.predict(some, j, node[own])
+                mixer.learn(some, j, bit[own], p, gate, cell, count[own])
 
 
 def _ramp(ends: np.ndarray, size: int):
@@ -215,14 +256,10 @@ def _train(batches, sizes: tuple[int, ...]):
         _, ends = common.byte_rows(batch.column(0))
         for start, stop, size in _ramp(ends, size):
             items = Items(batch.column(0).slice(start, stop - start).to_pylist())
-            for low in range(0, len(items.counts), _MINI):
-                part = slice(low, low + _MINI)
-                for j, node, bit, slots in items.bits(part, sizes):
-                    odds = counts.odds(slots)
-                    p, gate, cell = mixer.predict(odds, j, node)
-                    mixer.learn(odds, j, bit, p, gate, cell, items.counts[part])
+            _fit(items, counts, mixer)
             counts.add(items)
             bits += int(items.counts.sum()) * 8
+            del items  # before the next slice's are made
     if not bits:
         return
     state = np.concatenate([[bits], mixer.weights.astype(np.float64).ravel() * bits, mixer.seen.ravel()])

@@ -119,9 +119,10 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                 for at in range(start, stop, BLOCK_DOCS):
                     n = min(BLOCK_DOCS, stop - at)
                     block = task << 32 | next(serial)
+                    own = texts.slice(at, n).to_pylist()
+                    measures = pa.nulls(n, pa.float64()) if measure is None else pa.array(measure(own))  # before the block's terms are held
                     memo: dict = defaultdict(itertools.count().__next__)
                     code, parts, sizes = memo.__getitem__, [], np.zeros(n, np.int64)
-                    own = texts.slice(at, n).to_pylist()
                     for k, text in enumerate(own):
                         found = np.fromiter(map(code, terms_of(text)), np.int32)
                         parts.append(found)
@@ -129,7 +130,6 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                     words = [t.encode() if isinstance(t, str) else t for t in memo]
                     for bucket, columns in _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), words, weights[at : at + n], buckets):
                         yield row(bucket, block, *columns, None, None, None)
-                    measures = pa.nulls(n, pa.float64()) if measure is None else pa.array(measure(own))
                     held = pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(sizes), pa.array(np.diff(ends[at : at + n + 1])), pa.array(weights[at : at + n].astype(np.int32)), measures], schema=arrow)
                     kept = weights[at : at + n] == 1
                     yield row(block % buckets, block, 0, *[None] * 6, held.serialize().to_pybytes(), int(sizes[kept].sum()), int(kept.sum()))

@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -163,6 +164,33 @@ def test_language_model_has_contexts_of_two_three_four_and_six_bytes():
     assert [len(np.unique(h)) for h in items.hashes[:-1]] == want
 
 
+def test_language_model_slices_take_little_memory():
+    """What a slice takes beside the tables, in bytes a byte of text; predicting, learning and counting each place once."""
+    rnd = random.Random(7)
+    words = [bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(20000)]
+    texts = [b" ".join(rnd.choices(words, k=500)) for _ in range(700)]
+    n_bytes = sum(map(len, texts))
+    assert n_bytes > 2 << 20
+    counts, mixer = lm._Counts(lm._LEAST), lm.Mixer()
+    tracemalloc.start()
+    try:
+        items = lm.Items(texts)
+        counts.add(items)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 * n_bytes
+    assert items.counts.sum() == n_bytes + len(texts)
+    for table in counts.tables:
+        assert int((table & 0xFFFFFFFF).sum() + (table >> 32).sum()) == 8 * (n_bytes + len(texts))
+    before = mixer.weights.copy()
+    lm._fit(items, counts, mixer)
+    assert int(mixer.seen.sum()) == 8 * (n_bytes + len(texts)) and (mixer.weights != before).any()
+    # every place finds the item of its byte
+    some = lm.Items(texts[:50], True)
+    assert some.byte[some.places].tobytes() == b"".join(t + b"\0" for t in texts[:50])
+
+
 def test_language_model_counts_of_many_tasks_do_not_overflow():
     zeros, ones = 1_500_000_000, 1_000_000_000
     data = np.full(16, zeros << 32 | ones, np.int64).tobytes()
