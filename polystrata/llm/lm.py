@@ -25,6 +25,8 @@ one without training rows, gives its rows scores from an untrained model.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +46,10 @@ BASE_BYTES = 100_000_000
 #: Training bytes of a task: its tables are gathered once for so many, however finely the input is split.
 TASK_BYTES = 32 << 20
 _MIXER = -1
-#: Items of one step of the mixer; items whose log-odds are held at once; places of a piece.
-_MINI, _PART, _PIECE = 1 << 14, 1 << 18, 1 << 17
+#: Items of one step of the mixer, and of a part; items whose log-odds are held at once; places of a piece; lines whose log-odds are made at once.
+_MINI, _PART, _MOST, _PIECE, _LINES = 1 << 14, 1 << 16, 1 << 21, 1 << 17, 1 << 13
+#: Items whose scores a worker remembers from slice to slice.
+_MET = 1 << 21
 _SCALE = 1024.0
 
 
@@ -74,10 +78,18 @@ def _order(keys: np.ndarray) -> np.ndarray:
     return order.astype(np.int32)
 
 
+#: What a line's hash takes from the byte's first half.
+_HALVES = np.arange(1, 17, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Items:
-    """The distinct (contexts, byte) of a slice, sorted by the bytes before, their number, and the item of every place."""
+    """The distinct (contexts, byte) of a slice, sorted by the bytes before, their number, and the item of every place.
 
-    def __init__(self, texts: list[bytes], want_places: bool = False):
+    Those whose key is among the sorted keys ``met`` are left out: ``known`` has
+    their places there, and counts on after the items.
+    """
+
+    def __init__(self, texts: list[bytes], want_places: bool = False, met: np.ndarray | None = None):
         # Zero bytes before each text keep its contexts apart from the text before it; the one after it is its end.
         gap = bytes(_PAD + 1)
         joined = gap[:_PAD] + gap.join(texts).lower() + gap[:1]
@@ -98,58 +110,97 @@ class Items:
             letter = ((np.arange(low, high, dtype=np.int32) - start[low:high]) & 63) << 8 | buf[low:high]
             np.cumsum(_LETTERS[letter], out=total[low + 1 : high + 1])
             total[low + 1 : high + 1] += total[low]
-        keys, done = np.empty(int(sizes.sum()), np.uint64), 0
+        n_places, done = int(sizes.sum()), 0
+        keys, words, at = np.empty(n_places, np.uint64), np.empty(n_places, np.uint64), np.empty(n_places, np.int32)
         for low in range(0, n - _PAD, _PIECE):
             piece = slice(low, min(n - _PAD, low + _PIECE))
-            key = (last[piece] >> np.uint64(16)) * np.uint64(0x8CB92BA72F3D8DD7)
-            key += (total[_PAD:-1][piece] - total[start[_PAD:-1][piece]]) * np.uint64(0xD1B54A32D192ED03)
+            word = total[_PAD:-1][piece] - total.take(start[_PAD:-1][piece])
+            key = last[piece] >> np.uint64(16)
+            key *= np.uint64(0x8CB92BA72F3D8DD7)
+            key += word * np.uint64(0xD1B54A32D192ED03)
             key += b[piece] * np.uint64(0xEB44ACCAB455D165)
             key ^= key >> np.uint64(32)
             key *= np.uint64(0xBF58476D1CE4E5B9)
-            key = key[scored[piece]]
-            keys[done : done + len(key)] = key
-            done += len(key)
+            own = np.flatnonzero(scored[piece])
+            high = done + len(own)
+            key.take(own, out=keys[done:high], mode="clip")
+            word.take(own, out=words[done:high], mode="clip")
+            at[done:high] = own
+            at[done:high] += low
+            done = high
+        del total, start, scored
         # Sorting keys whose low bits hold the place is several times faster than an argsort; equal keys still meet.
         order = _order(keys)
         new = np.ones(len(order), bool)
         for low in range(1, len(order), _PIECE):
-            run = keys[order[low - 1 : low + _PIECE]]
-            new[low : low + _PIECE] = run[1:] != run[:-1]
-        del keys
+            run = keys.take(order[low - 1 : low + _PIECE])
+            np.not_equal(run[1:], run[:-1], out=new[low : low + _PIECE])
         first = np.flatnonzero(new)
-        own = np.flatnonzero(scored)[order[first]]
+        own = order.take(first)
+        counts, fresh = np.diff(first, append=n_places), slice(None)
+        if met is not None:
+            self.keys = keys.take(own)
+            found = np.searchsorted(met, self.keys)
+            old = met.take(found, mode="clip") == self.keys if len(met) else np.zeros(len(own), bool)
+            fresh, self.known = np.flatnonzero(~old), found[old]
+            own, counts, self.keys = own[fresh], counts[fresh], self.keys[fresh]
+        del keys
+        places = at.take(own)
+        del at
         # Items of like contexts are neighbours, so that what is read or counted for one is in the cache for the next.
-        near = _order(last[own])
-        self.counts = np.diff(np.concatenate([first, [len(order)]]))[near]
+        near = _order(last[places])
+        self.counts = counts.take(near)
         if want_places:
-            rank = np.empty(len(near), np.int32)
-            rank[near] = np.arange(len(near), dtype=np.int32)
-            self.places = np.empty(len(order), np.int32)
-            self.places[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+            rank, own_rank = np.empty(len(first), np.int32), np.empty(len(near), np.int32)
+            own_rank[near] = np.arange(len(near), dtype=np.int32)
+            rank[fresh] = own_rank
+            if met is not None:
+                self.keys = self.keys.take(near)
+                rank[old] = np.arange(len(near), len(first), dtype=np.int32)
+            self.places = np.empty(n_places, np.int32)
+            self.places[order] = rank.take(np.cumsum(new, dtype=np.int32) - 1)
         del order, new
-        own = own[near]
-        self.byte, last, word = b[own], last[own].astype(np.uint64), total[own + _PAD] - total[start[own + _PAD]]
-        del total, start
-        self.hashes = [common.mix64((c + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56)) for k, c in enumerate((*(last >> np.uint64(64 - 8 * m) for m in (2, 3, 4, 6)), word))]
+        word, places = words.take(own.take(near)), places.take(near)
+        del words, own, near, first
+        self.byte, last = b.take(places), last[places]
+        self.hashes = [np.empty(len(places), np.uint64) for _ in range(_K)]
+        for low in range(0, len(places), _MINI):
+            piece = slice(low, low + _MINI)
+            for k, m in enumerate((2, 3, 4, 6, None)):
+                h = last[piece] >> np.uint64(64 - 8 * m) if m else word[piece]
+                self.hashes[k][piece] = common.mix64((h + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56))
+
+    def lines(self, part: slice, sizes: tuple[int, ...], half: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The nibble of one half of the byte, and the predictors' lines (their first slots)."""
+        byte, lines = self.byte[part], []
+        for k, h in enumerate(self.hashes):
+            if half:
+                h = h[part] + _HALVES.take(byte >> 4)
+                h *= np.uint64(0xC2B2AE3D27D4EB4F)
+                h >>= np.uint64(32)
+            else:
+                h = h[part] >> np.uint64(32)
+            h *= np.uint64(sizes[k] >> 4)
+            h >>= np.uint64(32)
+            h <<= np.uint64(4)
+            lines.append(h.view(np.int64))
+        return (byte & 15 if half else byte >> 4).astype(np.int64), lines
 
     def bits(self, part: slice, sizes: tuple[int, ...] = _LEAST):
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""
         byte = self.byte[part].astype(np.int64)
         for half in (0, 1):
-            nibble = byte & 15 if half else byte >> 4
-            lines = []
-            for k, h in enumerate(self.hashes):
-                h = h[part]
-                if half:
-                    h = (h + ((byte >> 4) + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                lines.append(((h >> np.uint64(32)) * np.uint64(sizes[k] >> 4) >> np.uint64(32) << np.uint64(4)).astype(np.int64))
+            nibble, lines = self.lines(part, sizes, half)
             for j in range(4):
                 node = (1 << j) | (nibble >> (4 - j))
                 yield half * 4 + j, (byte >> (8 - half * 4 - j)) | (1 << (half * 4 + j)), (nibble >> (3 - j)) & 1, [line + node for line in lines]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-z))
+    p = np.negative(z)
+    np.exp(p, out=p)
+    p += 1
+    return np.divide(1, p, out=p)
 
 
 class Mixer:
@@ -164,80 +215,174 @@ class Mixer:
         n = self.seen.sum(1) + 20
         self._slope, self._base = (0.5 + 10 / n).astype(np.float32), (self.seen[:, 1] / n / 2).astype(np.float32)
 
-    def predict(self, odds: np.ndarray, j: int, node: np.ndarray):
-        """(mixed probability of a one, gate of this bit, cell of the adaptive map)."""
-        gate = np.zeros(len(odds[0]), np.int8)
-        for k in (_K - 1, _K - 2):  # how sure the word and the longest context are
-            sure = np.abs(odds[k])
-            gate = gate * 4 + (sure > 0) + (sure > 2.5) + (sure > 4.5)
-        at = gate.astype(np.intp)
-        own = self.weights[:, j * 16 : j * 16 + 16]
-        z = own[_K][at]
+    def predict(self, odds: list[np.ndarray], j: int, node: np.ndarray, one: float = 1):
+        """(mixed probability of a one, gate of this bit, cell of the adaptive map) from log-odds in units of 1 / ``one``."""
+        gate = _gates(odds[_K - 1], odds[_K - 2], one)
+        own = self.weights[:, j * 16 : j * 16 + 16].T / np.float32([one] * _K + [1])
+        own = own.take(gate, axis=0)  # a gate's weights are neighbours
+        z = own[:, _K].copy()
         for k in range(_K):
-            z += own[k][at] * odds[k]
+            z += own[:, k] * odds[k]
         np.clip(z, -14, 14, out=z)
-        cell = node * _BUCKETS + np.clip(np.rint(z * 2) + _BUCKETS // 2, 0, _BUCKETS - 1).astype(np.int64)
-        return _sigmoid(z), gate, cell
+        return _sigmoid(z), gate, _cells(z, node).astype(np.intp)
 
     def refine(self, p: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """The mean of the mixed probability and of what the adaptive map saw at its cell (as of when the mixer was made)."""
-        return np.clip(p * self._slope[cell] + self._base[cell], 1e-6, 1 - 1e-6)
-
-    def learn(self, odds, j, bit, p, gate, cell, count) -> None:
-        """One damped diagonal-Newton step per gate, and the adaptive map's counts."""
-        mine = (gate == np.arange(16, dtype=np.int8)[:, None]).astype(np.float32)
-        error, slope = count.astype(np.float32), p * (1 - p)
-        slope *= error
-        error *= bit - p
-        both = np.concatenate([odds * error, odds * (odds * slope)]) @ mine.T
-        step = both[: _K + 1] / (both[_K + 1 :] + 50)
-        self.weights[:, j * 16 : j * 16 + 16] += 0.05 * step
-        self.seen += np.bincount(cell * 2 + bit, count, 512 * _BUCKETS).reshape(-1, 2)
+        out = self._slope.take(cell)
+        out *= p
+        out += self._base.take(cell)
+        return np.clip(out, 1e-6, 1 - 1e-6, out=out)
+
+    def learn(self, odds: np.ndarray, bounds: list[int], j: int, bit: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Mixed log-odds of items that are sorted by gate (from ``bounds``), then one damped diagonal-Newton step per gate; squares ``odds``."""
+        own, both = self.weights[:, j * 16 : j * 16 + 16], np.zeros((2, _K + 1, 16), np.float32)
+        by_gate, z = np.ascontiguousarray(own.T), np.empty(len(bit), np.float32)
+        of_gate = [(g, a, b) for g, (a, b) in enumerate(itertools.pairwise(bounds)) if a < b]
+        for g, a, b in of_gate:
+            np.dot(by_gate[g], odds[:, a:b], out=z[a:b])
+        np.clip(z, -14, 14, out=z)
+        p = _sigmoid(z)
+        error = bit - p
+        error *= count
+        for g, a, b in of_gate:
+            both[0, :, g] = np.dot(odds[:, a:b], error[a:b])
+        np.subtract(1, p, out=error)
+        p *= error
+        p *= count
+        np.multiply(odds, odds, out=odds)
+        for g, a, b in of_gate:
+            both[1, :, g] = np.dot(odds[:, a:b], p[a:b])
+        own += 0.05 * (both[0] / (both[1] + 50))
+        return z
+
+
+def _gates(word: np.ndarray, longest: np.ndarray, one: float = 1) -> np.ndarray:
+    """The gate of log-odds in units of 1 / ``one``: how sure the word and the longest context are."""
+    gate = np.zeros(len(word), np.int8)
+    for odds in (word, longest):
+        sure = np.abs(odds)
+        gate *= 4
+        for least in (0, 2.5 * one, 4.5 * one):
+            gate += sure > odds.dtype.type(least)
+    return gate
+
+
+def _cells(z: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Cells of the adaptive map, as numbers that a float holds."""
+    cell = z * 2
+    np.rint(cell, out=cell)
+    cell += _BUCKETS // 2
+    np.clip(cell, 0, _BUCKETS - 1, out=cell)
+    cell += np.multiply(node, np.float32(_BUCKETS), dtype=np.float32)
+    return cell
 
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones.astype(np.float32) + np.float32(0.1)) / (zeros.astype(np.float32) + np.float32(0.1)))
 
 
+def _stored(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log-odds as tables hold them."""
+    return np.rint(np.clip(_odds(zeros, ones) * _SCALE, -30000, 30000)).astype(np.int16)
+
+
 class _Counts:
-    """Counts of zeros (high half) and ones (low half) of all predictors' slots."""
+    """Counts and log-odds of all predictors' lines.
 
-    def __init__(self, sizes: tuple[int, ...]):
-        self.sizes, self.tables = sizes, [np.zeros(size, np.int64) for size in sizes]
+    A line counts the 16 values of the half byte; zeros and ones of its 15 slots
+    are sums of these.  Log-odds are as of the last items that were added.
+    """
 
-    def odds(self, slots: list[np.ndarray]) -> np.ndarray:
-        """A row of log-odds per predictor, and a row of ones."""
-        out = np.ones((_K + 1, len(slots[0])), np.float32)
-        for k in range(_K):
-            held = self.tables[k][slots[k]].view(np.int32)
-            out[k] = _odds(held[1::2], held[::2])
+    def __init__(self, sizes: tuple[int, ...]):
+        self.sizes, self.values, self.logs = sizes, [np.zeros(size, np.int32) for size in sizes], [np.zeros(size, np.int16) for size in sizes]
+
+    @staticmethod
+    def _slots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones (slot, line) of lines' counts (line, value); slot 0 is not used."""
+        sums = np.ascontiguousarray(values.reshape(-1, 16).T)
+        zeros, ones = np.zeros_like(sums), np.zeros_like(sums)
+        for n in (8, 4, 2, 1):
+            zeros[n : 2 * n], ones[n : 2 * n] = sums[::2], sums[1::2]
+            sums = sums[::2] + sums[1::2]
+        return zeros, ones
+
+    def slots(self, k: int, low: int, high: int) -> np.ndarray:
+        """Counts of zeros (high half) and ones (low half) of a predictor's slots, whole lines."""
+        zeros, ones = self._slots(self.values[k][low:high])
+        return (zeros.astype(np.int64) << 32 | ones).T.ravel()
+
+    @property
+    def tables(self) -> list[np.ndarray]:
+        return [self.slots(k, 0, size) for k, size in enumerate(self.sizes)]
+
+    def look(self, items: Items, some: slice, parts: int, half: int) -> np.ndarray:
+        """Stored log-odds (bit, predictor, part, item) for the four bits of a half byte; every ``parts``-th item belongs to one part."""
+        start, stop, stride = some.indices(len(items.counts))
+        n, rows = len(range(start, stop, stride)), _MINI // parts + 1
+        out = np.empty((4, _K, parts, -(-n // parts)), np.int16)
+        held = np.zeros(rows * parts, np.int16)
+        for row in range(0, out.shape[3], rows):
+            # items are met in their order, and a line is read for its four bits while it is in the cache
+            low = row * parts
+            nibble, lines = items.lines(slice(start + low * stride, min(stop, start + (low + len(held)) * stride), stride), self.sizes, half)
+            for j in range(4):
+                node = (1 << j) | (nibble >> (4 - j))
+                for k, line in enumerate(lines):
+                    self.logs[k].take(line + node, out=held[: len(node)], mode="clip")
+                    out[j, k, :, row : row + rows] = held.reshape(rows, parts).T[:, : out.shape[3] - row]
         return out
 
     def add(self, items: Items) -> None:
-        for low in range(0, len(items.counts), _PART):
-            part = slice(low, low + _PART)
-            count = items.counts[part]
-            high = count << 32
-            for _, _, bit, slots in items.bits(part, self.sizes):
-                value = np.where(bit == 1, count, high)
-                for k in range(_K):
-                    np.add.at(self.tables[k], slots[k], value)
+        met = [np.zeros(size >> 4, bool) for size in self.sizes]
+        for low in range(0, len(items.counts), _MINI):
+            part = slice(low, low + _MINI)
+            count = items.counts[part].astype(np.int32)
+            for half in (0, 1):
+                nibble, lines = items.lines(part, self.sizes, half)
+                for k, line in enumerate(lines):
+                    met[k][line >> 4] = True
+                    line += nibble
+                    np.add.at(self.values[k], line, count)
+        for k in range(_K):
+            values, logs, lines = self.values[k].reshape(-1, 16), self.logs[k].reshape(-1, 16), np.flatnonzero(met[k])
+            for low in range(0, len(lines), _LINES):
+                own = lines[low : low + _LINES]
+                logs[own] = _stored(*self._slots(values[own])).T
 
 
 def _fit(items: Items, counts: _Counts, mixer: Mixer) -> None:
     """Predict the items from the counts and correct the mixer; each step and part takes items from all over the slice."""
-    parts = -(-len(items.counts) // _PART)
-    for at in range(parts):
-        part = slice(at, None, parts)
-        count = items.counts[part]
-        steps = -(-len(count) // _MINI)
-        for j, node, bit, slots in items.bits(part, counts.sizes):
-            odds = counts.odds(slots)
-            for k in range(steps):
-                own = slice(k, None, steps)
-                some = np.ascontiguousarray(odds[:, own])
-                p, gate, cell = mixer.predict(some, j, node[own])
-                mixer.learn(some, j, bit[own], p, gate, cell, count[own])
+    stride = -(-len(items.counts) // _MOST)
+    for first in range(stride):
+        whole = slice(first, None, stride)
+        all_counts, all_bytes = items.counts[whole], items.byte[whole]
+        parts = -(-len(all_counts) // _PART)
+        for half in (0, 1):
+            logs = counts.look(items, whole, parts, half)
+            for at in range(parts):
+                count, byte = all_counts[at::parts].astype(np.float32), all_bytes[at::parts].astype(np.int16)
+                n = len(count)
+                steps = -(-n // _MINI)
+                step = np.tile(np.arange(steps, dtype=np.int16) * 16, _MINI)[:n]
+                for j in range(half * 4, half * 4 + 4):
+                    own, prefix = logs[j - half * 4, :, at, :n], (byte | 256) >> 7 - j
+                    # A gate doesn't depend on weights, so items of all steps are sorted at once, by step and gate.
+                    key = step + _gates(own[_K - 1], own[_K - 2], _SCALE)
+                    order = np.argsort(key, kind="stable")
+                    bounds = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=16 * steps))])
+                    for k in range(steps):
+                        ends = bounds[16 * k : 16 * k + 17]
+                        some = order[ends[0] : ends[-1]]
+                        odds = np.ones((_K + 1, len(some)), np.float32)
+                        for i in range(_K):
+                            np.multiply(own[i].take(some), np.float32(1 / _SCALE), out=odds[i])
+                        so_far, weight = prefix.take(some), count.take(some)
+                        bit = (so_far & 1).astype(np.float32)
+                        cell = _cells(mixer.learn(odds, (ends - ends[0]).tolist(), j, bit, weight), so_far >> 1)
+                        cell -= _BUCKETS << j  # only this bit's nodes
+                        cell *= 2
+                        cell += bit
+                        mixer.seen[_BUCKETS << j : _BUCKETS << j + 1] += np.bincount(cell.astype(np.intp), weight, _BUCKETS << j + 1).reshape(-1, 2)
 
 
 def _ramp(ends: np.ndarray, size: int):
@@ -265,10 +410,10 @@ def _train(batches, sizes: tuple[int, ...]):
     state = np.concatenate([[bits], mixer.weights.astype(np.float64).ravel() * bits, mixer.seen.ravel()])
     yield pa.RecordBatch.from_arrays([pa.array([_MIXER], pa.int32()), pa.array([state.tobytes()], pa.binary())], names=["chunk", "data"])
     chunk = 0
-    for table in counts.tables:
-        for low in range(0, len(table), _CHUNK):
-            if table[low : low + _CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([table[low : low + _CHUNK].tobytes()], pa.binary())], names=["chunk", "data"])
+    for k, size in enumerate(sizes):
+        for low in range(0, size, _CHUNK):
+            if counts.values[k][low : low + _CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.slots(k, low, low + _CHUNK).tobytes()], pa.binary())], names=["chunk", "data"])
             chunk += 1
 
 
@@ -283,7 +428,7 @@ def _sum_chunks(batches):
         if at == _MIXER:
             data = held.tobytes()
         else:
-            data = np.rint(np.clip(_odds(*held) * _SCALE, -30000, 30000)).astype(np.int16).tobytes()
+            data = _stored(*held).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
     for batch in batches:
@@ -315,23 +460,37 @@ class Model:
             else:
                 flat[chunk * _CHUNK : chunk * _CHUNK + len(data) // 2] = np.frombuffer(data, np.int16)
         self.tables = np.split(flat, np.cumsum(sizes)[:-1])
+        #: Keys of items that were scored, sorted, and their scores.
+        self._met, self._logs = np.zeros(0, np.uint64), np.zeros(0)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text (and its end)."""
         out, ends = [], np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         for start, stop in common.slices(ends, SLICE):
-            items = Items(texts[start:stop], True)
-            logs = np.zeros(len(items.counts))
+            items = Items(texts[start:stop], True, self._met)
+            logs = np.ones(len(items.counts))  # probabilities: eight are at least 1e-48
             for low in range(0, len(logs), _MINI):
                 part = slice(low, low + _MINI)
                 for j, node, bit, slots in items.bits(part, self.sizes):
-                    odds = [self.tables[k][slots[k]] * np.float32(1 / _SCALE) for k in range(_K)]
-                    p, _, cell = self.mixer.predict(odds, j, node)
+                    odds = [table.take(slot) for table, slot in zip(self.tables, slots, strict=True)]
+                    p, _, cell = self.mixer.predict(odds, j, node, _SCALE)
                     p = self.mixer.refine(p, cell)
-                    logs[part] += np.log10(np.where(bit == 1, p, 1 - p))
-            out.append(np.add.reduceat(logs[items.places], items.text_starts))
+                    logs[part] *= np.abs(bit - 1 + p)
+            np.log10(logs, out=logs)
+            both = np.concatenate([logs, self._logs[items.known]])
+            out.append(np.add.reduceat(both.take(items.places), items.text_starts))
+            keys = items.keys
+            del items, both
+            self._keep(keys, logs)
         return np.concatenate(out) if out else np.zeros(0)
 
+    def _keep(self, keys: np.ndarray, logs: np.ndarray) -> None:
+        """Remember scores, or these alone where all would be too many."""
+        if len(keys) + len(self._met) <= _MET:
+            keys, logs = np.concatenate([self._met, keys]), np.concatenate([self._logs, logs])
+        order = np.argsort(keys)
+        self._met, self._logs = keys.take(order[:_MET]), logs.take(order[:_MET])
+
 
 def train(texts: DataFrame) -> Model:
     """Train on all rows of a one-column table of UTF-8 bytes."""

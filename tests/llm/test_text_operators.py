@@ -209,3 +209,70 @@ def test_language_model_tables_grow_with_the_corpus():
     slots = [np.stack([s[k] for _, _, _, s in items.bits(slice(None), more)]) for k in range(len(more))]
     assert all(s.min() >= 0 and s.max() < size for s, size in zip(slots, more, strict=True))
     assert all(s.max() > size * 0.9 for s, size in zip(slots, more, strict=True))
+
+
+def some_texts(seed, n):
+    rnd = random.Random(seed)
+    words = [bytes(rnd.choices(b"abcdefghij", k=rnd.randint(1, 7))) for _ in range(300)]
+    return [b" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(n)]
+
+
+def test_language_model_predicts_an_item_once(monkeypatch):
+    """Items that a worker met in an earlier slice are not predicted again, and forgetting them changes nothing."""
+    texts, sizes = some_texts(11, 80), []
+    predict = lm.Mixer.predict
+
+    def counted(self, odds, *more):
+        sizes.append(len(odds[0]))
+        return predict(self, odds, *more)
+
+    def model():
+        made = lm.Model([])
+        for k, table in enumerate(made.tables):
+            table[:] = np.random.default_rng(k).integers(-4000, 4000, len(table))
+        return made
+
+    want = [model().score([t])[0] for t in texts[:20]]
+    monkeypatch.setattr(lm.Mixer, "predict", counted)
+    monkeypatch.setattr(lm, "SLICE", 2000)
+    own = model()
+    first = own.score(texts)
+    assert sum(sizes) == 8 * len(lm.Items(texts).counts)
+    sizes.clear()
+    assert np.array_equal(own.score(texts[::-1])[::-1], first) and not sum(sizes)
+    assert np.allclose(first[:20], want, rtol=1e-6)
+    monkeypatch.setattr(lm, "_MET", 500)
+    assert np.allclose(model().score(texts), first, rtol=1e-12)
+
+
+def test_language_model_counts_and_learns_like_plain_python():
+    counts, mixer = lm._Counts(lm._LEAST), lm.Mixer()
+    items = lm.Items(some_texts(12, 60))
+    counts.add(items)
+    seen, tables = [Counter() for _ in lm.BITS], counts.tables
+    for _, _, bit, slots in items.bits(slice(None)):
+        for k, own in enumerate(slots):
+            for slot, b, c in zip(own.tolist(), bit.tolist(), items.counts.tolist(), strict=True):
+                seen[k][slot] += c if b else c << 32
+    for k, table in enumerate(tables):
+        assert {int(s): int(table[s]) for s in np.flatnonzero(table)} == seen[k]
+    more = lm.Items(some_texts(13, 60))
+    assert len(more.counts) < lm._MINI
+    lm._fit(more, counts, mixer)
+    want, cells = lm.Mixer().weights.astype(float), Counter()
+    start = want.copy()
+    for j, node, bit, slots in more.bits(slice(None)):
+        grad, curve = np.zeros((6, 16)), np.zeros((6, 16))
+        zeros, ones = ([(t[s] >> 32 if high else t[s] & 0xFFFFFFFF) for t, s in zip(tables, slots, strict=True)] for high in (True, False))
+        for at in range(len(bit)):
+            odds = [round(math.log((o[at] + 0.1) / (z[at] + 0.1)) * 1024) / 1024 for z, o in zip(zeros, ones, strict=True)] + [1.0]
+            gate = sum(unit * (abs(odds[k]) > t) for k, unit in ((4, 4), (3, 1)) for t in (0, 2.5, 4.5))
+            z = max(-14.0, min(14.0, sum(w * o for w, o in zip(start[:, j * 16 + gate], odds, strict=True))))
+            p, c = 1 / (1 + math.exp(-z)), int(more.counts[at])
+            grad[:, gate] += [c * (int(bit[at]) - p) * o for o in odds]
+            curve[:, gate] += [c * p * (1 - p) * o * o for o in odds]
+            cells[int(node[at]), int(bit[at])] += c
+        want[:, j * 16 : j * 16 + 16] += 0.05 * grad / (curve + 50)
+    assert np.allclose(mixer.weights, want, atol=1e-4) and np.abs(want - start).max() > 0.01
+    got = mixer.seen.reshape(256, lm._BUCKETS, 2).sum(1)
+    assert {(n, b): int(got[n, b]) for n in range(256) for b in (0, 1) if got[n, b]} == cells
