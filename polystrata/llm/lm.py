@@ -347,7 +347,7 @@ class _Counts:
             values, logs, lines = self.values[k].reshape(-1, 16), self.logs[k].reshape(-1, 16), np.flatnonzero(met[k])
             for low in range(0, len(lines), _LINES):
                 own = lines[low : low + _LINES]
-                logs[own] = _stored(*self._slots(values[own])).T
+                logs[own] = np.ascontiguousarray(_stored(*self._slots(values.take(own, axis=0))).T)
 
 
 def _fit(items: Items, counts: _Counts, mixer: Mixer) -> None:
@@ -486,10 +486,12 @@ class Model:
 
     def _keep(self, keys: np.ndarray, logs: np.ndarray) -> None:
         """Remember scores, or these alone where all would be too many."""
+        order = np.argsort(keys)[:_MET]
+        keys, logs = keys.take(order), logs.take(order)
         if len(keys) + len(self._met) <= _MET:
-            keys, logs = np.concatenate([self._met, keys]), np.concatenate([self._logs, logs])
-        order = np.argsort(keys)
-        self._met, self._logs = keys.take(order[:_MET]), logs.take(order[:_MET])
+            at = np.searchsorted(self._met, keys)
+            keys, logs = np.insert(self._met, at, keys), np.insert(self._logs, at, logs)
+        self._met, self._logs = keys, logs
 
 
 def train(texts: DataFrame) -> Model:
