@@ -48,8 +48,8 @@ TASK_BYTES = 32 << 20
 _MIXER = -1
 #: Items of one step of the mixer, and of a part; items whose log-odds are held at once; places of a piece; lines whose log-odds are made at once.
 _MINI, _PART, _MOST, _PIECE, _LINES = 1 << 14, 1 << 16, 1 << 21, 1 << 17, 1 << 13
-#: Items whose scores a worker remembers from slice to slice.
-_MET = 1 << 21
+#: Items whose scores a worker remembers from slice to slice, in numbers of 16 bytes; most bytes of a slice that is scored.
+_MET, _PAIR, _SCORED = 1 << 22, np.complex128, 1 << 21
 _SCALE = 1024.0
 
 
@@ -64,18 +64,16 @@ _LEAST = table_sizes(0)
 _LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_GAPS = np.isin(np.arange(256), (0, 9, 10, 11, 12, 13, 32))
+#: How an item's place in the order takes bits of the four bytes before it: six of the last, five, four and three of the others.
+_NEAR = tuple((np.uint64(mask), np.uint64(by)) for mask, by in ((0x3F << 56, 2), (0x1F << 48, 5), (0x0F << 40, 9), (0x07 << 32, 14)))
 
+#: White space, which ends words.
+_SPACE = b"\t\n\v\f\r "
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    """Places in the order of their keys but for the keys' low bits."""
-    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
-    order = keys & ~low
-    for at in range(0, len(keys), _PIECE):
-        order[at : at + _PIECE] |= np.arange(at, min(len(keys), at + _PIECE), dtype=np.uint64)
-    order.sort()
-    order &= low
-    return order.astype(np.int32)
+
+def _spaces(buf: np.ndarray) -> np.ndarray:
+    """Where white space is."""
+    return ((buf - np.uint8(9)) < np.uint8(5)) | (buf == np.uint8(32))
 
 
 #: What a line's hash takes from the byte's first half.
@@ -83,104 +81,144 @@ _HALVES = np.arange(1, 17, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 class Items:
-    """The distinct (contexts, byte) of a slice, sorted by the bytes before, their number, and the item of every place.
+    """The distinct (contexts, byte) of a slice, those of like contexts together, their number, and the item of every place.
+
+    Items from one of ``heads`` up to the next share contexts and the byte's first
+    half; ``head_counts`` has their numbers, ``head_of`` the head of each item.
 
-    Those whose key is among the sorted keys ``met`` are left out: ``known`` has
-    their places there, and counts on after the items.
+    ``find`` gives the scores of a run of keys, and whether each is known.  Known
+    places make no items: their scores are in ``logs``, and ``fresh`` has the others.
     """
 
-    def __init__(self, texts: list[bytes], want_places: bool = False, met: np.ndarray | None = None):
+    def __init__(self, texts: list[bytes], want_places: bool = False, find=None):
         # Zero bytes before each text keep its contexts apart from the text before it; the one after it is its end.
         gap = bytes(_PAD + 1)
         joined = gap[:_PAD] + gap.join(texts).lower() + gap[:1]
         buf = np.frombuffer(joined, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.text_starts = np.cumsum(sizes) - sizes
+        #: The texts' first places; before each but the first are the zero bytes, at the places ``pads``.
+        self.text_starts = np.cumsum(sizes) - sizes + np.arange(len(texts)) * _PAD
+        self.pads = (self.text_starts[1:, None] - np.arange(_PAD, 0, -1)).ravel()
         n = len(buf)
         b, last = buf[_PAD:], np.ndarray((n - _PAD,), "<u8", joined, 0, (1,))  # the eight bytes before each place
-        start = np.arange(n + 1, dtype=np.int32)
-        start[1:][~_GAPS[buf]] = 0
-        np.maximum.accumulate(start, out=start)
-        total = np.zeros(n + 1, np.uint64)
-        scored = np.ones(n - _PAD, bool)
-        scored[((self.text_starts + np.arange(len(texts)) * _PAD)[1:, None] - np.arange(1, _PAD + 1)).ravel()] = False
+        start, total = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint64)
         # Long arrays are filled piece by piece, without whole ones for what is between.
         for low in range(0, n, _PIECE):
             high = min(n, low + _PIECE)
-            letter = ((np.arange(low, high, dtype=np.int32) - start[low:high]) & 63) << 8 | buf[low:high]
-            np.cumsum(_LETTERS[letter], out=total[low + 1 : high + 1])
-            total[low + 1 : high + 1] += total[low]
-        n_places, done = int(sizes.sum()), 0
-        keys, words, at = np.empty(n_places, np.uint64), np.empty(n_places, np.uint64), np.empty(n_places, np.int32)
-        for low in range(0, n - _PAD, _PIECE):
-            piece = slice(low, min(n - _PAD, low + _PIECE))
-            word = total[_PAD:-1][piece] - total.take(start[_PAD:-1][piece])
+            piece, letter = buf[low:high], np.arange(low, high, dtype=np.int32)
+            after = (letter + np.int32(1)) * (_spaces(piece) | (piece == 0))
+            np.maximum(after[:1], start[low : low + 1], out=after[:1])
+            np.maximum.accumulate(after, out=start[low + 1 : high + 1])
+            letter -= start[low:high]
+            letter &= 63
+            letter <<= 8
+            letter |= piece
+            own = _LETTERS.take(letter)
+            own[:1] += total[low : low + 1]
+            np.cumsum(own, out=total[low + 1 : high + 1])
+        n -= _PAD
+        shift = n.bit_length()
+        place_bits, byte_bits, rest = np.uint64(shift), np.uint64(shift + 8), np.uint64(min(shift + 26, 63))
+        keys, order, at, done = [], [], [], 0
+        if find is not None:
+            self.logs = np.zeros(n + _PAD)  # zeros after every text, so that its sum is the same anywhere
+        else:
+            keys, order = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for low in range(0, n, _PIECE):
+            piece = slice(low, min(n, low + _PIECE))
+            like = total[_PAD:-1][piece] - total.take(start[_PAD:-1][piece])
+            like *= np.uint64(0xD1B54A32D192ED03)
             key = last[piece] >> np.uint64(16)
             key *= np.uint64(0x8CB92BA72F3D8DD7)
-            key += word * np.uint64(0xD1B54A32D192ED03)
-            key += b[piece] * np.uint64(0xEB44ACCAB455D165)
-            key ^= key >> np.uint64(32)
-            key *= np.uint64(0xBF58476D1CE4E5B9)
-            own = np.flatnonzero(scored[piece])
-            high = done + len(own)
-            key.take(own, out=keys[done:high], mode="clip")
-            word.take(own, out=words[done:high], mode="clip")
-            at[done:high] = own
-            at[done:high] += low
-            done = high
-        del total, start, scored
-        # Sorting keys whose low bits hold the place is several times faster than an argsort; equal keys still meet.
-        order = _order(keys)
+            like += key
+            like ^= like >> np.uint64(32)
+            like *= np.uint64(0xBF58476D1CE4E5B9)
+            byte = b[piece].astype(np.uint64)
+            np.multiply(byte, np.uint64(0xEB44ACCAB455D165), out=key)
+            key += like
+            key |= np.uint64(1)  # zero is no key
+            # In the order of (parts of) the bytes before, contexts, byte and place: sorting such numbers is several times
+            # faster than an argsort, and what is read or counted for an item is in the cache for the next.
+            like >>= rest
+            like <<= byte_bits
+            byte <<= place_bits
+            like |= byte
+            for mask, by in _NEAR:
+                before = last[piece] & mask
+                before <<= by
+                like |= before
+            if find is None:
+                keys[piece] = key
+                like |= np.arange(piece.start, piece.stop, dtype=np.uint64)
+                order[piece] = like
+                continue
+            known = find(key, self.logs[piece])
+            known[self.pads[slice(*np.searchsorted(self.pads, (piece.start, piece.stop)))] - low] = True
+            fresh = np.flatnonzero(~known)
+            keys.append(key.take(fresh))
+            order.append(like.take(fresh) | np.arange(done, done + len(fresh), dtype=np.uint64))
+            at.append((fresh + low).astype(np.int32))
+            done += len(fresh)
+        if find is None:
+            order[self.pads] = ~np.uint64(0)
+        else:
+            keys, order, self.fresh = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (order, np.uint64), (at, np.int32)))
+            self.logs[self.pads] = 0
+        order.sort()
+        if find is None:
+            order = order[: n - len(self.pads)]
+        order &= np.uint64((1 << shift) - 1)
+        order = order.astype(np.int32)
         new = np.ones(len(order), bool)
         for low in range(1, len(order), _PIECE):
             run = keys.take(order[low - 1 : low + _PIECE])
             np.not_equal(run[1:], run[:-1], out=new[low : low + _PIECE])
         first = np.flatnonzero(new)
+        self.counts = np.diff(first, append=len(order))
         own = order.take(first)
-        counts, fresh = np.diff(first, append=n_places), slice(None)
-        if met is not None:
+        if find is not None:
             self.keys = keys.take(own)
-            found = np.searchsorted(met, self.keys)
-            old = met.take(found, mode="clip") == self.keys if len(met) else np.zeros(len(own), bool)
-            fresh, self.known = np.flatnonzero(~old), found[old]
-            own, counts, self.keys = own[fresh], counts[fresh], self.keys[fresh]
         del keys
-        places = at.take(own)
-        del at
-        # Items of like contexts are neighbours, so that what is read or counted for one is in the cache for the next.
-        near = _order(last[places])
-        self.counts = counts.take(near)
         if want_places:
-            rank, own_rank = np.empty(len(first), np.int32), np.empty(len(near), np.int32)
-            own_rank[near] = np.arange(len(near), dtype=np.int32)
-            rank[fresh] = own_rank
-            if met is not None:
-                self.keys = self.keys.take(near)
-                rank[old] = np.arange(len(near), len(first), dtype=np.int32)
-            self.places = np.empty(n_places, np.int32)
-            self.places[order] = rank.take(np.cumsum(new, dtype=np.int32) - 1)
-        del order, new
-        word, places = words.take(own.take(near)), places.take(near)
-        del words, own, near, first
+            places = np.zeros(n if find is None else len(order), np.int32)
+            places[order] = np.cumsum(new, dtype=np.int32) - 1
+            self.places = np.delete(places, self.pads) if find is None else places
+        del order, new, first
+        places = own if find is None else self.fresh.take(own)
+        word = total.take(places + np.int32(_PAD))
+        word -= total.take(start.take(places + np.int32(_PAD)))
+        del total, start
         self.byte, last = b.take(places), last[places]
-        self.hashes = [np.empty(len(places), np.uint64) for _ in range(_K)]
-        for low in range(0, len(places), _MINI):
+        head = np.ones(len(places), bool)
+        for low in range(1, len(places), _PIECE):
+            some = slice(low - 1, low + _PIECE)
+            same = np.diff(last[some] >> np.uint64(16)) == 0
+            same &= np.diff(word[some]) == 0
+            same &= np.diff(self.byte[some] >> 4) == 0
+            head[low : low + _PIECE] = ~same
+        self.heads = np.flatnonzero(head).astype(np.int32)
+        self.head_counts = np.add.reduceat(self.counts, self.heads) if len(places) else self.counts
+        self.head_of = np.cumsum(head, dtype=np.int32) - np.int32(1)
+        last, word = last.take(self.heads), word.take(self.heads)
+        self.hashes = [np.empty(len(word), np.uint64) for _ in range(_K)]
+        for low in range(0, len(word), _MINI):
             piece = slice(low, low + _MINI)
             for k, m in enumerate((2, 3, 4, 6, None)):
                 h = last[piece] >> np.uint64(64 - 8 * m) if m else word[piece]
                 self.hashes[k][piece] = common.mix64((h + np.uint64(1)) * np.uint64(2 * k + 3) ^ np.uint64(k << 56))
 
-    def lines(self, part: slice, sizes: tuple[int, ...], half: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The nibble of one half of the byte, and the predictors' lines (their first slots)."""
-        byte, lines = self.byte[part], []
-        for k, h in enumerate(self.hashes):
+    def lines(self, part: slice | np.ndarray, sizes: tuple[int, ...], half: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The nibble of the byte's first half and the predictors' lines (their first slots) of some heads, or of the second half of some items."""
+        byte, lines = (self.byte[part] if half else self.byte.take(self.heads[part])), []
+        if half:
+            part, halves = self.head_of[part].astype(np.intp), _HALVES.take(byte >> 4)
+        for size, h in zip(sizes, self.hashes, strict=True):
+            h = h.take(part) if isinstance(part, np.ndarray) else h[part].copy()
             if half:
-                h = h[part] + _HALVES.take(byte >> 4)
+                h += halves
                 h *= np.uint64(0xC2B2AE3D27D4EB4F)
-                h >>= np.uint64(32)
-            else:
-                h = h[part] >> np.uint64(32)
-            h *= np.uint64(sizes[k] >> 4)
+            h >>= np.uint64(32)
+            h *= np.uint64(size >> 4)
             h >>= np.uint64(32)
             h <<= np.uint64(4)
             lines.append(h.view(np.int64))
@@ -190,7 +228,7 @@ class Items:
         """For each of the eight bits: its place, the bits so far with a leading one, the bit, the predictors' slots."""
         byte = self.byte[part].astype(np.int64)
         for half in (0, 1):
-            nibble, lines = self.lines(part, sizes, half)
+            nibble, lines = self.lines(part if half else self.head_of[part].astype(np.intp), sizes, half)
             for j in range(4):
                 node = (1 << j) | (nibble >> (4 - j))
                 yield half * 4 + j, (byte >> (8 - half * 4 - j)) | (1 << (half * 4 + j)), (nibble >> (3 - j)) & 1, [line + node for line in lines]
@@ -316,28 +354,34 @@ class _Counts:
         return [self.slots(k, 0, size) for k, size in enumerate(self.sizes)]
 
     def look(self, items: Items, some: slice, parts: int, half: int) -> np.ndarray:
-        """Stored log-odds (bit, predictor, part, item) for the four bits of a half byte; every ``parts``-th item belongs to one part."""
-        start, stop, stride = some.indices(len(items.counts))
-        n, rows = len(range(start, stop, stride)), _MINI // parts + 1
+        """Stored log-odds (bit, predictor, part, item) for the four bits of a half byte; every ``parts``-th item belongs to one part.
+
+        ``some`` are places among the heads for the first half, which their items share, or among the items.
+        """
+        all_places = range(*some.indices(len(items.counts if half else items.heads)))
+        n, rows = len(all_places), _MINI // parts + 1
         out = np.empty((4, _K, parts, -(-n // parts)), np.int16)
-        held = np.zeros(rows * parts, np.int16)
+        held = np.empty(rows * parts, np.int16)
+        by_part = np.arange(rows * parts).reshape(rows, parts).T.ravel()
         for row in range(0, out.shape[3], rows):
-            # items are met in their order, and a line is read for its four bits while it is in the cache
-            low = row * parts
-            nibble, lines = items.lines(slice(start + low * stride, min(stop, start + (low + len(held)) * stride), stride), self.sizes, half)
+            # items are met nearly in their order, and a line is read for its four bits while it is in the cache
+            own = np.minimum(by_part + row * parts, n - 1)
+            own *= all_places.step
+            own += all_places.start
+            nibble, lines = items.lines(own, self.sizes, half)
             for j in range(4):
                 node = (1 << j) | (nibble >> (4 - j))
                 for k, line in enumerate(lines):
-                    self.logs[k].take(line + node, out=held[: len(node)], mode="clip")
-                    out[j, k, :, row : row + rows] = held.reshape(rows, parts).T[:, : out.shape[3] - row]
+                    self.logs[k].take(line + node, out=held, mode="clip")
+                    out[j, k, :, row : row + rows] = held.reshape(parts, rows)[:, : out.shape[3] - row]
         return out
 
     def add(self, items: Items) -> None:
         met = [np.zeros(size >> 4, bool) for size in self.sizes]
-        for low in range(0, len(items.counts), _MINI):
-            part = slice(low, low + _MINI)
-            count = items.counts[part].astype(np.int32)
-            for half in (0, 1):
+        for half, counts in enumerate((items.head_counts, items.counts)):
+            for low in range(0, len(counts), _MINI):
+                part = slice(low, low + _MINI)
+                count = counts[part].astype(np.int32)
                 nibble, lines = items.lines(part, self.sizes, half)
                 for k, line in enumerate(lines):
                     met[k][line >> 4] = True
@@ -351,19 +395,24 @@ class _Counts:
 
 
 def _fit(items: Items, counts: _Counts, mixer: Mixer) -> None:
-    """Predict the items from the counts and correct the mixer; each step and part takes items from all over the slice."""
+    """Predict the items from the counts and correct the mixer; each step and part takes items from all over the slice.
+
+    For the first half of the byte, items that share it and their contexts are
+    one with their number; steps are as many as for the items.
+    """
     stride = -(-len(items.counts) // _MOST)
     for first in range(stride):
         whole = slice(first, None, stride)
-        all_counts, all_bytes = items.counts[whole], items.byte[whole]
-        parts = -(-len(all_counts) // _PART)
+        n_items = len(items.counts[whole])
+        parts = -(-n_items // _PART)
         for half in (0, 1):
             logs = counts.look(items, whole, parts, half)
+            all_counts, all_bytes = (items.counts[whole], items.byte[whole]) if half else (items.head_counts[whole], items.byte.take(items.heads[whole]))
             for at in range(parts):
                 count, byte = all_counts[at::parts].astype(np.float32), all_bytes[at::parts].astype(np.int16)
                 n = len(count)
-                steps = -(-n // _MINI)
-                step = np.tile(np.arange(steps, dtype=np.int16) * 16, _MINI)[:n]
+                steps = -(-len(range(at, n_items, parts)) // _MINI)
+                step = np.tile(np.arange(steps, dtype=np.int16) * 16, -(-n // steps))[:n]
                 for j in range(half * 4, half * 4 + 4):
                     own, prefix = logs[j - half * 4, :, at, :n], (byte | 256) >> 7 - j
                     # A gate doesn't depend on weights, so items of all steps are sorted at once, by step and gate.
@@ -413,33 +462,37 @@ def _train(batches, sizes: tuple[int, ...]):
     for k, size in enumerate(sizes):
         for low in range(0, size, _CHUNK):
             if counts.values[k][low : low + _CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.slots(k, low, low + _CHUNK).tobytes()], pa.binary())], names=["chunk", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.values[k][low : low + _CHUNK].tobytes()], pa.binary())], names=["chunk", "data"])
             chunk += 1
 
 
-def _sum_chunks(batches):
+def _sum_chunks(batches, lines: bool = False):
     """Sum the rows of each chunk, one row at a time: rows of a chunk come together.
 
-    A task's zeros and ones fit 32 bits each; their sums over tasks are 64 bits wide.
+    A row has the slots' zeros and ones, or the lines' counts of half bytes, from
+    which zeros and ones follow.  A task's numbers fit 32 bits each; their sums
+    over tasks are 64 bits wide.
     """
     at, held = None, None
 
     def out():
         if at == _MIXER:
             data = held.tobytes()
+        elif lines:
+            data = np.ascontiguousarray(_stored(*_Counts._slots(held)).T).tobytes()
         else:
             data = _stored(*held).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
     for batch in batches:
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            row = np.frombuffer(data.as_buffer(), np.float64 if chunk == _MIXER else np.int64)
-            if chunk != _MIXER:
+            row = np.frombuffer(data.as_buffer(), np.float64 if chunk == _MIXER else np.int32 if lines else np.int64)
+            if chunk != _MIXER and not lines:
                 row = np.stack([row >> 32, row & 0xFFFFFFFF])
             if chunk != at:
                 if at is not None:
                     yield out()
-                at, held = chunk, row.copy()
+                at, held = chunk, row.astype(np.float64 if chunk == _MIXER else np.int64)
             else:
                 held += row
     if at is not None:
@@ -460,14 +513,16 @@ class Model:
             else:
                 flat[chunk * _CHUNK : chunk * _CHUNK + len(data) // 2] = np.frombuffer(data, np.int16)
         self.tables = np.split(flat, np.cumsum(sizes)[:-1])
-        #: Keys of items that were scored, sorted, and their scores.
-        self._met, self._logs = np.zeros(0, np.uint64), np.zeros(0)
+        #: (key, score) of items that were scored (key 0: none), at one of two neighbours that the key gives; made by the first call.
+        self._met = None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text (and its end)."""
         out, ends = [], np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        for start, stop in common.slices(ends, SLICE):
-            items = Items(texts[start:stop], True, self._met)
+        if self._met is None:
+            self._met = np.zeros(_MET, _PAIR)
+        for start, stop in common.slices(ends, min(SLICE, _SCORED)):
+            items = Items(texts[start:stop], True, self._find)
             logs = np.ones(len(items.counts))  # probabilities: eight are at least 1e-48
             for low in range(0, len(logs), _MINI):
                 part = slice(low, low + _MINI)
@@ -477,21 +532,44 @@ class Model:
                     p = self.mixer.refine(p, cell)
                     logs[part] *= np.abs(bit - 1 + p)
             np.log10(logs, out=logs)
-            both = np.concatenate([logs, self._logs[items.known]])
-            out.append(np.add.reduceat(both.take(items.places), items.text_starts))
-            keys = items.keys
-            del items, both
-            self._keep(keys, logs)
+            items.logs[items.fresh] = logs.take(items.places)
+            out.append(np.add.reduceat(items.logs, items.text_starts))
+            self._keep(items.keys, logs)
+            del items
         return np.concatenate(out) if out else np.zeros(0)
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """The first of the two neighbours where a key's score may be."""
+        at = keys >> np.uint64(32)
+        at *= np.uint64(_MET >> 1)
+        at >>= np.uint64(32)
+        at <<= np.uint64(1)
+        return at.view(np.int64)
+
+    def _find(self, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Whether each key's score is remembered; writes scores to ``logs``."""
+        at = self._places(keys)
+        pairs = self._met.take(at)  # a key and its score are one number for NumPy, and so come together
+        known = pairs.view(np.uint64)[::2] == keys
+        logs[:] = pairs.view(np.float64)[1::2]
+        others = np.flatnonzero(~known)
+        pairs = self._met.take(at.take(others) + 1)
+        found = np.flatnonzero(pairs.view(np.uint64)[::2] == keys.take(others))
+        others = others.take(found)
+        known[others] = True
+        logs[others] = pairs.view(np.float64)[1::2].take(found)
+        return known
+
     def _keep(self, keys: np.ndarray, logs: np.ndarray) -> None:
-        """Remember scores, or these alone where all would be too many."""
-        order = np.argsort(keys)[:_MET]
-        keys, logs = keys.take(order), logs.take(order)
-        if len(keys) + len(self._met) <= _MET:
-            at = np.searchsorted(self._met, keys)
-            keys, logs = np.insert(self._met, at, keys), np.insert(self._logs, at, logs)
-        self._met, self._logs = keys, logs
+        """Remember scores: at the first place if it is free, or else at the second instead of what was there."""
+        met = self._met.view(np.uint64)[::2]
+        pairs = np.empty(len(keys), _PAIR)
+        pairs.view(np.uint64)[::2], pairs.view(np.float64)[1::2] = keys, logs
+        at = self._places(keys)
+        free = np.flatnonzero(met.take(at) == 0)
+        self._met[at.take(free)] = pairs.take(free)
+        others = np.flatnonzero(met.take(at) != keys)
+        self._met[at.take(others) + 1] = pairs.take(others)
 
 
 def train(texts: DataFrame) -> Model:
@@ -501,12 +579,19 @@ def train(texts: DataFrame) -> Model:
     # Merging splits moves no rows; small ones would each send tables of their own.
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
     learned = texts.coalesce(tasks).mapInArrow(common.tidy(lambda batches: _train(batches, sizes)), "chunk int, data binary")
-    summed = learned.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.tidy(_sum_chunks), "chunk int, data binary")
+    summed = learned.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.tidy(lambda batches: _sum_chunks(batches, True)), "chunk int, data binary")
     return Model([(r.chunk, bytes(r.data)) for r in summed.collect()], sizes)  # the tables alone
 
 
-def _words(raw: bytes) -> list[bytes]:
-    return raw.lower().split()  # bytes: A-Z, and white space 09-0D and 20
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word among the distinct ones, words of each text, distinct words); words end at 09-0D and 20."""
+    joined = b" ".join([*texts, b""]).lower()  # bytes: A-Z
+    space = _spaces(np.frombuffer(joined, np.uint8))  # each text ends in one
+    edges = np.flatnonzero(np.concatenate([~space[:1], space[1:] != space[:-1]]))
+    starts, ends = edges[::2], edges[1::2]
+    words = common.binary_array(np.frombuffer(joined.translate(None, _SPACE), np.uint8), np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]])))
+    return words.indices.to_numpy(), sizes, words.dictionary
 
 
 def scores(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -516,7 +601,7 @@ def scores(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> Da
     """
     learn = (F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("int")
     model = spark.sparkContext.broadcast(train(df.where(learn == 1).select(common.utf8(text_col).alias("text"))))
-    packed = postings.build(df, id_col, text_col, lambda: _words, weight=learn, measure=lambda texts: model.value.score(texts))
+    packed = postings.build(df, id_col, text_col, lambda: _words, whole=True, weight=learn, measure=lambda texts: model.value.score(texts))
 
     def logs(_, counts: np.ndarray) -> np.ndarray:
         return np.stack([np.log10(counts + 0.1), counts > 0], 1)

@@ -16,7 +16,6 @@ another source that is read again in the same order.
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -56,45 +55,72 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * shift, start)
 
 
-def _pack(codes: np.ndarray, docs: np.ndarray, words: list[bytes], weights: np.ndarray, buckets: int):
+#: A random number for each (place in a term modulo 64, byte): a term's hash is the sum over its bytes.
+_LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _buckets(terms: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each term, which follows from its bytes alone."""
+    raw, ends = common.byte_rows(terms)
+    total, start = np.zeros(len(raw) + 1, np.uint64), np.repeat(ends[:-1], np.diff(ends))
+    np.cumsum(_LETTERS.take((np.arange(len(raw)) - start & 63) << 8 | raw), out=total[1:])
+    return (common.mix64(total.take(ends[1:]) - total.take(ends[:-1])) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pack(codes: np.ndarray, docs: np.ndarray, terms: pa.Array, weights: np.ndarray, buckets: int):
     """(bucket, columns of a packed row) for each bucket that has terms, from a (term, document) pair per occurrence."""
-    if not words:
+    if not len(terms):
         return
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    bucket = _buckets(terms, buckets)
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
+    bucket, (raw, ends) = bucket[order], common.byte_rows(terms.take(pa.array(order)))
+    rank = np.empty(len(terms), np.int64)
+    rank[order] = np.arange(len(terms))
     keys = np.sort(rank[codes] << 16 | docs)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     freq = np.diff(np.concatenate([first, [len(keys)]]))
     term, doc = keys[first] >> 16, keys[first] & 0xFFFF
-    weight = np.bincount(term, freq * weights[doc], len(words)).astype(np.int64)
+    weight = np.bincount(term, freq * weights[doc], len(terms)).astype(np.int64)
     step, heads, more = np.diff(doc, prepend=0), np.concatenate([[True], term[1:] != term[:-1]]), freq > 1
     step[heads] = doc[heads]
     posts, post_ends = _varints(step * 2 + more)
     freqs, freq_ends = _varints(freq[more])
-    bounds = np.concatenate([np.flatnonzero(np.diff(bucket[order], prepend=-1)), [len(words)]])
+    bounds = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(terms)]])
     at = np.concatenate([[0], post_ends])[np.searchsorted(term, bounds)]
     fat = np.concatenate([[0], freq_ends])[np.searchsorted(term[more], bounds)]
-    count = np.bincount(term, minlength=len(words))
+    count = np.bincount(term, minlength=len(terms))
     for k in range(len(bounds) - 1):
         low, high = bounds[k], bounds[k + 1]
-        mine = [words[j] for j in order[low:high]]
-        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
-        yield int(bucket[order[low]]), (len(mine), _varints(sizes)[0].tobytes(), b"".join(mine), _varints(count[low:high])[0].tobytes(), posts[at[k] : at[k + 1]].tobytes(), freqs[fat[k] : fat[k + 1]].tobytes(), _varints(weight[low:high])[0].tobytes())
+        yield int(bucket[low]), (int(high - low), _varints(np.diff(ends[low : high + 1]))[0].tobytes(), raw[ends[low] : ends[high]].tobytes(), _varints(count[low:high])[0].tobytes(), posts[at[k] : at[k + 1]].tobytes(), freqs[fat[k] : fat[k + 1]].tobytes(), _varints(weight[low:high])[0].tobytes())
 
 
 def _info_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("id", id_type), T.StructField("n_terms", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("doc_weight", T.IntegerType()), T.StructField("measure", T.DoubleType())])
 
 
-def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[bytes], list]], weight: Column | None = None, measure: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
+def _each(terms_of: Callable[[bytes], list]) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """A function of a block's texts, from one of a text."""
+
+    def terms(texts):
+        memo: dict = defaultdict(itertools.count().__next__)
+        code, parts, sizes = memo.__getitem__, [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            found = np.fromiter(map(code, terms_of(text)), np.int32)
+            parts.append(found)
+            sizes[k] = len(found)
+        return np.concatenate(parts), sizes, pa.array([t.encode() if isinstance(t, str) else t for t in memo], pa.binary())
+
+    return terms
+
+
+def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable], whole: bool = False, weight: Column | None = None, measure: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
     """Packed rows of ``df``.
 
     ``split()`` runs once per task and gives a function from a text's bytes to
-    its terms (bytes or str).  ``weight``: 0 or 1 by document; a term's weight is
-    its frequency over documents of weight 1.  ``measure`` gives a number for
-    each of a list of texts, kept with the documents.
+    its terms (bytes or str), or with ``whole`` from a block's texts to (number of
+    each term among the distinct ones, terms of each text, distinct terms).  ``weight``: 0 or 1 by document; a term's weight is its frequency over
+    documents of weight 1.  ``measure`` gives a number for each of a list of
+    texts, kept with the documents.
     """
     info = _info_schema(df.schema[id_col].dataType)
     weight = F.lit(1) if weight is None else weight
@@ -105,7 +131,7 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, terms_of = to_arrow_schema(info), split()
+        arrow, terms_of = to_arrow_schema(info), split() if whole else _each(split())
         types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
         task, serial = TaskContext.get().partitionId(), itertools.count()
 
@@ -121,14 +147,8 @@ def build(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callabl
                     block = task << 32 | next(serial)
                     own = texts.slice(at, n).to_pylist()
                     measures = pa.nulls(n, pa.float64()) if measure is None else pa.array(measure(own))  # before the block's terms are held
-                    memo: dict = defaultdict(itertools.count().__next__)
-                    code, parts, sizes = memo.__getitem__, [], np.zeros(n, np.int64)
-                    for k, text in enumerate(own):
-                        found = np.fromiter(map(code, terms_of(text)), np.int32)
-                        parts.append(found)
-                        sizes[k] = len(found)
-                    words = [t.encode() if isinstance(t, str) else t for t in memo]
-                    for bucket, columns in _pack(np.concatenate(parts), np.repeat(np.arange(n), sizes), words, weights[at : at + n], buckets):
+                    codes, sizes, terms = terms_of(own)
+                    for bucket, columns in _pack(codes, np.repeat(np.arange(n), sizes), terms, weights[at : at + n], buckets):
                         yield row(bucket, block, *columns, None, None, None)
                     held = pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(sizes), pa.array(np.diff(ends[at : at + n + 1])), pa.array(weights[at : at + n].astype(np.int32)), measures], schema=arrow)
                     kept = weights[at : at + n] == 1

@@ -276,3 +276,51 @@ def test_language_model_counts_and_learns_like_plain_python():
     assert np.allclose(mixer.weights, want, atol=1e-4) and np.abs(want - start).max() > 0.01
     got = mixer.seen.reshape(256, lm._BUCKETS, 2).sum(1)
     assert {(n, b): int(got[n, b]) for n in range(256) for b in (0, 1) if got[n, b]} == cells
+
+
+def test_language_model_learns_the_first_half_of_a_byte_once_for_like_items(monkeypatch):
+    texts, sizes = some_texts(14, 200), []
+    items = lm.Items(texts)
+    padded = [bytes(8) + t + b"\0" for t in texts]
+    want = Counter((t[k - 6 : k], re.split(rb"[\s\0]", t[:k])[-1], t[k] >> 4) for t in padded for k in range(8, len(t)))
+    assert len(items.heads) == len(want) < 0.9 * len(items.counts)
+    assert sorted(items.head_counts.tolist()) == sorted(want.values())
+    learn = lm.Mixer.learn
+
+    def counted(self, odds, bounds, j, bit, count):
+        sizes.append((j, len(bit), int(count.sum())))
+        return learn(self, odds, bounds, j, bit, count)
+
+    monkeypatch.setattr(lm.Mixer, "learn", counted)
+    lm._fit(items, lm._Counts(lm._LEAST), lm.Mixer())
+    for j in range(8):
+        own = [x for x in sizes if x[0] == j]
+        assert len(own) == -(-len(items.counts) // lm._MINI)  # as many steps as for the items
+        assert sum(n for _, n, _ in own) == len(items.counts if j > 3 else items.heads)
+        assert sum(n for _, _, n in own) == sum(len(t) + 1 for t in texts)
+
+
+def test_language_model_sends_four_bytes_a_slot():
+    """Tasks send counts of half bytes; log-odds of their sums are those of the zeros and ones, and do not overflow."""
+    texts, sizes = some_texts(15, 60), lm._LEAST
+    both = [list(lm._train([pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["text"])], sizes)) for own in (texts[:40], texts[40:])]
+    assert all(len(b.column(1)[0].as_py()) == 4 * lm._CHUNK for own in both for b in own[1:])
+    rows = sorted((b for own in both for b in own), key=lambda b: b.column(0)[0].as_py())
+    model = lm.Model([(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in lm._sum_chunks(rows, True)])
+    counts = lm._Counts(sizes)
+    for own in (texts[:40], texts[40:]):
+        counts.add(lm.Items(own))
+    assert all(np.array_equal(a, b) for a, b in zip(model.tables, counts.logs, strict=True))
+    data = np.full(16, 2_000_000_000, np.int32).tobytes()
+    (got,) = lm._sum_chunks([pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([data] * 3, pa.binary())], names=["chunk", "data"])], True)
+    assert not np.frombuffer(got.column(1)[0].as_py(), np.int16).any()  # as many zeros as ones
+
+
+def test_words_of_a_block():
+    texts = [b"", b" ", b"A b\x0bC\x0c a\x00\xc3\x84", b"\t\n", b"x" * 70 + b" b", b"\x1c\xc2\xa0 \x85", *some_texts(16, 30)]
+    codes, sizes, words = lm._words(texts)
+    words, at = words.to_pylist(), np.cumsum([0, *sizes])
+    assert [[words[c] for c in codes[a:b]] for a, b in zip(at, at[1:], strict=False)] == [re.findall(rb"[^\x20\x09-\x0d]+", t.lower()) for t in texts]
+    assert len(set(words)) == len(words)
+    none = lm._words([b"", b"\n"])
+    assert not len(none[0]) and none[1].tolist() == [0, 0] and not len(none[2])
