@@ -353,14 +353,16 @@ class _Counts:
     def tables(self) -> list[np.ndarray]:
         return [self.slots(k, 0, size) for k, size in enumerate(self.sizes)]
 
-    def look(self, items: Items, some: slice, parts: int, half: int) -> np.ndarray:
+    def look(self, items: Items, some: slice, parts: int, half: int, room: np.ndarray) -> np.ndarray:
         """Stored log-odds (bit, predictor, part, item) for the four bits of a half byte; every ``parts``-th item belongs to one part.
 
-        ``some`` are places among the heads for the first half, which their items share, or among the items.
+        ``some`` are places among the heads for the first half, which their items share, or among the items;
+        ``room`` holds the result.
         """
         all_places = range(*some.indices(len(items.counts if half else items.heads)))
         n, rows = len(all_places), _MINI // parts + 1
-        out = np.empty((4, _K, parts, -(-n // parts)), np.int16)
+        shape = (4, _K, parts, -(-n // parts))
+        out = room[: np.prod(shape)].reshape(shape)
         held = np.empty(rows * parts, np.int16)
         by_part = np.arange(rows * parts).reshape(rows, parts).T.ravel()
         for row in range(0, out.shape[3], rows):
@@ -405,8 +407,9 @@ def _fit(items: Items, counts: _Counts, mixer: Mixer) -> None:
         whole = slice(first, None, stride)
         n_items = len(items.counts[whole])
         parts = -(-n_items // _PART)
+        room = np.empty(4 * _K * (n_items + parts), np.int16)
         for half in (0, 1):
-            logs = counts.look(items, whole, parts, half)
+            logs = counts.look(items, whole, parts, half, room)
             all_counts, all_bytes = (items.counts[whole], items.byte[whole]) if half else (items.head_counts[whole], items.byte.take(items.heads[whole]))
             for at in range(parts):
                 count, byte = all_counts[at::parts].astype(np.float32), all_bytes[at::parts].astype(np.int16)
