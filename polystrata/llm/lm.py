@@ -63,7 +63,6 @@ _LEAST = table_sizes(0)
 #: A random number for each (place in a word modulo 64, byte): a word's hash is the sum over its bytes.
 _LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-
 #: How an item's place in the order takes bits of the four bytes before it: six of the last, five, four and three of the others.
 _NEAR = tuple((np.uint64(mask), np.uint64(by)) for mask, by in ((0x3F << 56, 2), (0x1F << 48, 5), (0x0F << 40, 9), (0x07 << 32, 14)))
 
@@ -565,13 +564,13 @@ class Model:
 
     def _keep(self, keys: np.ndarray, logs: np.ndarray) -> None:
         """Remember scores: at the first place if it is free, or else at the second instead of what was there."""
-        met = self._met.view(np.uint64)[::2]
+        met = self._met.view(np.uint64)  # keys at even places
         pairs = np.empty(len(keys), _PAIR)
         pairs.view(np.uint64)[::2], pairs.view(np.float64)[1::2] = keys, logs
         at = self._places(keys)
-        free = np.flatnonzero(met.take(at) == 0)
+        free = np.flatnonzero(met.take(at * 2) == 0)
         self._met[at.take(free)] = pairs.take(free)
-        others = np.flatnonzero(met.take(at) != keys)
+        others = np.flatnonzero(met.take(at * 2) != keys)
         self._met[at.take(others) + 1] = pairs.take(others)
 
 

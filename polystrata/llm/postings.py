@@ -16,6 +16,7 @@ another source that is read again in the same order.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -36,13 +37,17 @@ _SUMS = "block long, sums binary, info binary, tokens long, docs long"
 
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, end of each number) of numbers below 2**35, seven bits to a byte, the low ones first."""
-    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
-        has = np.flatnonzero(size > k)
-        out[(ends - size)[has] + k] = ((values[has] >> 7 * k) & 127) | ((size[has] > k + 1) << 7)
-    return out, ends
+    most = int(values.max()) if len(values) else 0
+    size, parts = np.ones(len(values), np.int64), np.empty((len(values), 1 + sum(most >= 1 << 7 * k for k in range(1, 5))), np.uint8)
+    has = np.ones(parts.shape, bool)
+    for k in range(parts.shape[1]):
+        rest = values >> 7 * k
+        more = rest >= 128
+        parts[:, k] = (rest & 127) | more.astype(np.uint8) << 7
+        if k + 1 < parts.shape[1]:
+            has[:, k + 1] = more
+            size += more
+    return parts[has], np.cumsum(size)
 
 
 def _numbers(raw: bytes) -> np.ndarray:
@@ -59,12 +64,23 @@ def _numbers(raw: bytes) -> np.ndarray:
 _LETTERS = common.mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of terms that are hashed at once; a longer term is hashed in another way.
+_RUN = 1 << 18
+
+
 def _buckets(terms: pa.Array, buckets: int) -> np.ndarray:
     """The bucket of each term, which follows from its bytes alone."""
     raw, ends = common.byte_rows(terms)
-    total, start = np.zeros(len(raw) + 1, np.uint64), np.repeat(ends[:-1], np.diff(ends))
-    np.cumsum(_LETTERS.take((np.arange(len(raw)) - start & 63) << 8 | raw), out=total[1:])
-    return (common.mix64(total.take(ends[1:]) - total.take(ends[:-1])) % np.uint64(buckets)).astype(np.int64)
+    out = np.zeros(len(terms), np.uint64)
+    for low, high in common.slices(ends, _RUN):
+        own, at = raw[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
+        if len(own) > _RUN:
+            out[low] = zlib.crc32(own)
+            continue
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_LETTERS.take((np.arange(len(own)) - np.repeat(at[:-1], np.diff(at)) & 63) << 8 | own), out=total[1:])
+        out[low:high] = common.mix64(total.take(at[1:]) - total.take(at[:-1]))
+    return (out % np.uint64(buckets)).astype(np.int64)
 
 
 def _pack(codes: np.ndarray, docs: np.ndarray, terms: pa.Array, weights: np.ndarray, buckets: int):

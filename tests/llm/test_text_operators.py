@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polystrata.llm import bpe, lm, quality, queries, token_count, toxicity
+from polystrata.llm import bpe, lm, postings, quality, queries, token_count, toxicity
 
 from .conftest import SF
 
@@ -324,3 +324,15 @@ def test_words_of_a_block():
     assert len(set(words)) == len(words)
     none = lm._words([b"", b"\n"])
     assert not len(none[0]) and none[1].tolist() == [0, 0] and not len(none[2])
+
+
+def test_bucket_of_a_term_follows_from_its_bytes():
+    rnd = random.Random(17)
+    terms = [bytes(rnd.choices(b"abc\x00\xff", k=rnd.randint(0, 200))) for _ in range(5000)] + [b"y" * n for n in (postings._RUN, postings._RUN + 1)]
+    whole = postings._buckets(pa.array(terms, pa.binary()), 97)
+    assert [int(postings._buckets(pa.array([t], pa.binary()), 97)[0]) for t in terms] == whole.tolist()
+    assert np.bincount(postings._buckets(pa.array(list(set(terms)), pa.binary()), 97), minlength=97).max() < 120
+    values = np.array([0, 127, 128, 2**14 - 1, 2**14, 2**21, 2**28 - 1, 2**28, 2**35 - 1])
+    packed, ends = postings._varints(values)
+    assert ends.tolist() == [1, 2, 4, 6, 9, 13, 17, 22, 27] and np.array_equal(postings._numbers(packed.tobytes()), values)
+    assert not len(postings._buckets(pa.array([], pa.binary()), 97))
